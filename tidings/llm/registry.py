@@ -1,13 +1,19 @@
 """The subpackage's queries and their SQL, which __spark_entry__.py adds to those of the library."""
 
-from tidings.llm import quality_rules, source_mix, token_store, top_k
+from tidings.llm import bpe, language_id, lattice_lm, ngram_join, quality_gam, quality_rules, repeats, source_mix, token_store, top_k
 
 
 def queries() -> dict:
     return {
         "op1_token_store": token_store.query,
+        "op2_quality_gam": quality_gam.query,
+        "op3_lattice_lm": lattice_lm.query,
+        "op4_ngram_join": ngram_join.query,
         "op5_quality_rules": quality_rules.query,
+        "op6_bpe": bpe.query,
+        "op7_repeats": repeats.query,
         "op8_source_mix": source_mix.query,
+        "op9_language_id": language_id.query,
         "op10_top_k": top_k.query,
     }
 

@@ -3,10 +3,13 @@
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidings.llm.kernels import mix
+
 TEXT_CHUNK = 4 << 20
 
 
@@ -111,3 +114,68 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
             break
         last = tuple(state)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+class Bitmap:
+    """A set of 64-bit values, kept as one bit for each hash prefix: no member is missed, a few others pass. About 16 bits a member, at most 2 ** 30 bits (128 MB); beyond that more others pass, which costs work and no results."""
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        at = _places(values, self.bits)
+        return (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _places(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(values.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bitmap(values: DataFrame, most: int = 30) -> Bitmap:
+    """The Bitmap of a DataFrame's one column of longs. Tasks set the bits; what comes to the driver is the map's slices."""
+    n = values.count()
+    bits = min(most, max(16, (16 * n).bit_length()))
+    low = max(13, bits - 8)  # each slice holds 2 ** low bits
+
+    def run(batches):
+        own = {}
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            for k in np.unique(at >> low).tolist():
+                bytes_ = own.setdefault(k, np.zeros(1 << (low - 3), np.uint8))
+                inside = at[at >> low == k] & ((1 << low) - 1)
+                np.bitwise_or.at(bytes_, inside >> 3, (1 << (inside & 7)).astype(np.uint8))
+        for k, b in own.items():
+            yield record(part=np.array([k], np.int32), slice=[b.tobytes()])
+
+    def join(part, table):
+        out = np.zeros(1 << (low - 3), np.uint8)
+        for b in table.column("slice").to_pylist():
+            out |= np.frombuffer(b, np.uint8)
+        yield record(part=np.array([part], np.int32), slice=[out.tobytes()])
+
+    data = np.zeros(1 << (bits - 3), np.uint8)
+    for r in by_part(values.mapInArrow(run, "part int, slice binary"), join, "part int, slice binary").collect():
+        data[r["part"] << (low - 3) : (r["part"] + 1) << (low - 3)] = np.frombuffer(r["slice"], np.uint8)
+    return Bitmap(bits, data)
+
+
+def dealt(table: np.ndarray, parts: np.ndarray):
+    """A structured array's rows by part: (part, bytes) for each part that has some."""
+    order = np.argsort(parts, kind="stable")
+    table, parts = table[order], parts[order]
+    cut = np.flatnonzero(np.diff(parts)) + 1
+    ends = [*cut.tolist(), len(parts)]
+    for a, b in zip([0, *cut.tolist()], ends, strict=True):
+        if b > a:
+            yield int(parts[a]), table[a:b].tobytes()
+
+
+def packed(table: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    got = list(dealt(table, parts))
+    return record(part=np.array([p for p, _ in got], np.int32), blob=pa.array([b for _, b in got], pa.binary()))
+
+
+def unpacked(table: pa.Table, dtype, column: str = "blob") -> np.ndarray:
+    got = [np.frombuffer(b, dtype) for b in table.column(column).to_pylist() if b]
+    return np.concatenate(got) if got else np.zeros(0, dtype)

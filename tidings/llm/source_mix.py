@@ -49,7 +49,8 @@ def budgets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
         }
     )
     x = x.withColumn("level", (F.col("total") - F.col("below")) / F.col("open"))
-    x = x.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(whole))
+    # the first source, in that order, that is not full at the level left for it and those after it
+    x = x.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "below", "level"))).over(whole)["level"])
     return x.select("source", "size", "weight", F.least(cap * F.col("size"), F.coalesce(F.col("level"), F.col("full_at")) * F.col("weight")).alias("target"))
 
 
@@ -72,7 +73,7 @@ def thresholds(sized: DataFrame, ws: Workspace, **how) -> DataFrame:
     cut = edge.join(cut, edge["source"].eqNullSafe(cut["c"]), "left").select(F.col("source").alias("c"), F.coalesce(F.col("last"), F.shiftleft("bucket", 53) - 1).alias("last"))
     out = goal.join(cut, goal["source"].eqNullSafe(cut["c"]), "left")
     every = F.when(F.col("budget") > 0, F.lit(2**63 - 1)).otherwise(F.lit(-1))
-    return ws.stage(out.select(F.col("source").alias("__mix_of"), F.col("size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), "passes", F.coalesce("last", every).alias("last")), "thresholds")
+    return ws.stage(out.select(F.col("source").alias("__mix_of"), F.col("size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), F.col("passes").alias("__mix_passes"), F.coalesce("last", every).alias("__mix_last")), "thresholds")
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -80,7 +81,7 @@ def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 
 def times() -> Column:
-    return (F.col("passes") + F.when(F.col(_H) <= F.col("last"), 1).otherwise(0)).cast("long")
+    return (F.col("__mix_passes") + F.when(F.col(_H) <= F.col("__mix_last"), 1).otherwise(0)).cast("long")
 
 
 def mix(spark, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:

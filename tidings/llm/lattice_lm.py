@@ -313,7 +313,7 @@ def _score_texts(head, parts: int):
             ids = table.column("doc_id").combine_chunks()
             yield record(
                 row=at_row + np.arange(n_docs), doc_id=ids, held_out=_held(ids.to_pylist()), n=np.diff(first) + 1,
-                k=np.bincount(docs[hit], count > 0, n_docs).astype(np.int64), lc=np.bincount(docs[hit], np.log10(count + 0.1), n_docs), lp=np.bincount(docs[hit], hl[spot[hit]], n_docs),
+                k=np.bincount(docs[hit], count > 0, n_docs).astype(np.int64), lc=np.bincount(docs[hit], np.log10(count + 0.1), n_docs).astype(float), lp=np.bincount(docs[hit], hl[spot[hit]], n_docs).astype(float),
                 part=pa.nulls(n_docs, pa.int32()), blob=pa.nulls(n_docs, pa.binary()),
             )
             rest = np.zeros((~hit).sum(), _TAIL)

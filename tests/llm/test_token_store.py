@@ -49,3 +49,10 @@ def test_perfect_hash():
     keys = np.unique(keys)
     n = mph.Lookup(*mph.build(keys))(keys)
     assert sorted(n.tolist()) == list(range(len(keys)))
+
+
+def test_stems_encode_like_their_words():
+    tool = Tokenizer.from_file(token_store.vocabulary_path("word_bpe_49k.json"))
+    enc = token_store.WordEncoder(token_store.vocabulary_path("word_bpe_49k.json"))
+    for w in ("Word,", "word.", "WORD", "a.,", "it's,", "Ünter.", "x1,", ",", "..", "ﬁn!", "don't.", "'s", "S,"):
+        assert np.frombuffer(enc([w], 2)[0], enc.dtype).tolist() == [*tool.encode(w, add_special_tokens=False).ids, 2]

@@ -25,7 +25,7 @@ from tidings.llm import mph
 from tidings.llm.work import Workspace, chunks, n_tasks, record
 
 MARK = b"tidtok1\n"
-KNOWN = 400_000  # words kept between batches by a worker; a memo, so its size only affects speed
+KNOWN = 700_000  # words kept between batches by a worker; a memo, so its size only affects speed
 END_ID = 2
 _encoders: dict = {}
 
@@ -49,13 +49,23 @@ class WordEncoder:
         self.dtype = np.dtype("<u4" if wide or self.tool.get_vocab_size() > 1 << 16 else "<u2")
         self.known: dict[str, bytes] = {"": b""}
 
+    def stem(self, word: str) -> tuple[str, str]:
+        """A word as letters in lower case and a last sign, which the tokenizer cuts apart and lower-cases itself; other words as they are."""
+        body, sign = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        if not body.isalpha():
+            return word, ""
+        return (body.lower() if body.isascii() else body), sign
+
     def __call__(self, texts: list[str], end: int) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > KNOWN:
             self.known = {"": b""}
-        missing = list(set().union(*split) - self.known.keys())
-        for word, enc in zip(missing, self.tool.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+        missing = {w: self.stem(w) for w in set().union(*split) - self.known.keys()}
+        new = list({s for pair in missing.values() for s in pair if s} - self.known.keys())
+        for word, enc in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[word] = np.array(enc.ids, self.dtype).tobytes()
+        for word, (stem, sign) in missing.items():
+            self.known[word] = self.known[stem] + self.known[sign]
         get, stop = self.known.__getitem__, np.array([end], self.dtype).tobytes()
         return [b"".join(map(get, words)) + stop for words in split]
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidings.llm.work import chunks, record
 
-KNOWN = 300_000  # pieces kept by a worker; a memo, so its size only affects speed
+KNOWN = 600_000  # pieces kept by a worker; a memo, so its size only affects speed
 SHORT = 64  # bytes up to which a piece is walked in one go
 _models: dict = {}
 
@@ -145,7 +145,12 @@ class Model:
 
     def piece(self, piece: str) -> str:
         """A piece's ids as text; the memo spares the walk for the pieces met last."""
-        return ",".join(map(str, self.encode_bytes(piece.encode("utf-8", "surrogatepass"))))
+        got = self.known.get(piece)
+        if got is None:
+            got = ",".join(map(str, self.encode_bytes(piece.encode("utf-8", "surrogatepass"))))
+            if len(piece) <= SHORT:
+                self.known[piece] = got
+        return got
 
     def ordinary(self, text: str) -> str:
         """Ids, joined by commas, of a text without special tokens."""

@@ -27,10 +27,11 @@ from tidings.llm.work import Workspace, bitmap, by_part, chunks, components, n_p
 
 HEAVY = 1 << 17
 SMALL = 16
-UNIT = 8  # chunks whose n-grams are counted or dealt together
+UNIT = 4  # chunks whose n-grams are counted or dealt together
 _COUNT = np.dtype([("t", "<u8"), ("n", "<i8")])
 _PREFIX = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("p", "<i4")])
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("k", "<i4")])
+_ENDS = np.dtype([("a", "<i8"), ("b", "<i8")])
 _PAIRS = "a long, b long, na int, nb int"
 
 
@@ -276,14 +277,39 @@ def _segments(order, docs_wanted, classes_wanted):
     return run
 
 
+def _arrays(batch, dtype) -> np.ndarray:
+    x = np.zeros(batch.num_rows, dtype)
+    for k in dtype.names:
+        if k in batch.schema.names:
+            x[k] = batch.column(k).to_numpy()
+    return x
+
+
 def _pairs_to_fragments(fragments: int):
+    """Every fragment gets the ends of all pairs."""
+
     def run(batches):
         for batch in batches:
-            x = np.zeros(batch.num_rows, _PAIR)
-            for k in ("a", "b", "na", "nb"):
-                x[k] = batch.column(k).to_numpy()
-            if len(x):
-                yield record(part=np.arange(fragments, dtype=np.int32), blob=pa.nulls(fragments, pa.binary()), pairs=pa.array([x.tobytes()] * fragments, pa.binary()))
+            if batch.num_rows:
+                raw = _arrays(batch, _ENDS).tobytes()
+                for f in range(fragments):
+                    yield record(part=np.array([f], np.int32), blob=pa.nulls(1, pa.binary()), pairs=pa.array([raw], pa.binary()))
+
+    return run
+
+
+def _pair_part(pairs: np.ndarray, parts: int) -> np.ndarray:
+    return _part_of(pairs["a"].view(np.uint64) ^ mix(pairs["b"].view(np.uint64)), parts)
+
+
+def _pairs_by_part(parts: int):
+    """The pairs with their set sizes, to where their partial counts go."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _arrays(batch, _PAIR)
+                yield packed(x, _pair_part(x, parts))
 
     return run
 
@@ -292,8 +318,8 @@ def _partial(parts: int):
     """Partial overlaps of a fragment: for each pair, how many n-grams both segments hold."""
 
     def run(part, table):
-        seg, pairs = unpacked(table, np.dtype([("t", "<u8"), ("c", "<i8")])), unpacked(table, _PAIR, "pairs")
-        if not len(seg) or not len(pairs):
+        seg, ends = unpacked(table, np.dtype([("t", "<u8"), ("c", "<i8")])), unpacked(table, _ENDS, "pairs")
+        if not len(seg) or not len(ends):
             return
         with np.errstate(over="ignore"):
             member = mix(seg["t"] + mix(seg["c"].view(np.uint64)))
@@ -301,25 +327,27 @@ def _partial(parts: int):
         seg = seg[first]
         by_class = np.argsort(seg["c"], kind="stable")
         cls, grams = seg["c"][by_class], seg["t"][by_class]
-        lo = [np.searchsorted(cls, pairs[k], "left") for k in "ab"]
-        n = [np.searchsorted(cls, pairs[k], "right") - s for k, s in zip("ab", lo, strict=True)]
-        swap = n[1] < n[0]  # the smaller segment is looked up in the larger
-        start, size = np.where(swap, lo[1], lo[0]), np.where(swap, n[1], n[0])
-        other = np.where(swap, pairs["a"], pairs["b"])
-        pairs = pairs.copy()
-        upto = np.cumsum(size)
-        at = 0
-        while at < len(pairs):
-            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 2_000_000, "right")))
-            s = size[at:end]
-            idx = np.repeat(start[at:end] - (np.cumsum(s) - s), s) + np.arange(s.sum())
-            key = mix(grams[idx] + np.repeat(mix(other[at:end].view(np.uint64)), s))
-            hit = member[np.minimum(np.searchsorted(member, key), len(member) - 1)] == key
-            pairs["k"][at:end] = np.bincount(np.repeat(np.arange(end - at), s)[hit], minlength=end - at)
-            at = end
-        pairs = pairs[pairs["k"] > 0]
-        if len(pairs):
-            yield packed(pairs, _part_of(pairs["a"].view(np.uint64) ^ mix(pairs["b"].view(np.uint64)), parts))
+        step = 20_000
+        for a in range(0, len(ends), step):
+            pairs = np.zeros(len(ends[a : a + step]), _PAIR)
+            pairs["a"], pairs["b"] = ends["a"][a : a + step], ends["b"][a : a + step]
+            lo = [np.searchsorted(cls, pairs[k], "left") for k in "ab"]
+            n = [np.searchsorted(cls, pairs[k], "right") - s for k, s in zip("ab", lo, strict=True)]
+            swap = n[1] < n[0]  # the smaller segment is looked up in the larger
+            start, size = np.where(swap, lo[1], lo[0]), np.where(swap, n[1], n[0])
+            other = np.where(swap, pairs["a"], pairs["b"])
+            upto, at = np.cumsum(size), 0
+            while at < len(pairs):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 400_000, "right")))
+                s = size[at:end]
+                idx = np.repeat(start[at:end] - (np.cumsum(s) - s), s) + np.arange(s.sum())
+                key = mix(grams[idx] + np.repeat(mix(other[at:end].view(np.uint64)), s))
+                hit = member[np.minimum(np.searchsorted(member, key), len(member) - 1)] == key
+                pairs["k"][at:end] = np.bincount(np.repeat(np.arange(end - at), s)[hit], minlength=end - at)
+                at = end
+            pairs = pairs[pairs["k"] > 0]
+            if len(pairs):
+                yield packed(pairs, _pair_part(pairs, parts))
 
     return run
 
@@ -327,12 +355,13 @@ def _partial(parts: int):
 def _sum_pairs(percent: int):
     def run(part, table):
         x = unpacked(table, _PAIR)
-        x = x[np.lexsort((x["b"], x["a"]))]
+        x = x[np.lexsort((-x["na"], x["b"], x["a"]))]
         first = np.flatnonzero(np.concatenate([[True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])]))
         both = np.add.reduceat(x["k"].astype(np.int64), first)
         x = x[first]
         ok = (100 + percent) * both >= percent * (x["na"].astype(np.int64) + x["nb"])
         x, both = x[ok], both[ok]
+        # the sizes come once, with a count of 0; of equal pairs the first in order holds them
         yield record(a=x["a"], b=x["b"], na=x["na"], nb=x["nb"], overlap=both)
 
     return run
@@ -347,7 +376,7 @@ def links(ws: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame,
     rows = docs.mapInArrow(_segments(order, *at), "part int, blob binary, pairs binary")
     rows = rows.unionByName(pairs.mapInArrow(_pairs_to_fragments(fragments), "part int, blob binary, pairs binary"))
     parts = n_parts(spark)
-    counts = by_part(rows, _partial(parts), "part int, blob binary")
+    counts = by_part(rows, _partial(parts), "part int, blob binary").unionByName(pairs.mapInArrow(_pairs_by_part(parts), "part int, blob binary"))
     return ws.stage(by_part(counts, _sum_pairs(percent), "a long, b long, na int, nb int, overlap long"), name)
 
 

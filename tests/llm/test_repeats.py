@@ -70,3 +70,16 @@ def test_stage_keeps_columns_characters_and_nulls(spark):
     got = {r["doc_id"]: r for r in repeats.remove_repeats(spark, df).collect()}
     assert got[1]["text"] == "a" and got[1]["n_chars"] == 1 and got[2]["text"] == "bc" and got[3]["text"] is None and got[None]["text"] == ""
     assert repeats.remove_repeats(spark, df.limit(0)).count() == 0
+
+
+def test_reach_is_that_of_the_maximal_repeats():
+    rng = random.Random(4)
+    for _ in range(60):
+        entries = {}
+        for _ in range(rng.randrange(2, 14)):
+            key = bytes(rng.choice(b"ab") for _ in range(rng.randrange(6))), b"c" + bytes(rng.choice(b"ab") for _ in range(rng.randrange(6)))
+            entries[key] = entries.get(key, 0) + 1
+        entries = [(*k, n) for k, n in entries.items()]
+        cover = lambda rows: {k: {(p, q) for _, a, b in [r for r in rows if r[0] == k] for p in range(a + 1) for q in range(b + 1)} for k in range(len(entries))}
+        want = cover([(k, a, b) for a, b, who in repeats.maximal_repeats(entries, 5) for k in who])
+        assert cover(list(zip(*(y.tolist() for y in repeats.reach(entries, 5)), strict=True))) == want

@@ -181,15 +181,60 @@ def maximal_repeats(entries: list[tuple[bytes, bytes, int]], length: int = LENGT
             yield depth, right, side[i : j + 1]
 
 
+def _least(values: np.ndarray) -> list[np.ndarray]:
+    """Minima of all stretches of 1, 2, 4, ... values."""
+    out, n = [values], 1
+    while 2 * n <= len(values):
+        out.append(np.minimum(out[-1][:-n], out[-1][n:]))
+        n *= 2
+    return out
+
+
+def reach(entries: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far a bucket's maximal repeats reach around its anchor: (entry, left, right) for each entry and interval of the suffix order, left being the deepest interval of the left order that holds the entry, where left + right >= length. Of an entry's repeats only those that no deeper suffix interval covers are given. Costs a few steps for each member of an interval, whatever the number of repeats."""
+    m = len(entries)
+    whole = [k for k, (b, a, n) in enumerate(entries) if n > 1 and len(b) + len(a) >= length]
+    out = [(np.array(whole, np.int64), np.array([len(entries[k][0]) for k in whole], np.int64), np.array([len(entries[k][1]) for k in whole], np.int64))]
+    best = np.full(m, -1, np.int64)
+    best[out[0][0]] = out[0][1]
+    order = sorted(range(m), key=lambda k: entries[k][1])
+    lcp = [_common(entries[a][1], entries[b][1]) for a, b in pairwise(order)]
+    side = sorted(range(m), key=lambda k: entries[k][0])
+    minima = _least(np.array([_common(entries[a][0], entries[b][0]) for a, b in pairwise(side)], np.int64))
+    rank = np.empty(m, np.int64)
+    rank[side] = np.arange(m)
+    by_rank, order = np.array(side), np.array(order)
+    for first, last, right in intervals(lcp):
+        r = np.sort(rank[order[first : last + 1]])
+        gap = np.diff(r)
+        level = np.frexp(gap.astype(np.float64))[1] - 1
+        near = np.empty(len(gap), np.int64)
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            near[at] = np.minimum(minima[k][r[at]], minima[k][r[at + 1] - (1 << k)])
+        left = np.maximum(np.append(near, 0), np.concatenate([[0], near]))
+        who = by_rank[r]
+        keep = (left + right >= length) & (left > best[who])
+        if keep.any():
+            who, left = who[keep], left[keep]
+            best[who] = left
+            out.append((who, left, np.full(len(who), right, np.int64)))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
+def forms(x: np.ndarray, ctx: list[bytes]) -> tuple[list[tuple[bytes, bytes, int]], list[list[int]]]:
+    """A bucket's distinct contexts as entries, and the occurrences of each."""
+    found: dict[tuple[int, bytes], list[int]] = {}
+    for i, (n, c) in enumerate(zip(x["l"].tolist(), ctx, strict=True)):
+        found.setdefault((n, c), []).append(i)
+    return [(c[:n][::-1], c[n:], len(own)) for (n, c), own in found.items()], list(found.values())
+
+
 def bucket(x: np.ndarray, ctx: list[bytes], length: int = LENGTH):
     """Of a bucket's occurrences: (left, right, occurrences) of its maximal repeats."""
-    forms: dict[tuple[int, bytes], list[int]] = {}
-    for i, (n, c) in enumerate(zip(x["l"].tolist(), ctx, strict=True)):
-        forms.setdefault((n, c), []).append(i)
-    keys = list(forms)
-    entries = [(c[:n][::-1], c[n:], len(forms[n, c])) for n, c in keys]
+    entries, own = forms(x, ctx)
     for left, right, members in maximal_repeats(entries, length):
-        yield left, right, [i for k in members for i in forms[keys[k]]]
+        yield left, right, [i for k in members for i in own[k]]
 
 
 def _buckets(table):
@@ -225,23 +270,31 @@ def merged(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.
 
 def _spans(part, table):
     """Where a part's maximal repeats occur."""
-    cover: dict[tuple[int, int], tuple[int, int]] = {}
     c, s, e = [], [], []
     for x, ctx in _buckets(table):
-        cls, at = x["c"].tolist(), x["p"].tolist()
-        cover.clear()
-        for left, right, members in bucket(x, ctx):
-            for i in members:
-                # of the repeats at an occurrence only those that no other covers
-                if cover.get((i, right), -1) < left:
-                    cover[i, right] = left
-        for (i, right), left in cover.items():
-            c.append(cls[i])
-            s.append(at[i] - left)
-            e.append(at[i] + right)
+        if len(ctx) == 2:
+            # the whole tree of two suffixes is one interval
+            (n, m), (a, b) = x["l"].tolist(), ctx
+            left, right = _common(a[:n][::-1], b[:m][::-1]), _common(a[n:], b[m:])
+            if left + right >= LENGTH:
+                c.append(x["c"])
+                s.append(x["p"].astype(np.int64) - left)
+                e.append(x["p"].astype(np.int64) + right)
+            continue
+        entries, own = forms(x, ctx)
+        who, left, right = reach(entries)
+        size = np.array([len(o) for o in own])
+        first = np.cumsum(size) - size
+        n = size[who]
+        at = np.repeat(first[who] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        i = np.fromiter((k for o in own for k in o), np.int64, size.sum())[at]
+        c.append(x["c"][i])
+        s.append(x["p"][i].astype(np.int64) - np.repeat(left, n))
+        e.append(x["p"][i].astype(np.int64) + np.repeat(right, n))
     if c:
-        c, s, e = merged(np.array(c), np.array(s), np.array(e))
-        yield record(cls=c, s=s, e=e)
+        c, s, e = merged(np.concatenate(c), np.concatenate(s), np.concatenate(e))
+        if len(c):
+            yield record(cls=c, s=s, e=e)
 
 
 def _groups(part, table):

@@ -28,6 +28,7 @@ from tidings.llm.work import chunks, record
 
 KNOWN = 600_000  # pieces kept by a worker; a memo, so its size only affects speed
 SHORT = 64  # bytes up to which a piece is walked in one go
+ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _models: dict = {}
 
 
@@ -59,12 +60,14 @@ class Model:
         for b in self.ids:
             self.sizes.setdefault(b[-1], set()).add(len(b))  # type: ignore[arg-type]
         self.sizes = {k: sorted(v, reverse=True) for k, v in self.sizes.items()}
+        # and those that fit in so many bytes
+        self.within = {k: [[n for n in v if n <= room] for room in range(SHORT + 1)] for k, v in self.sizes.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.cut = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.unit = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+").findall
-        self.odd_space = re.compile(r"[^\S \n\t\r]").search
         self.known: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
         self.text_bytes = {str(i): b for i, b in self.bytes.items()}
         self.bound = self.lookahead()
 
@@ -100,12 +103,12 @@ class Model:
 
     def encode_bytes(self, raw: bytes):
         """The transducer: yields the ids of raw's encoding, each as soon as it is stable."""
-        ids, sizes, fits = self.ids, self.sizes, self.neighbours
+        ids, sizes, within, fits = self.ids, self.sizes, self.within, self.neighbours
         last: dict[int, int] = {}  # by end, the last token of the prefix that ends there
         done, bound = 0, self.bound
         for end in range(1, len(raw) + 1):
             room = end - done
-            for n in sizes[raw[end - 1]]:
+            for n in within[raw[end - 1]][room] if room <= SHORT else sizes[raw[end - 1]]:
                 if n > room:
                     continue
                 t = ids.get(raw[end - n : end])
@@ -145,33 +148,34 @@ class Model:
 
     def piece(self, piece: str) -> str:
         """A piece's ids as text; the memo spares the walk for the pieces met last."""
-        got = self.known.get(piece)
+        got = self.pieces.get(piece)
         if got is None:
             got = ",".join(map(str, self.encode_bytes(piece.encode("utf-8", "surrogatepass"))))
             if len(piece) <= SHORT:
-                self.known[piece] = got
+                if len(self.pieces) > KNOWN // 2:
+                    self.pieces.clear()
+                self.pieces[piece] = got
         return got
 
+    def plain(self, text: str) -> bool:
+        """Whether all white space is single blanks between words and single line ends after words."""
+        return text[0] not in " \n" and text[-1] != " " and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and not any(c in text for c in ODD_SPACE)
+
     def ordinary(self, text: str) -> str:
         """Ids, joined by commas, of a text without special tokens."""
-        # between a black character and white space the pattern always cuts, so stretches of both can be looked up whole
-        units = [text] if self.odd_space(text) else self.unit(text)
         known = self.known
-        try:
-            return ",".join([known[u] for u in units])
-        except KeyError:
-            pass
         if len(known) > KNOWN:
             known.clear()
-        out = []
-        for u in units:
-            got = known.get(u)
-            if got is None:
-                got = ",".join([self.piece(p) for p in self.cut(u)])
-                if len(u) <= SHORT:
-                    known[u] = got
-            out.append(got)
-        return ",".join(out)
+        # between a black character and white space the pattern always cuts, so a word with the blank or line end before it can be looked up whole
+        if self.plain(text):
+            first, *words = text.replace("\n", " \n").split(" ")
+            for w in set(words).difference(known):
+                known[w] = self.cut_up(w if w[0] == "\n" else " " + w)
+            return ",".join([self.cut_up(first), *map(known.__getitem__, words)])
+        return ",".join(map(self.cut_up, [text] if any(c in text for c in ODD_SPACE[2:]) else self.unit(text)))
+
+    def cut_up(self, text: str) -> str:
+        return ",".join(map(self.piece, self.cut(text)))
 
     def encode(self, text: str) -> str:
         """A text's ids in decimal, joined by commas."""

@@ -60,8 +60,8 @@ class WordEncoder:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > KNOWN:
             self.known = {"": b""}
-        missing = {w: self.stem(w) for w in set().union(*split) - self.known.keys()}
-        new = list({s for pair in missing.values() for s in pair if s} - self.known.keys())
+        missing = {w: self.stem(w) for w in set().union(*split).difference(self.known)}
+        new = list({s for pair in missing.values() for s in pair if s}.difference(self.known))
         for word, enc in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[word] = np.array(enc.ids, self.dtype).tobytes()
         for word, (stem, sign) in missing.items():

@@ -21,7 +21,7 @@ def greedy_window(rows: Iterable[tuple[Any, float, Any, bool]], window: float, k
 
 
 def dedup_in_windows(df: DataFrame, keys: list[str], id_: str, time: str, owner: str, confident: str, seconds: int) -> DataFrame:
-    """(keys, id, original_id): greedy window dedup of each key's rows in id order. Only the columns of the decision travel. A key's rows are folded in one task; within a key, chains cannot be cut because each decision depends on the ones before, except at gaps wider than the window: rows are grouped by (key, stretch without such a gap)."""
+    """(keys, id, original_id): greedy window dedup of each key's rows in id order. Only the columns of the decision travel. Within a key, chains cannot be cut because each decision depends on the ones before, except at gaps wider than the window: rows are dealt out and folded by (key, stretch without such a gap)."""
     from pyspark.sql import Window as W
 
     at = F.unix_micros(F.col(time).cast("timestamp"))
@@ -30,15 +30,21 @@ def dedup_in_windows(df: DataFrame, keys: list[str], id_: str, time: str, owner:
     x = df.select(*keys, id_, F.col(owner).alias("_o"), F.col(confident).alias("_c"), at.alias("_t"), stretch.alias("_s"))
     kinds = dict(df.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_)
-        got = greedy_window(zip(pdf[id_], pdf["_t"], pdf["_o"], pdf["_c"], strict=True), seconds * 1_000_000)
-        out = pdf[[*keys, id_]].copy()
-        out["original_id"] = pd.array([h for _, h in got], dtype="Int64")
-        return out
+    def fold(batches):
+        # rows come sorted, so one pass keeps the state of the current stretch only
+        now, kept = None, []
+        for pdf in batches:
+            hits = []
+            for row in pdf[[*keys, "_s", id_, "_t", "_o", "_c"]].itertuples(index=False, name=None):
+                if row[:-4] != now:
+                    now, kept = row[:-4], []
+                hits += greedy_window([row[-4:]], seconds * 1_000_000, kept)
+            out = pdf[[*keys, id_]].copy()
+            out["original_id"] = pd.array([h for _, h in hits], dtype="Int64")
+            yield out
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, id_]) + ", original_id long"
-    return x.groupBy(*keys, "_s").applyInPandas(fold, schema)
+    return x.repartition(*keys, "_s").sortWithinPartitions(*keys, "_s", id_).mapInPandas(fold, schema)
 
 
 def sequential_near_copies(rows: list[tuple[int, str, float]], threshold: float, window: float) -> dict[int, int]:

@@ -20,6 +20,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,8 +224,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(joined).encode("utf-8", "surrogatepass")).hexdigest())
                 if with_ids:
-                    ids.append(list(map(int, joined.split(","))) if joined else [])
-            more = {"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}
+                    ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+            more = {}
+            if with_ids:
+                end = np.cumsum([0, *map(len, ids)])
+                more["ids"] = pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield record(doc_id=table.column("doc_id").combine_chunks(), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids_sha, pa.string()), decoded_sha256=pa.array(text_sha, pa.string()), **more)
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)

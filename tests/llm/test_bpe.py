@@ -63,3 +63,13 @@ def test_rows(spark, tmp_path):
     got = {r[0]: tuple(r[1:]) for r in bpe.query(spark, fixture.table(spark, tmp_path)).collect()}
     assert got == expected
     assert bpe.query(spark, fixture.table(spark, tmp_path, [])).count() == 0
+
+
+def test_neighbours_by_ranks_equal_merging():
+    m, rng = bpe.model(PATH), random.Random(7)
+    same_letter = [i for b, i in m.ids.items() if len(set(b)) <= 2 and len(b) < 20]
+    for k in range(6000):
+        pool = same_letter if k % 2 else range(256, 50256)
+        a, b = rng.choice(pool), rng.choice(pool)
+        assert m.neighbours(a, b) == (m.merge([m.ids[bytes((x,))] for x in m.bytes[a] + m.bytes[b]]) == [a, b]), (m.bytes[a], m.bytes[b])
+    assert all(m.merge([m.ids[bytes((x,))] for x in m.bytes[t]]) == [t] for t in rng.sample(range(50256), 2000))

@@ -63,7 +63,8 @@ class Model:
         self.sizes = {k: sorted(v, reverse=True) for k, v in self.sizes.items()}
         # and those that fit in so many bytes
         self.within = {k: [[n for n in v if n <= room] for room in range(SHORT + 1)] for k, v in self.sizes.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.made = {new: (a, b, r) for (a, b), (r, new) in reversed(self.rank.items())}
+        self.spines: tuple[dict, dict] = ({}, {})
         self.cut = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.unit = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+").findall
@@ -83,15 +84,32 @@ class Model:
             tokens[k : k + 2] = [new]
         return tokens
 
+    def spine(self, token: int, side: int) -> tuple[list[int], list[float]]:
+        """The parts of a token at its left (side 0) or right (1) end, smallest first, and the rank at which each goes into the next."""
+        got = self.spines[side].get(token)
+        if got is None:
+            parts, ranks = [token], [float("inf")]
+            while parts[-1] in self.made:
+                left, right, rank = self.made[parts[-1]]
+                parts.append(right if side else left)
+                ranks.append(rank)
+            got = self.spines[side][token] = parts[::-1], ranks[::-1]
+        return got
+
     def neighbours(self, a: int, b: int) -> bool:
-        """Whether b may follow a in an encoding."""
-        key = a, b
-        ok = self.fits.get(key)
-        if ok is None:
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            ok = self.fits[key] = self.merge([self.ids[bytes((x,))] for x in self.bytes[a] + self.bytes[b]]) == [a, b]
-        return ok
+        """Whether b may follow a in an encoding: whether, as the two are built up side by side in order of rank, no merge across their border ever comes first (from the left on equal ranks)."""
+        (left, up), (right, over) = self.spine(a, 1), self.spine(b, 0)
+        i = j = 0
+        while True:
+            across = self.rank.get((left[i], right[j]))
+            if across is not None and across[0] < up[i] and across[0] <= over[j]:
+                return False
+            if i == len(left) - 1 and j == len(right) - 1:
+                return True
+            if up[i] <= over[j]:
+                i += 1
+            else:
+                j += 1
 
     def lookahead(self) -> int:
         """Bytes after which a token is surely stable: the longest token times the longest chain in which each merge's right part starts what an earlier merge would have joined."""

@@ -7,8 +7,8 @@ candidate pairs. The global order is then cut into fragments; for each fragment
 candidates' segments there, and the partial counts are summed for each pair and held against the threshold.
 
 A prefix n-gram that up to SMALL classes share yields all their pairs. Of a larger group each class is first paired with
-the group's head of its size range only; when those links have made components, a second round pairs what is still in
-different components. So a group of near copies costs a number of pairs in proportion to its size, and no link between
+the group's head of its size range only; then pairs that parity maps of the sets call likely are tried, one for each two
+components that would join; last all pairs of different components whose sizes, places and parity maps allow a link. So a group of near copies costs a number of pairs in proportion to its size, and no link between
 components is lost: what is left out lies within a component. Pairs, segments and labels stay in tables; the driver sees
 the HEAVY list and bit maps of bounded size, which only steer the search.
 
@@ -27,6 +27,7 @@ from tidings.llm.work import Workspace, bitmap, by_part, chunks, components, n_p
 
 HEAVY = 1 << 17
 SMALL = 16
+BITS = 512
 UNIT = 4  # chunks whose n-grams are counted or dealt together
 _COUNT = np.dtype([("t", "<u8"), ("n", "<i8")])
 _PREFIX = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("p", "<i4")])
@@ -41,6 +42,12 @@ def class_of(grams: np.ndarray) -> int:
         return int(mix(np.array([mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
 
 
+def parity(grams: np.ndarray) -> bytes:
+    """A set's parity map: BITS bits, each flipped by the members that hash to it. Two maps differ in no more bits than the sets have members that are not shared."""
+    n = np.bincount((mix(grams ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((n & 1).astype(bool)).tobytes()
+
+
 def _part_of(values: np.ndarray, parts: int) -> np.ndarray:
     return (mix(values + np.uint64(77)) % np.uint64(parts)).astype(np.int32)
 
@@ -71,7 +78,7 @@ def _first_pass(parts: int):
                         seen.add(c)
                         grams.append(s)
                 rows = len(sets)
-                yield record(doc_id=table.column("doc_id").combine_chunks(), n=pa.array([len(s) for s in sets], pa.int64()), cls=pa.array(cls, pa.int64()), part=pa.nulls(rows, pa.int32()), blob=pa.nulls(rows, pa.binary()))
+                yield record(doc_id=table.column("doc_id").combine_chunks(), n=pa.array([len(s) for s in sets], pa.int64()), cls=pa.array(cls, pa.int64()), part=pa.nulls(rows, pa.int32()), blob=pa.array([parity(s) if len(s) else None for s in sets], pa.binary()))
             t, n = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             several = np.zeros((n > 1).sum(), _COUNT)
             several["t"], several["n"] = t[n > 1], n[n > 1]
@@ -220,29 +227,76 @@ def _candidates(percent: int):
     return run
 
 
+def _groups_of(table):
+    """The large groups of a part, in order of size: rows, components and parity maps."""
+    x = np.zeros(table.num_rows, [*_PREFIX.descr, ("l", "<i8"), ("row", "<i8")])
+    for k in ("c", "n", "p", "l"):
+        x[k] = table.column(k).to_numpy()
+    x["t"], x["row"] = table.column("t").to_numpy().view(np.uint64), np.arange(len(x))
+    maps = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    x = x[np.lexsort((x["c"], x["n"], x["t"]))]
+    for s, e in _runs(x["t"]):
+        yield x[s:e], maps[x["row"][s:e]]
+
+
+def _near(group: np.ndarray, maps: np.ndarray, i: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the group's rows `others` (after i) those that can be similar enough to row i, by sizes, places and parity maps; and whether by the maps' likely difference they are."""
+    b = group[others]
+    ok = _fit(np.repeat(group[i : i + 1], len(b)), b, percent)
+    others, b = others[ok], b[ok]
+    both = group["n"][i].astype(np.int64) + b["n"]
+    apart = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1).astype(np.int64)
+    most = (100 - percent) * both  # (100 + percent) times the members that may differ
+    ok = (100 + percent) * apart <= most
+    # so many members that differ would flip `apart` bits on average
+    likely = -0.5 * BITS * np.log(np.maximum(1 - 2 * apart / BITS, 1e-3))
+    return others[ok], ((100 + percent) * likely <= most)[ok]
+
+
+def _spanning(percent: int):
+    """Of each large group a few pairs a member that would make its likely links' components: at most one pair for each two of them that join."""
+
+    def run(part, table):
+        out = []
+        for group, maps in _groups_of(table):
+            _, label = np.unique(group["l"], return_inverse=True)
+            for i in range(len(group) - 1):
+                end = int(np.searchsorted(group["n"], 100 * int(group["n"][i]) // percent, side="right"))
+                others = np.arange(i + 1, end)
+                others = others[label[others] != label[i]]
+                if not len(others):
+                    continue
+                others, likely = _near(group, maps, i, others, percent)
+                others = others[likely]
+                _, first = np.unique(label[others], return_index=True)
+                if len(first):
+                    others = others[first]
+                    out.append(_pairs_of(np.repeat(group[i : i + 1], len(others)), group[others]))
+                    label[np.isin(label, label[others])] = label[i]
+        if len(got := _distinct(out)):
+            yield _batch(got).select(["a", "b", "na", "nb"])
+
+    return run
+
+
 def _rest(percent: int):
-    """Of large groups: the pairs that lie in different components."""
+    """Of large groups: all pairs that can be similar enough and lie in different components."""
 
     def run(part, table):
-        x = np.zeros(table.num_rows, [*_PREFIX.descr, ("l", "<i8")])
-        for k in ("t", "c", "n", "p", "l"):
-            x[k] = table.column(k).to_numpy().view(np.uint64) if k == "t" else table.column(k).to_numpy()
-        x, out, held = x[np.lexsort((x["c"], x["n"], x["t"]))], [], 0
-        for s, e in _runs(x["t"]):
-            group = x[s:e]
+        out, held = [], 0
+        for group, maps in _groups_of(table):
             for i in range(len(group) - 1):
                 end = int(np.searchsorted(group["n"], 100 * int(group["n"][i]) // percent, side="right"))
-                b = group[i + 1 : end]
-                b = b[b["l"] != group["l"][i]]
-                a = np.repeat(group[i : i + 1], len(b))
-                ok = _fit(a, b, percent)
-                if ok.any():
-                    out.append(_pairs_of(a[ok], b[ok]))
-                    held += int(ok.sum())
-                if held > 1_000_000:
+                others = np.arange(i + 1, end)
+                others = others[group["l"][others] != group["l"][i]]
+                if len(others):
+                    others, _ = _near(group, maps, i, others, percent)
+                    out.append(_pairs_of(np.repeat(group[i : i + 1], len(others)), group[others]))
+                    held += len(others)
+                if held > 200_000:
                     yield _batch(_distinct(out)).select(["a", "b", "na", "nb"])
                     out, held = [], 0
-        if out:
+        if held:
             yield _batch(_distinct(out)).select(["a", "b", "na", "nb"])
 
     return run
@@ -405,15 +459,20 @@ def join(spark, docs: DataFrame, key: str = "doc_id", text: str = "text", percen
                 x = np.frombuffer(b, _PREFIX)
                 yield record(t=x["t"].view(np.int64), c=x["c"], n=x["n"], p=x["p"])
 
-    big = found.where("big is not null").select("big").mapInArrow(opened, "t long, c long, n int, p int")
-    big = big.join(label, big["c"] == label["node"], "left").select("t", "c", "n", "p", F.coalesce("label", "c").alias("l"))
-    big = ws.stage(big, "large")
-    mixed = big.groupBy("t").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("t")
-    open_ = big.join(mixed, "t", "left_semi").withColumn("part", F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int"))
-    more = ws.stage(by_part(open_, _rest(percent), _PAIRS).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        linked = linked.unionByName(links(ws, docs, classes, more, order, fragments, percent, "links-2"))
-        label = components(ws, linked, "components-2")
+    big = ws.stage(found.where("big is not null").select("big").mapInArrow(opened, "t long, c long, n int, p int"), "large")
+    maps = first.where("part is null and cls is not null").groupBy(F.col("cls").alias("c")).agg(F.first("blob").alias("map"))
+    maps = ws.stage(maps.join(big.select("c").distinct(), "c", "left_semi"), "maps")
+    # first pairs that make the likely components, until they make no more; then all that is left between components
+    rounds = [_spanning] * 3 + [_rest]
+    for k, step in enumerate(rounds):
+        now = big.join(label, big["c"] == label["node"], "left").select("t", "c", "n", "p", F.coalesce("label", "c").alias("l"))
+        mixed = now.groupBy("t").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("t")
+        open_ = now.join(mixed, "t", "left_semi").join(maps, "c").withColumn("part", F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int"))
+        more = ws.stage(by_part(open_, step(percent), _PAIRS).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"more-{k}")
+        if not more.isEmpty():
+            pairs = pairs.unionByName(more)
+            linked = linked.unionByName(links(ws, docs, classes, more, order, fragments, percent, f"links-{k}"))
+            label = components(ws, linked, f"components-{k}")
     named = classes.join(label, classes["cls"] == label["node"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("l"))
     least = named.groupBy("l").agg(F.min("rep").alias("component_id"))
     named = ws.stage(named.join(least, "l").select(F.col("cls").alias("of"), "component_id"), "named")

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from tidings.llm.kernels import mix
 
 TEXT_CHUNK = 4 << 20
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidings-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        own = spark.sparkContext.applicationId
+        path = _own_dirs.get(own) or _own_dirs.setdefault(own, "file://" + tempfile.mkdtemp(prefix="tidings-"))
     return path.rstrip("/")
 
 

@@ -17,7 +17,6 @@ def folder(spark: SparkSession) -> str:
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="tidings-")
-        spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 

@@ -49,16 +49,38 @@ def dedup_in_windows(df: DataFrame, keys: list[str], id_: str, time: str, owner:
 
 def sequential_near_copies(rows: list[tuple[int, str, float]], threshold: float, window: float) -> dict[int, int]:
     """Exact form of near-copy marking for one block of rows (id, text, time) in id order: each row looks at the best other row within the window that is not marked (word similarity of the stored text in the new one, ties to the lower id); if that passes and has the lower id, the row is its duplicate."""
+    from functools import lru_cache
+
     from tidings.functions.similarity import word_similarity_of
 
+    alike = lru_cache(1 << 16)(word_similarity_of)
     marked: dict[int, int] = {}
     for id_, text, at in sorted(rows):
-        near = [(-(word_similarity_of(t, text) or 0.0), k) for k, t, s in rows if k != id_ and k not in marked and abs(s - at) <= window]
+        near = [(-(alike(t, text) or 0.0), k) for k, t, s in rows if k != id_ and k not in marked and abs(s - at) <= window]
         if near and -min(near)[0] >= threshold and min(near)[1] < id_:
             marked[id_] = min(near)[1]
     return marked
 
 
+def near_copies_in_windows(df: DataFrame, key: str, id_: str, text: str, time: str, threshold: float, seconds: int) -> DataFrame:
+    """(id, original): near-copy marking of each key's rows in id order. A key's rows are cut exactly at time gaps wider than the window, as no row looks across one; rows that repeat an id are marked together, so no cut parts them."""
+    from pyspark.sql import Window as W
+
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    x = df.select(F.col(key).alias("_k"), F.col(id_).alias("id"), F.col(text).alias("_x"), at.alias("_t"))
+    x = x.withColumn("_last", F.max("_t").over(W.partitionBy("_k", "id")))
+    order = W.partitionBy("_k").orderBy("_t", "id")
+    gap = F.col("_t") - F.max("_last").over(order.rowsBetween(W.unboundedPreceding, -1)) > seconds * 1_000_000
+    x = x.withColumn("_g", F.coalesce(gap.cast("int"), F.lit(0)))
+    x = x.withColumn("_s", F.sum("_g").over(order.rowsBetween(W.unboundedPreceding, 0)))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = sequential_near_copies(list(zip(pdf["id"].tolist(), pdf["_x"], pdf["_t"].tolist(), strict=True)), threshold, seconds * 1e6)
+        return pd.DataFrame({"id": list(got), "original": list(got.values())}, dtype="int64")
+
+    return x.select("_k", "_s", "id", "_x", "_t").groupBy("_k", "_s").applyInPandas(fold, "id long, original long")
+
+
 def lockout(events: DataFrame, keys: list[str], time: str, ok: str, order: str, limit: int = 3, seconds: int = 300) -> DataFrame:
     """(keys, order, failures, locked): consecutive failures of a key before each attempt counts, and whether the attempt falls within a lock that `limit` failures set; a lock that ends, or a success, starts the count anew. Attempts during a lock count for nothing."""
     kinds = dict(events.dtypes)

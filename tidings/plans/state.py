@@ -71,17 +71,10 @@ def near_dup_snapshot(spark, sf):
 
 @query()
 def near_dup_sequential(spark, sf):
-    """Order-dependent near copies of each nation's suppliers' parts, block by block."""
-    import pandas as pd
-
+    """Order-dependent near copies of each supplier's parts over the first lines of all orders; a supplier's rows are cut at time gaps wider than the window."""
     li, p = t(spark, sf, "lineitem"), t(spark, sf, "part")
-    rows = li.where("l_linenumber = 1 and l_orderkey < 2000").join(p, li.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("id"), F.col("p_name").alias("s"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = folds.sequential_near_copies(list(zip(pdf["id"].tolist(), pdf["s"], pdf["at"].tolist(), strict=True)), 0.6, 400 * 86400e6)
-        return pd.DataFrame({"id": list(got), "original": list(got.values())}, dtype="int64")
-
-    return rows.groupBy("k").applyInPandas(fold, "id long, original long")
+    rows = li.where("l_linenumber = 1").join(p, li.l_partkey == p.p_partkey)
+    return folds.near_copies_in_windows(rows, "l_suppkey", "l_orderkey", "p_name", "l_shipdate", 0.6, 400 * 86400)
 
 
 def _messages(spark, sf):

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 from tidings import plans
 from tidings.functions.similarity import word_similarity_of
@@ -39,8 +40,39 @@ def test_near_dup_sequential(spark, tmp_path):
         lines.append((lines[-1][0], 1, 0, supplier, first))
         lines.append((8000, 2, 0, supplier, first))
     write(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp")
-    got = sorted(map(tuple, plans.QUERIES["near_dup_sequential"](spark, str(tmp_path)).collect()))
+    found = sorted(map(tuple, plans.QUERIES["near_dup_sequential"](spark, str(tmp_path)).collect()))
     want = []
     for supplier in range(3):
         want += near_copies([(k, names[p], d) for k, n, p, s, d in lines if s == supplier and n == 1], 0.6, 400).items()
-    assert got == sorted(want) and max(got)[0] >= 2000
+    assert found == sorted(want) and max(found)[0] >= 2000
+
+
+TEXTS = [
+    "One, two. THREE",
+    " (first) line, \n  Second   line: 'more'! ",
+    "أحمد  إلى آخر،\nمَدْرَسـة، \nثالث أ!",
+    "plain 🚨 first\nlater ☀️ and 🚨 again",
+    "..., only, ends ...",
+    "\n\nafter blank lines\n",
+    "",
+    None,
+]
+
+
+def documents(spark, sf, texts=TEXTS):
+    write(spark, sf, "documents", list(enumerate(texts)), "doc_id long, text string")
+
+
+def got(spark, sf, name):
+    return {r["doc_id"]: r[1] for r in plans.QUERIES[name](spark, str(sf)).collect()}
+
+
+def squeeze(s):
+    return re.sub(r"\s+", " ", s).strip()
+
+
+def test_text_normalize_en(spark, tmp_path):
+    documents(spark, tmp_path)
+    edge = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~،؛؟"
+    want = {k: None if s is None else squeeze(s.lower().strip().strip(edge)) for k, s in enumerate(TEXTS)}
+    assert got(spark, tmp_path, "text_normalize_en") == want and want[1] == "first) line, second line: 'more"

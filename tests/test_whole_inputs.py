@@ -76,3 +76,17 @@ def test_text_normalize_en(spark, tmp_path):
     edge = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~،؛؟"
     want = {k: None if s is None else squeeze(s.lower().strip().strip(edge)) for k, s in enumerate(TEXTS)}
     assert got(spark, tmp_path, "text_normalize_en") == want and want[1] == "first) line, second line: 'more"
+
+
+def test_text_normalize_ar(spark, tmp_path):
+    documents(spark, tmp_path)
+    fold = str.maketrans("أإآٱة", "ااااه")
+    full = lambda s: re.sub("[ً-ْـ]", "", f"  {s}ًأهلآ ةـ  إلى").translate(fold)
+    want = {k: None if s is None else squeeze(full(s).strip().strip("،.؛!؟\"'")) for k, s in enumerate(TEXTS)}
+    assert got(spark, tmp_path, "text_normalize_ar") == want and "مدرسه، ثالث ا" in want[2]
+
+
+def test_emoji_strip(spark, tmp_path):
+    documents(spark, tmp_path)
+    want = {k: None if s is None else "a" + re.sub("[🚨☀\ufe0f]", "", s) + "b" for k, s in enumerate(TEXTS)}
+    assert got(spark, tmp_path, "emoji_strip") == want and want[3].endswith("later  and  againb")

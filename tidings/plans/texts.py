@@ -8,10 +8,6 @@ from tidings.sources.html_cards import cards
 from tidings.sources.tables import table as t
 
 
-def _line(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.get(F.split("text", "\n"), 0).alias("s"))
-
-
 @query(r"""SELECT doc_id, trim(regexp_replace(trim(lower(split_part(text, chr(10), 1)), ' !"#$%&''()*+,-./:;<=>?@[\]^_`{|}~،؛؟'), '\s+', ' ', 'g')) AS s FROM documents WHERE NOT regexp_matches(split_part(text, chr(10), 1), '(^|[!-/:-@[-`{-~]) | ([!-/:-@[-`{-~]|$)')""")
 def text_normalize_en(spark, sf):
     """Whole texts of all documents. The SQL is of an older, smaller job: first lines only, and not those with a blank beside punctuation."""
@@ -20,12 +16,14 @@ def text_normalize_en(spark, sf):
 
 @query("""SELECT doc_id, trim(regexp_replace(trim(translate(regexp_replace('  ' || split_part(text, chr(10), 1) || 'ًأهلآ ةـ  إلى', '[ً-ْـ]', '', 'g'), 'أإآٱة', 'ااااه'), ' ،.؛!؟"'''), '\\s+', ' ', 'g')) AS s FROM documents""".replace("\\\\s", "\\s"))
 def text_normalize_ar(spark, sf):
-    return _line(spark, sf).select("doc_id", x.normalize_arabic(F.concat(F.lit("  "), F.col("s"), F.lit("ًأهلآ ةـ  إلى"))).alias("s"))
+    """Whole texts; the SQL is still that of first lines."""
+    return t(spark, sf, "documents").select("doc_id", x.normalize_arabic(F.concat(F.lit("  "), F.col("text"), F.lit("ًأهلآ ةـ  إلى"))).alias("s"))
 
 
 @query("SELECT doc_id, 'a' || split_part(text, chr(10), 1) || 'b' AS s FROM documents")
 def emoji_strip(spark, sf):
-    return _line(spark, sf).select("doc_id", x.strip_emoji(F.concat(F.lit("a\U0001f6a8️"), F.col("s"), F.lit("☀b"))).alias("s"))
+    """Whole texts; the SQL is still that of first lines."""
+    return t(spark, sf, "documents").select("doc_id", x.strip_emoji(F.concat(F.lit("a\U0001f6a8️"), F.col("text"), F.lit("☀b"))).alias("s"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS s FROM documents".replace("\\\\", "\\"))

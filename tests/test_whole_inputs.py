@@ -90,3 +90,27 @@ def test_emoji_strip(spark, tmp_path):
     documents(spark, tmp_path)
     want = {k: None if s is None else "a" + re.sub("[🚨☀\ufe0f]", "", s) + "b" for k, s in enumerate(TEXTS)}
     assert got(spark, tmp_path, "emoji_strip") == want and want[3].endswith("later  and  againb")
+
+
+def test_alert_kinds(spark, tmp_path):
+    """Alert words and notices late in long texts."""
+    from tidings.operators.resolution import ALERTS, NOTICES
+
+    late = [w for _, words in ALERTS for w in words[:1]] + ["an Apache", "the AH-64!", NOTICES[0], "nothing"]
+    texts = [f"{'filler words ' * 200}\n{w} end" for w in late for _ in range(5)] + [None] * 5
+    documents(spark, tmp_path, texts)
+    said = ("تحليق طيران حربي", "مُسيّرة في الأجواء", "AH-64 seen", "نرجو منكم ابلاغنا فورا طيران حربي", "no alert")
+
+    def fold(s):
+        s = re.sub("[ً-ٰٟـ]", "", s.replace("_", " ").strip().lower()).translate(str.maketrans("أإآٱىةؤئ", "اااايهوي"))
+        return squeeze(re.sub(r"[^\w\s-]", " ", s))
+
+    def kind(s):
+        s = fold(s)
+        if any(fold(w) in s for w in NOTICES):
+            return None
+        return next((c for c, words in ALERTS if any(fold(w) in s for w in words)), None)
+
+    want = {k: kind(f"{said[k % 5]} {s or ''}") for k, s in enumerate(texts)}
+    assert got(spark, tmp_path, "alert_kinds") == want
+    assert [want[5 * i + 4] for i in range(len(late))] == [35, 36, 38, 38, 38, None, None]

@@ -44,18 +44,21 @@ def score_tier(score: Column, high: float = 0.80, low: float = 0.50) -> Column:
 
 def alert_kind(text: Column) -> Column:
     """The code of the first alert kind that a text has a word of; null for notices and other texts."""
-    folded = fold_alert(text)
-
-    def any_of(words):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(folded, fold_alert(F.lit(w)))
-        return hit
-
-    kind = F.when(any_of(NOTICES), F.lit(None).cast("int"))
-    for code, words in ALERTS:
-        kind = kind.when(any_of(words), F.lit(code))
-    return kind
+
+    def decide(folded):
+        def any_of(words):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | F.contains(folded, fold_alert(F.lit(w)))
+            return hit
+
+        kind = F.when(any_of(NOTICES), F.lit(None).cast("int"))
+        for code, words in ALERTS:
+            kind = kind.when(any_of(words), F.lit(code))
+        return kind
+
+    # a lambda's variable, so that a long text is folded once and not for each word
+    return F.get(F.transform(F.array(fold_alert(text)), decide), 0)
 
 
 def ineligible_reason(condition: Column, status: Column, places: Column) -> Column:

@@ -80,11 +80,11 @@ def latin_place_token(spark, sf):
 
 @query()
 def alert_kinds(spark, sf):
-    """Alert rules over documents that carry alert words and notices in turn."""
+    """Alert rules over whole documents that carry alert words and notices in turn before their own text."""
     from tidings.operators.resolution import alert_kind
 
     said = F.element_at(F.array(*map(F.lit, ("تحليق طيران حربي", "مُسيّرة في الأجواء", "AH-64 seen", "نرجو منكم ابلاغنا فورا طيران حربي", "no alert"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    return t(spark, sf, "documents").select("doc_id", alert_kind(F.concat_ws(" ", said, F.substring("text", 1, 40))).alias("kind"))
+    return t(spark, sf, "documents").select("doc_id", alert_kind(F.concat_ws(" ", said, "text")).alias("kind"))
 
 
 @query()

@@ -114,3 +114,24 @@ def test_alert_kinds(spark, tmp_path):
     want = {k: kind(f"{said[k % 5]} {s or ''}") for k, s in enumerate(texts)}
     assert got(spark, tmp_path, "alert_kinds") == want
     assert [want[5 * i + 4] for i in range(len(late))] == [35, 36, 38, 38, 38, None, None]
+
+
+def test_word_similarity_topk(spark, tmp_path):
+    """Names that occur from the seventh word on, and more parts of one name than the five that are asked for."""
+    names = ["small ring", "red widget", "blue bolt", "red ring", "tiny gear", "zq xv"]
+    parts = [(k, names[k * 5 % 7 % 6]) for k in range(40)] + [(40, None)]
+    words = "one two three four five six seven eight"
+    items = [(1, f"{words} then a red widget at last"), (2, f"tiny gears and {words} small rings"), (3, f"{words} blue"), (4, None), (5, "...")]
+    write(spark, tmp_path, "part", parts, "p_partkey long, p_name string")
+    write(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    found = sorted(map(tuple, plans.QUERIES["word_similarity_topk"](spark, str(tmp_path)).select("item_id", "rank", "p_partkey", "ws", "coverage").collect()))
+
+    def grams(s):
+        return {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", s.lower()) for i in range(len(w) + 1)}
+
+    want = []
+    for item, text in items:
+        hits = [(k, word_similarity_of(n, text), word_similarity_of(text, n)) for k, n in parts if n and text and grams(n) & grams(text)]
+        best = sorted((-ws * back, -ws, k) for k, ws, back in hits)[:5]
+        want += [(item, r, k, -ws, -c) for r, (c, ws, k) in enumerate(best, 1)]
+    assert found == want and dict(parts)[found[0][2]] == "red widget"

@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+import unicodedata
 
 from tidings import plans
 from tidings.functions.similarity import word_similarity_of
@@ -135,3 +136,12 @@ def test_word_similarity_topk(spark, tmp_path):
         best = sorted((-ws * back, -ws, k) for k, ws, back in hits)[:5]
         want += [(item, r, k, -ws, -c) for r, (c, ws, k) in enumerate(best, 1)]
     assert found == want and dict(parts)[found[0][2]] == "red widget"
+
+
+def test_latin_place_token(spark, tmp_path):
+    texts = [*TEXTS, "strikes were reported near Château Chîh,\nand in Bint-Jbeil 3 later"]
+    documents(spark, tmp_path, texts)
+    fold = lambda s: re.sub("[^a-z]", "", unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()).replace("ch", "sh")
+    want = {k: None if s is None else fold(s) for k, s in enumerate(texts)}
+    found = got(spark, tmp_path, "latin_place_token")
+    assert found == want and "shateaushih" in found[len(TEXTS)] and "bintjbeil" in found[len(TEXTS)]

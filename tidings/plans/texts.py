@@ -75,7 +75,7 @@ def note_append(spark, sf):
 
 @query()
 def latin_place_token(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", x.latin_token(F.substring_index("text", " ", 3)).alias("token"))
+    return t(spark, sf, "documents").select("doc_id", x.latin_token(F.col("text")).alias("token"))
 
 
 @query()

@@ -55,3 +55,12 @@ def test_nulls_empty_and_extra_columns(spark, tmp_path):
     assert {(r["doc_id"], r["component_id"]) for r in rows.collect()} == {(None, None), (3, 2), (2, 2), (5, 5)}
     kept = ngram_join.drop_near_copies(spark, df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {None, 2, 5}
+
+
+def test_keys_that_repeat_lose_no_text(spark):
+    """One row of each component of rows stays, also if a key has two texts or repeats with the same one."""
+    a, b, c = "a b c d e f", "p q r s t u", "v w x y z zz"
+    df = spark.createDataFrame([(3, b), (5, a), (5, b), (9, a), (7, c), (7, c), (8, None), (8, None)], "doc_id long, text string")
+    kept = ngram_join.drop_near_copies(spark, df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.where("text is not null").collect())) == [(3, b), (5, a), (7, c)]
+    assert kept.where("text is null").count() == 2

@@ -482,10 +482,16 @@ def join(spark, docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 
 
 def drop_near_copies(spark, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component's rows those with its smallest key; documents without words and rows without a key stay. Rows that repeat a key whole are one document and stay together."""
+    """Of each component's rows one with its smallest key; documents without words and rows without a key stay. If keys repeat, rows are numbered in key order first, in a written copy, and one row stays of each component of rows."""
+    k = docs[f"`{key}`"].cast("long")
+    if not docs.select(k.alias("k")).where("k is not null").groupBy("k").count().where("count > 1").isEmpty():
+        # a random second key deals rows that repeat a key over the tasks
+        numbered = docs.withColumn("__k", k).withColumn("__r", F.rand(0)).orderBy("__k", "__r")
+        numbered = numbered.withColumn("__row", F.when(F.col("__k").isNotNull(), F.monotonically_increasing_id())).drop("__k", "__r")
+        docs, key = Workspace(spark, "rows").stage(numbered, "numbered"), "__row"
     rows, _ = join(spark, docs, key, text)
-    go = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__go")).distinct()
-    return docs.join(go, docs[f"`{key}`"].cast("long") == go["__go"], "left_anti")
+    go = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__go"))
+    return docs.join(go, docs[f"`{key}`"].cast("long") == go["__go"], "left_anti").drop("__row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

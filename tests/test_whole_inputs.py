@@ -145,3 +145,16 @@ def test_latin_place_token(spark, tmp_path):
     want = {k: None if s is None else fold(s) for k, s in enumerate(texts)}
     found = got(spark, tmp_path, "latin_place_token")
     assert found == want and "shateaushih" in found[len(TEXTS)] and "bintjbeil" in found[len(TEXTS)]
+
+
+def test_names_of_any_length_and_signs(spark):
+    """As the reference: the escaped name on word boundaries."""
+    from pyspark.sql import functions as F
+
+    from tidings.operators import joins
+
+    names = ["kafr", "kafr kila", "ain al hilweh old camp", "bint-jbeil", "st. mary", "o'hara", "saudi arabia", "(x)", ".net"]
+    texts = ["at kafr kila, bint-jbeil", "bint jbeil and ain al hilweh old camp", "st. mary o'hara", "st mary ohara", "saudi-arabia", "y (x) z", "y(x) a.net", ".net", "", None]
+    found = joins.named_in(spark.createDataFrame(list(enumerate(texts)), "id int, said string"), "id", F.col("said"), spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    want = {(k, n) for k, s in enumerate(texts) for n in names if s and re.search(rf"(?<!\w){re.escape(n)}(?!\w)", s)}
+    assert sorted(map(tuple, found.collect())) == sorted(want) and (1, "ain al hilweh old camp") in want

@@ -64,3 +64,35 @@ def test_keys_that_repeat_lose_no_text(spark):
     kept = ngram_join.drop_near_copies(spark, df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.where("text is not null").collect())) == [(3, b), (5, a), (7, c)]
     assert kept.where("text is null").count() == 2
+
+
+def components_of(spark, rows, **how):
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark, df, **how)[0].collect()}
+
+
+def test_blocks_cells_and_hot_grams(spark):
+    """With tiny limits every group goes through heads, blocks and cells, and the common n-grams are dealt by class; the result is that of brute force."""
+    rows = fixture.rows(seed=3, n=60)
+    base = [f"w{i}" for i in range(40)]
+    for k in range(24):
+        t = list(base)
+        for j in range(k // 4):
+            t[4 + 6 * j] = f"x{j}"
+        rows.append((200 + k, " ".join(t[: 40 - k % 4]), None, None, None))
+    assert components_of(spark, rows, heavy=1 << 12, small=1, hot=3, block=3) == brute(rows)
+
+
+def test_thousands_of_unlike_sets_share_their_ngrams(spark):
+    """Texts put together from few passages: each n-gram is in hundreds of unlike sets; the same passages in another order are near copies."""
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    passages = [" ".join(f"p{i}q{j}" for j in range(60)) for i in range(12)]
+    rows, first = [], {}
+    for k, own in enumerate(rng.sample([p for c in itertools.combinations(range(12), 4) for p in itertools.permutations(c)], 3000)):
+        rows.append((k, " ".join(passages[i] for i in own)))
+        first.setdefault(frozenset(own), k)
+    got = components_of(spark, rows)
+    assert got == {k: (236, first[frozenset(int(w[1:].split("q")[0]) for w in t.split())]) for k, t in rows}

@@ -15,11 +15,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        own = spark.sparkContext.applicationId
-        path = _own_dirs.get(own) or _own_dirs.setdefault(own, "file://" + tempfile.mkdtemp(prefix="tidings-"))
+        own = spark.sparkContext
+        if not own.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _own_dirs.get(own.applicationId) or _own_dirs.setdefault(own.applicationId, "file://" + tempfile.mkdtemp(prefix="tidings-"))
     return path.rstrip("/")
 
 

@@ -14,7 +14,7 @@ A prefix n-gram that up to SMALL classes share yields all their pairs. Larger gr
 in more than HOT classes are dealt by class from the start, so no task gathers one. Each class of such a group is first
 paired with the least class of its size range and of the range below (a partial aggregate). Then the groups that still lie
 in several components are cut into blocks of about BLOCK members: within blocks, pairs that parity maps of the sets call
-likely are tried, one for each two components that would join; last, every two blocks of a group meet in a task of their own
+likely are tried, one for each two components that would join, until a turn finds few; last, every two blocks of a group meet in a task of their own
 and give all pairs of different components whose sizes, places and parity maps allow a link. So a group of near copies costs
 a number of pairs in proportion to its size, and no link between components is lost: what is left out lies within one.
 Pairs, segments and labels stay in tables; the driver sees the HEAVY list and bit maps of bounded size (128 MB at most),
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.llm.kernels import mix, shingles
-from tidings.llm.work import Workspace, bitmap, by_part, chunks, components, n_parts, packed, record, unpacked
+from tidings.llm.work import Workspace, bitmap, by_part, chunks, components, joined_components, n_parts, packed, record, unpacked
 
 HEAVY = 1 << 17
 HOT = 4096
@@ -315,9 +315,10 @@ def _candidates(order, percent: int, small: int):
     return run
 
 
-def _head_pairs(big: DataFrame, percent: int) -> DataFrame:
+def _head_pairs(ws: Workspace, big: DataFrame, percent: int) -> DataFrame:
     """Each class of a large group with the least one of its size range, and of the range below, that it can be similar to."""
     heads = big.groupBy("t", "k").agg(F.min(F.struct("n", "c", "p")).alias("h")).select("t", F.explode(F.array("k", F.col("k") + 1)).alias("k"), "h")
+    heads = ws.stage(heads, "heads")
     n, p, m, q = (F.col(c).cast("long") for c in ("n", "p", "h.n", "h.p"))
     less, more = F.least(n, m), F.greatest(n, m)
     fits = (100 * less >= percent * more) & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
@@ -415,12 +416,14 @@ def _rest(percent: int):
     return run
 
 
-def _open(big: DataFrame, label: DataFrame, block: int) -> DataFrame:
+def _open(ws: Workspace, big: DataFrame, label: DataFrame, block: int, turn: int) -> DataFrame:
     """The members of the large groups that lie in several components, with the number of blocks that their group is cut into. A group is an n-gram and a size range; the range below is in it too."""
     now = big.join(label, big["c"] == label["node"], "left").select("t", "c", "n", "p", "k", F.coalesce("label", "c").alias("l"))
     now = now.withColumn("g", F.explode(F.array("k", F.col("k") + 1)))
     mixed = now.groupBy("t", "g").agg(F.min("l").alias("x"), F.max("l").alias("y"), F.max("k").alias("top"), F.count("*").alias("m")).where("x <> y and top = g")
-    return now.join(mixed.select("t", "g", F.ceil(F.col("m") / block).cast("int").alias("blocks")), ["t", "g"])
+    # written first: where it is small, the members need not be dealt by group to meet it
+    mixed = ws.stage(mixed.select("t", "g", F.ceil(F.col("m") / block).cast("int").alias("blocks")), f"mixed-{turn}")
+    return ws.stage(now.join(mixed, ["t", "g"]), f"open-{turn}")
 
 
 def _cells(open_: DataFrame, maps: DataFrame, parts: int, turn: int, all_: bool) -> DataFrame:
@@ -509,7 +512,7 @@ def join(spark, docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     found = by_part(docs.mapInArrow(_prefixes(order, reps, parts, percent), "part int, blob binary"), _candidates(order, percent, small), f"{_PAIRS}, t long, c long, n int, p int, k int")
     found = ws.stage(found, "found")
     big = found.where("t is not null").select("t", "c", "n", "p", "k")
-    pairs = found.where("a is not null").select("a", "b", "na", "nb").unionByName(_head_pairs(big, percent)).distinct()
+    pairs = found.where("a is not null").select("a", "b", "na", "nb").unionByName(_head_pairs(ws, big, percent)).distinct()
     tried = pairs = ws.stage(_may_link(pairs, classes, percent), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(big.select(F.col("c").alias("cls"))).distinct()
     wanted = ws.stage(classes.join(wanted, "cls", "left_semi"), "wanted")
@@ -519,24 +522,24 @@ def join(spark, docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         b.unpersist()
     linked = links(ws, pairs, segments, percent, "links")
     label = components(ws, linked, "components")
-    # first pairs that make the likely components, until they make no more; then all that is left between components
-    steps, turn = [_spanning] * 3 + [_rest], 0
-    while steps:
-        open_ = ws.stage(_open(big, label, block), f"open-{turn}")
-        if open_.isEmpty():
+    # first pairs that make the likely components, until a turn finds few; then all that is left between components
+    step, turn = _spanning, 0
+    while step:
+        open_ = _open(ws, big, label, block, turn)
+        members = open_.count()
+        if not members:
             break
-        step = steps.pop(0)
         cells = _cells(open_, wanted, parts, turn, step is _rest)
         more = by_part(cells, step(percent), _PAIRS).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         more = ws.stage(more, f"more-{turn}")
-        if more.isEmpty():
-            steps = [_rest] if step is not _rest else []
-        else:
+        found_now = more.count()
+        if found_now:
             tried = tried.unionByName(more)
-            linked = linked.unionByName(links(ws, more, segments, percent, f"links-{turn}"))
-            label = components(ws, linked, f"components-{turn}")
-        ws.drop(f"open-{turn}")
-        turn += 1
+            new = links(ws, more, segments, percent, f"links-{turn}")
+            linked = linked.unionByName(new)
+            label = joined_components(ws, label, new, f"components-{turn}")
+        ws.drop(f"open-{turn}", f"mixed-{turn}")
+        step, turn = None if step is _rest else _spanning if 10 * found_now > members else _rest, turn + 1
     named = classes.join(label, classes["cls"] == label["node"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("l"))
     least = named.groupBy("l").agg(F.min("rep").alias("component_id"))
     named = ws.stage(named.join(least, "l").select(F.col("cls").alias("of"), "component_id"), "named")

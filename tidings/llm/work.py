@@ -1,7 +1,9 @@
 """Shared folder, staged tables and the keyed exchange of packed arrays that the corpus operators use."""
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidings.llm.kernels import mix
 
-TEXT_CHUNK = 4 << 20
+TEXT_CHUNK = 2 << 20
+BATCH = "4m"  # bytes of an Arrow batch between Spark and a worker
 _own_dirs: dict[str, str] = {}
 
 
@@ -25,6 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH bytes while a table is written: both ends of the exchange hold a batch in memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    if before is None:
+        yield
+        return
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """A worker outlives its task: memory that nothing uses any more goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Workspace:
     """Tables that one run of an operator writes to the shared folder, so that a lost executor costs no recomputation of earlier steps."""
 
@@ -35,7 +61,8 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -68,6 +95,8 @@ def chunks(batches, size: int = TEXT_CHUNK):
                 held, total = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        held = []
+    give_back()
 
 
 def by_part(rows: DataFrame, fn, schema: str) -> DataFrame:
@@ -89,6 +118,8 @@ def by_part(rows: DataFrame, fn, schema: str) -> DataFrame:
                 at = end
         if held:
             yield from fn(now, pa.Table.from_batches(held))
+        held = []
+        give_back()
 
     return rows.repartition(n_tasks(rows.sparkSession), F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
 
@@ -98,13 +129,13 @@ def record(**columns) -> pa.RecordBatch:
 
 
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
-    """Connected components of edges (a, b): node, label = smallest node. Alternates large-star and small-star steps, each written to the shared folder, until nothing changes; rounds grow with the logarithm of the longest chain. A hub's edges are reduced by partial aggregation and never gathered."""
+    """Connected components of edges (a, b): node, label = smallest node, for all nodes but the smallest ones. Each round is a large-star and a small-star step, written to the shared folder, until nothing changes; rounds grow with the logarithm of the longest chain. A hub's edges are reduced by partial aggregation and never gathered."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs, k, last = ws.stage(pairs, f"{name}-0"), 0, None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = ws.stage(large, f"{name}-large-{k}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
@@ -119,6 +150,17 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def joined_components(ws: Workspace, label: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """Components after more edges (a, b), from those before: only the edges between components are followed."""
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    ends = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    more = components(ws, ends, f"{name}-between")
+    up = more.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = label.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return ws.stage(old.unionByName(more), name)
+
+
 class Bitmap:
     """A set of 64-bit values, kept as one bit for each hash prefix: no member is missed, a few others pass. About 16 bits a member, at most 2 ** 30 bits (128 MB); beyond that more others pass, which costs work and no results."""
 

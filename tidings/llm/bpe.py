@@ -7,12 +7,16 @@ can still be continued meet; what lies before the meeting point is stable and is
 is bounded by the merge list (`lookahead`): the longest token times the longest chain of merges of falling rank that can
 undo one another. The transducer thus holds a number of states that does not depend on the text.
 
-Texts are cut by the tokenizer's pattern first; encodings of the pieces met last are kept in a memo of fixed size.
+Texts are cut by the tokenizer's pattern first. The new short pieces of a chunk of texts go through transducers in lock step:
+each step reads one byte of every piece, walks a trie of reversed tokens for the tokens that may end there, and keeps the
+longest that may follow the last token before it. Longer pieces stream one by one. Encodings of the words met last are kept
+in a memo of MEMO bytes at most, for one task, and answers on neighbours in a table of fixed size; both only spare work.
 Decoding feeds each token's bytes to a UTF-8 state machine that holds at most three bytes.
 
 Edge cases: null and empty texts give no tokens; strings of special tokens become their ids, as the library does; ill-formed
-byte sequences decode to U+FFFD as the library does; repeated rows encode alike; very long pieces stream; an empty table
-gives an empty result; extra columns are ignored by the query and dropped by the stage.
+byte sequences decode to U+FFFD as the library does; repeated rows encode alike; very long pieces stream and stay out of the
+memo; no two encodings of a text tie, as merges of equal rank go from the left; an empty table gives an empty result; extra
+columns, whatever their names, are ignored by the query and dropped by the stage.
 """
 
 import codecs
@@ -25,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.work import chunks, record
+from tidings.llm.work import chunks, give_back, record
 
-KNOWN = 600_000  # pieces kept by a worker; a memo, so its size only affects speed
+MEMO = 32 << 20  # bytes of words and encodings kept by a worker, about
 SHORT = 64  # bytes up to which a piece is walked in one go
+LOCK_STEP = 20_000  # pieces that go through the transducers together
+PAIRS = 20  # the table of neighbours has 2 ** PAIRS places
 ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _models: dict = {}
 
@@ -70,7 +76,10 @@ class Model:
         self.unit = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+").findall
         self.known: dict[str, str] = {}
         self.pieces: dict[str, str] = {}
+        self.held = 0
         self.text_bytes = {str(i): b for i, b in self.bytes.items()}
+        self.text_of = [str(i) for i in range(max(self.bytes) + 1)]
+        self.tables = None
         self.bound = self.lookahead()
 
     def merge(self, tokens: list[int]) -> list[int]:
@@ -165,43 +174,134 @@ class Model:
             del last[e]
         return tokens, meet
 
-    def piece(self, piece: str) -> str:
-        """A piece's ids as text; the memo spares the walk for the pieces met last."""
-        got = self.pieces.get(piece)
-        if got is None:
-            got = ",".join(map(str, self.encode_bytes(piece.encode("utf-8", "surrogatepass"))))
-            if len(piece) <= SHORT:
-                if len(self.pieces) > KNOWN // 2:
-                    self.pieces.clear()
-                self.pieces[piece] = got
-        return got
+    def _tables(self) -> "Tables":
+        if self.tables is None:
+            self.tables = Tables(self)
+        return self.tables
+
+    def lock_step(self, pieces: list[bytes]) -> list[list[int]]:
+        """The transducers of many pieces of at most SHORT bytes, one byte of each at a time."""
+        tables, n = self._tables(), len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, n)
+        order = np.argsort(-size, kind="stable")  # longest first: the pieces that still read are the first ones
+        widest = int(size.max(initial=0))
+        data = np.zeros((n, widest), np.uint8)
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        start = (np.cumsum(size) - size)[order]
+        size = size[order]
+        data[np.arange(widest) < size[:, None]] = flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        last = np.full((widest + 1, n), -1, np.int32)
+        for end in range(1, widest + 1):
+            rows = np.arange(int(np.searchsorted(-size, -end, "right")))
+            node, found = np.zeros(len(rows), np.int64), []
+            for length in range(1, end + 1):
+                node = tables.child(node, data[rows, end - length])
+                rows, node = rows[node > 0], node[node > 0]
+                if not len(rows):
+                    break
+                token = tables.token[node]
+                some = token >= 0
+                if some.any():
+                    found.append((length, rows[some], token[some]))
+            now = last[end]
+            for length, rows, token in reversed(found):
+                still = now[rows] < 0
+                rows, token = rows[still], token[still]
+                if length < end and len(rows):
+                    fits = tables.neighbours(last[end - length][rows], token)
+                    rows, token = rows[fits], token[fits]
+                now[rows] = token
+        out: list[list[int]] = [[] for _ in range(n)]
+        rows, end = np.arange(n), size.copy()
+        while len(rows):
+            token = last[end, rows]
+            for k, t in zip(order[rows].tolist(), token.tolist(), strict=True):
+                out[k].append(t)
+            end -= tables.size[token]
+            rows, end = rows[end > 0], end[end > 0]
+        for tokens in out:
+            tokens.reverse()
+        return out
+
+    def learn(self, pieces) -> None:
+        """Puts the encodings of new pieces in the memo."""
+        new, text_of = list(pieces), self.text_of
+        for a in range(0, len(new), LOCK_STEP):
+            some = new[a : a + LOCK_STEP]
+            for piece, tokens in zip(some, self.lock_step([x.encode("utf-8", "surrogatepass") for x in some]), strict=True):
+                got = self.pieces[piece] = ",".join([text_of[t] for t in tokens])
+                self.held += 150 + 2 * len(piece) + len(got)
 
     def plain(self, text: str) -> bool:
         """Whether all white space is single blanks between words and single line ends after words."""
         return text[0] not in " \n" and text[-1] != " " and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and not any(c in text for c in ODD_SPACE)
 
-    def ordinary(self, text: str) -> str:
-        """Ids, joined by commas, of a text without special tokens."""
-        known = self.known
-        if len(known) > KNOWN:
-            known.clear()
-        # between a black character and white space the pattern always cuts, so a word with the blank or line end before it can be looked up whole
-        if self.plain(text):
-            first, *words = text.replace("\n", " \n").split(" ")
-            for w in set(words).difference(known):
-                known[w] = self.cut_up(w if w[0] == "\n" else " " + w)
-            return ",".join([self.cut_up(first), *map(known.__getitem__, words)])
-        return ",".join(map(self.cut_up, [text] if any(c in text for c in ODD_SPACE[2:]) else self.unit(text)))
-
-    def cut_up(self, text: str) -> str:
-        return ",".join(map(self.piece, self.cut(text)))
+    def _cut_up(self, text: str) -> list[str]:
+        """A text's pieces. Between a black character and white space the pattern always cuts, so texts without odd space are cut unit by unit."""
+        return [p for u in ([text] if any(c in text for c in ODD_SPACE[2:]) else self.unit(text)) for p in self.cut(u)]
+
+    def forget(self) -> None:
+        """Empties the memo."""
+        self.known, self.pieces, self.held = {}, {}, 0
+
+    def _cut_word(self, word: str) -> list[str]:
+        """The pieces of a word and the blank or line end before it."""
+        if word.isascii():
+            if word.isalpha():
+                return [" " + word]
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return [" " + word[:-1], word[-1]]
+        return self.cut(word if word[0] == "\n" else " " + word)
+
+    def _join(self, pieces: list[str]) -> str:
+        memo = self.pieces
+        return ",".join([memo[p] if p in memo else ",".join(map(str, self.encode_bytes(p.encode("utf-8", "surrogatepass")))) for p in pieces])
+
+    def encode_all(self, texts: list[str]) -> list[str]:
+        """Texts' ids in decimal, joined by commas. The pieces that are not in the memo are encoded together."""
+        known, jobs, words, pieces = self.known, [], set(), set()
+        for text in texts:
+            parts = []
+            for part in self.apart.split(text) if self.apart and "<|" in text else [text]:
+                if part in self.special:
+                    parts.append(str(self.special[part]))
+                elif part and self.plain(part):
+                    # a word with the blank or line end before it can be looked up whole
+                    first, *rest = part.replace("\n", " \n").split(" ")
+                    own = self.cut(first)
+                    pieces.update(own)
+                    words.update(rest)
+                    parts.append((own, rest))
+                elif part:
+                    own = self._cut_up(part)
+                    pieces.update(own)
+                    parts.append((own, []))
+            jobs.append(parts)
+        if self.held > MEMO:
+            # words that this chunk has again stay
+            for memo, own in ((known, words), (self.pieces, pieces)):
+                kept = {w: memo[w] for w in own.intersection(memo)}
+                memo.clear()
+                memo.update(kept)
+            self.held = sum(150 + 2 * len(w) + len(got) for memo in (known, self.pieces) for w, got in memo.items())
+        new = {w: self._cut_word(w) for w in words.difference(known)}
+        for own in new.values():
+            pieces.update(own)
+        self.learn(p for p in pieces.difference(self.pieces) if len(p) <= SHORT and len(p.encode("utf-8", "surrogatepass")) <= SHORT)
+        long = {}
+        for w, own in new.items():
+            got = self._join(own)
+            if len(w) <= SHORT:
+                known[w] = got
+                self.held += 150 + 2 * len(w) + len(got)
+            else:
+                long[w] = got
+        get = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
+        return [",".join([x if isinstance(x, str) else ",".join([self._join(x[0]), *map(get, x[1])]) for x in parts]) for parts in jobs]
 
     def encode(self, text: str) -> str:
-        """A text's ids in decimal, joined by commas."""
-        if self.apart and "<|" in text and self.apart.search(text):
-            parts = [str(self.special[p]) if p in self.special else self.ordinary(p) for p in self.apart.split(text) if p]
-            return ",".join(parts)
-        return self.ordinary(text) if text else ""
+        """One text's ids in decimal, joined by commas."""
+        return self.encode_all([text])[0]
 
     def decoder(self):
         """A function from id strings to text that keeps the bytes of an unfinished character between calls."""
@@ -216,6 +316,86 @@ class Model:
         return "".join([*out, machine.decode(b"", True)])
 
 
+class Tables:
+    """What the transducers in lock step look up, as arrays: the trie of reversed tokens, the merges, and how tokens are built up at either end."""
+
+    def __init__(self, m: Model):
+        n = max(m.ids.values()) + 1
+        self.size = np.zeros(n, np.int64)
+        child: dict[int, int] = {}
+        self.token = [-1]
+        for b, i in m.ids.items():
+            self.size[i], node = len(b), 0
+            for x in reversed(b):
+                node = child.setdefault(node << 8 | x, len(child) + 1)
+                if node == len(self.token):
+                    self.token.append(-1)
+            self.token[node] = i
+        self.token = np.array(self.token, np.int32)
+        self.first = np.zeros(256, np.int64)  # the root's children; those of other nodes in order of node and byte
+        for x in range(256):
+            self.first[x] = child.get(x, 0)
+        keys = np.array(list(child), np.int64)
+        order = np.argsort(keys)
+        self.edge, self.to = keys[order], np.array(list(child.values()), np.int64)[order]
+        self.begin = np.searchsorted(self.edge, np.arange(len(self.token) + 1, dtype=np.int64) << 8)
+        pairs = np.array([a << 32 | b for a, b in m.rank], np.int64)
+        order = np.argsort(pairs)
+        self.pair, self.rank = pairs[order], np.array([r for r, _ in m.rank.values()], np.int64)[order]
+        self.ends = [self._spines(m, side, n) for side in (1, 0)]
+        self.asked, self.answer = np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool)
+
+    @staticmethod
+    def _spines(m: Model, side: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, parts, ranks = np.zeros(n + 1, np.int64), [], []
+        for t in range(n):
+            if t in m.bytes:
+                p, r = m.spine(t, side)
+                parts += p
+                ranks += [1 << 40 if x == float("inf") else x for x in r]
+            start[t + 1] = len(parts)
+        m.spines[side].clear()
+        return start, np.array(parts, np.int64), np.array(ranks, np.int64)
+
+    def child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The trie's next nodes, 0 for none."""
+        if not len(node) or node[0] == 0:
+            return self.first[byte]
+        key = node << 8 | byte
+        at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+        return np.where(self.edge[at] == key, self.to[at], 0)
+
+    def neighbours(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each b may follow its a; answers found before are kept as long as no other pair takes their place."""
+        key = a.astype(np.int64) << 32 | b
+        place = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIRS)).astype(np.int64)
+        out, open_ = self.answer[place], np.flatnonzero(self.asked[place] != key)
+        if len(open_):
+            new, back = np.unique(key[open_], return_inverse=True)
+            ok = self._walk(new >> 32, new & 0xFFFFFFFF)
+            out[open_] = ok[back]
+            at = place[open_]
+            self.asked[at], self.answer[at] = key[open_], out[open_]
+        return out
+
+    def _walk(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Model.neighbours for arrays of pairs."""
+        (left, lp, up), (right, rp, over) = self.ends
+        i, i_end, j, j_end = left[a], left[a + 1] - 1, right[b], right[b + 1] - 1
+        ok, own = np.ones(len(a), bool), np.arange(len(a))
+        while len(own):
+            x, y = up[i], over[j]
+            key = lp[i] << 32 | rp[j]
+            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            across = np.where(self.pair[at] == key, self.rank[at], 1 << 41)
+            bad = (across < x) & (across <= y)
+            ok[own[bad]] = False
+            go = ~bad & ((i < i_end) | (j < j_end))
+            step = (x <= y)[go]
+            own, i, i_end, j, j_end = own[go], i[go] + step, i_end[go], j[go] + ~step, j_end[go]
+        return ok
+
+
 def model(path: str) -> Model:
     if path not in _models:
         _models[path] = Model(path)
@@ -234,10 +414,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches):
         bpe = model(path)
-        for table in chunks(batches):
+        for table in chunks(batches, 1 << 20):
             n, ids_sha, text_sha, ids = [], [], [], []
-            for t in table.column("text").to_pylist():
-                joined = bpe.encode(t or "")
+            for joined in bpe.encode_all([t or "" for t in table.column("text").to_pylist()]):
                 n.append(joined.count(",") + 1 if joined else 0)
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(joined).encode("utf-8", "surrogatepass")).hexdigest())
@@ -248,6 +427,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 end = np.cumsum([0, *map(len, ids)])
                 more["ids"] = pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield record(doc_id=table.column("doc_id").combine_chunks(), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids_sha, pa.string()), decoded_sha256=pa.array(text_sha, pa.string()), **more)
+        bpe.forget()
+        give_back()
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 

@@ -4,14 +4,18 @@ Texts are bytes. Of the ANCHOR-byte strings in each window, the one with the lea
 LENGTH bytes have an anchor at the same place. Anchors that occur once in the corpus are dropped by a bit map; the
 others travel with LENGTH bytes to their right and what lies to their left within reach, to the task of their hash: a bucket
 of the suffix array. There the suffixes are sorted and their common prefixes stacked to the interval tree; within each
-interval the reversed left contexts are sorted in turn, and where left extensions differ, an interval of the left tree is a
-maximal repeat with all its occurrences, not just neighbours. Those of LENGTH bytes or more are the result.
+interval the members stand in the order of their reversed left contexts, whose own interval tree tells where left extensions
+differ: each of its intervals is a maximal repeat with all its occurrences, not just neighbours, kept as a stretch of that
+order. What the groups of LENGTH bytes or more cover is the result (`tree`, on the path of the query, of the stage and of
+`repeat_groups`, which writes the groups out).
 
 Texts that are whole copies are one class and meet the others once; equal contexts of a bucket are one entry with a number
 of occurrences, so a passage that very many documents share is sorted once for each way it is embedded.
 
-Edge cases: null and empty texts have no bytes and no repeats; a text shorter than LENGTH bytes has none; repeated rows are
-copies and are removed whole from LENGTH bytes on; rows with null keys are treated like others; an empty table gives an
+Edge cases: null and empty texts have no bytes and no repeats; a text shorter than LENGTH bytes has none; very long texts
+are read whole, one at a time, in memory in proportion to their bytes; repeated rows are copies and are removed whole from
+LENGTH bytes on; equal anchor hashes within a window are all anchors; rows with null keys are treated like others; extra
+columns are ignored by the query and kept by the stage (working names start with two underscores); an empty table gives an
 empty result. Texts are told apart, and anchors found, by 64-bit hashes; contexts are compared byte by byte.
 """
 
@@ -163,24 +167,6 @@ def intervals(lcp: list[int]):
             stack.append((left, v))
 
 
-def maximal_repeats(entries: list[tuple[bytes, bytes, int]], length: int = LENGTH):
-    """Maximal repeats over the anchor of a bucket: (left, right, members) where members are numbers of the entries that share `left` bytes before the anchor and `right` from it on, left + right >= length. entries: distinct (reversed left context, right context, number of occurrences)."""
-    for k, (before, after, n) in enumerate(entries):
-        if n > 1 and len(before) + len(after) >= length:
-            yield len(before), len(after), [k]
-    order = sorted(range(len(entries)), key=lambda k: entries[k][1])
-    lcp = [_common(entries[a][1], entries[b][1]) for a, b in pairwise(order)]
-    for first, last, right in intervals(lcp):
-        need = max(1, length - right)
-        side = sorted(order[first : last + 1], key=lambda k: entries[k][0])
-        # neighbours in the left order tell where left extensions differ
-        left = [min(_common(entries[a][0], entries[b][0]), len(entries[a][0])) for a, b in pairwise(side)]
-        if right >= length and min(left) == 0:
-            yield 0, right, side
-        for i, j, depth in intervals([x if x >= need else 0 for x in left]):
-            yield depth, right, side[i : j + 1]
-
-
 def _least(values: np.ndarray) -> list[np.ndarray]:
     """Minima of all stretches of 1, 2, 4, ... values."""
     out, n = [values], 1
@@ -190,13 +176,14 @@ def _least(values: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def reach(entries: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How far a bucket's maximal repeats reach around its anchor: (entry, left, right) for each entry and interval of the suffix order, left being the deepest interval of the left order that holds the entry, where left + right >= length. Of an entry's repeats only those that no deeper suffix interval covers are given. Costs a few steps for each member of an interval, whatever the number of repeats."""
+def tree(entries: list[tuple[bytes, bytes, int]], length: int = LENGTH, best: np.ndarray | None = None):
+    """A bucket's maximal repeats around its anchor: (right, members, groups) for each interval of the suffix order, longest common prefix first on each path; members are the interval's entries in the order of their reversed left contexts, and each group (first, last, left) says that those members, and no others, share `left` bytes before the anchor and `right` from it on, left + right >= length, and that their left extensions differ beyond. Groups are stretches of the members, so none is written out. entries: distinct (reversed left context, right context, number of occurrences); an entry that occurs several times is a group of its own.
+
+    With best, an array of how many left bytes of each entry are covered so far, intervals whose groups reach no further left for any member are passed over."""
     m = len(entries)
-    whole = [k for k, (b, a, n) in enumerate(entries) if n > 1 and len(b) + len(a) >= length]
-    out = [(np.array(whole, np.int64), np.array([len(entries[k][0]) for k in whole], np.int64), np.array([len(entries[k][1]) for k in whole], np.int64))]
-    best = np.full(m, -1, np.int64)
-    best[out[0][0]] = out[0][1]
+    for k, (before, after, n) in enumerate(entries):
+        if n > 1 and len(before) + len(after) >= length:
+            yield len(after), np.array([k]), [(0, 0, len(before))]
     order = sorted(range(m), key=lambda k: entries[k][1])
     lcp = [_common(entries[a][1], entries[b][1]) for a, b in pairwise(order)]
     side = sorted(range(m), key=lambda k: entries[k][0])
@@ -206,20 +193,44 @@ def reach(entries: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> tupl
     by_rank, order = np.array(side), np.array(order)
     for first, last, right in intervals(lcp):
         r = np.sort(rank[order[first : last + 1]])
+        # common left bytes of neighbours in the left order: the least of the stretch between their ranks
         gap = np.diff(r)
         level = np.frexp(gap.astype(np.float64))[1] - 1
         near = np.empty(len(gap), np.int64)
         for k in np.unique(level).tolist():
             at = np.flatnonzero(level == k)
             near[at] = np.minimum(minima[k][r[at]], minima[k][r[at + 1] - (1 << k)])
-        left = np.maximum(np.append(near, 0), np.concatenate([[0], near]))
-        who = by_rank[r]
-        keep = (left + right >= length) & (left > best[who])
-        if keep.any():
-            who, left = who[keep], left[keep]
-            best[who] = left
-            out.append((who, left, np.full(len(who), right, np.int64)))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+        members, need = by_rank[r], length - right
+        deepest = np.maximum(np.append(near, 0), np.concatenate([[0], near]))
+        if not (deepest >= need).any() or best is not None and not ((deepest >= need) & (deepest > best[members])).any():
+            continue
+        # the left tree's intervals are where left extensions differ: deeper than `need`, each with all its members
+        groups = list(intervals(np.where(near >= max(1, need), near, 0).tolist()))
+        if need <= 0 and near.min() == 0:
+            groups.append((0, len(members) - 1, 0))
+        yield right, members, groups
+
+
+def maximal_repeats(entries: list[tuple[bytes, bytes, int]], length: int = LENGTH):
+    """Maximal repeats over the anchor of a bucket, written out: (left, right, members)."""
+    for right, members, groups in tree(entries, length):
+        for first, last, left in groups:
+            yield left, right, members[first : last + 1].tolist()
+
+
+def reach(entries: list[tuple[bytes, bytes, int]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far a bucket's maximal repeats reach around its anchor: (entry, left, right), of each interval's groups the one with most left bytes for each of its members. Groups that an entry's groups of longer `right` cover are left out."""
+    best = np.full(len(entries), -1, np.int64)
+    out = [np.zeros((0, 3), np.int64)]
+    for right, members, groups in tree(entries, length, best):
+        left = np.full(len(members), -1, np.int64)
+        for first, last, depth in reversed(groups):  # a group comes after the narrower ones in it
+            left[first : last + 1] = depth
+        keep = left > best[members]
+        who, left = members[keep], left[keep]
+        best[who] = left
+        out.append(np.stack([who, left, np.full(len(who), right)], axis=1))
+    return tuple(np.concatenate(out).T)
 
 
 def forms(x: np.ndarray, ctx: list[bytes]) -> tuple[list[tuple[bytes, bytes, int]], list[list[int]]]:
@@ -273,7 +284,7 @@ def _spans(part, table):
     c, s, e = [], [], []
     for x, ctx in _buckets(table):
         if len(ctx) == 2:
-            # the whole tree of two suffixes is one interval
+            # the tree of two suffixes: one interval, one group
             (n, m), (a, b) = x["l"].tolist(), ctx
             left, right = _common(a[:n][::-1], b[:m][::-1]), _common(a[n:], b[m:])
             if left + right >= LENGTH:

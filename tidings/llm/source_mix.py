@@ -7,9 +7,10 @@ threshold are taken by a filter: nothing is sorted, and a source with a third of
 map side. A source's budget above its size repeats all its documents once and takes the rest by threshold; budgets are
 nested: a larger one keeps all that a smaller one took.
 
-Edge cases: null text counts 0 words; a null source is a source of its own, last in order; a null doc_id hashes as such;
-rows with the same doc_id share a place and are taken together; an empty table gives an empty result; a source without
-words takes nothing. Extra columns are kept and may have any name but those that start with __mix_.
+Edge cases: null and empty texts count 0 words; very long texts are counted whole; documents of no words go with their
+place, never more often than the source's passes allow; a null source is a source of its own, last in order; a null doc_id
+hashes as such; rows with the same doc_id share a place (a tie) and are taken together; an empty table gives an empty result;
+a source without words takes nothing. Extra columns are kept and may have any name but those that start with __mix_.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -72,8 +73,9 @@ def thresholds(sized: DataFrame, ws: Workspace, **how) -> DataFrame:
     cut = fine.where(taken).groupBy(F.col(_KEY).alias("c")).agg(F.max(_H).alias("last"))
     cut = edge.join(cut, edge["source"].eqNullSafe(cut["c"]), "left").select(F.col("source").alias("c"), F.coalesce(F.col("last"), F.shiftleft("bucket", 53) - 1).alias("last"))
     out = goal.join(cut, goal["source"].eqNullSafe(cut["c"]), "left")
-    every = F.when(F.col("budget") > 0, F.lit(2**63 - 1)).otherwise(F.lit(-1))
-    return ws.stage(out.select(F.col("source").alias("__mix_of"), F.col("size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), F.col("passes").alias("__mix_passes"), F.coalesce("last", every).alias("__mix_last")), "thresholds")
+    # no budget left: none once more, not even documents of no words
+    every = F.lit(2**63 - 1)
+    return ws.stage(out.select(F.col("source").alias("__mix_of"), F.col("size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), F.col("passes").alias("__mix_passes"), F.when(F.col("budget") > 0, F.coalesce("last", every)).otherwise(F.lit(-1)).alias("__mix_last")), "thresholds")
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:

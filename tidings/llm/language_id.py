@@ -8,9 +8,10 @@ n-grams are of three characters over letters (lower-cased) and single blanks for
 digits and markup say nothing. Prototypes are sums, added up task by task; what is common to all languages is taken out by
 subtracting the mean of the prototypes' directions. What reaches the driver is one vector a language.
 
-Edge cases: null texts and texts without a letter are `und` with score 0; null languages are not learnt; without learnt
-languages every text is `und`; ties go to the first language by code point; repeated rows count each time; an empty table
-gives an empty result.
+Edge cases: null texts and texts without a letter (str.isalpha; number signs are none) are `und` with score 0; null languages
+are not learnt; without learnt languages every text is `und`; ties go to the first language by code point; repeated rows
+count each time and are judged alike; very long texts are counted whole, by their distinct n-grams; extra columns, whatever
+their names, are ignored; an empty table gives an empty result.
 """
 
 import re
@@ -52,6 +53,11 @@ def gram(key: int, dims: int = DIMENSIONS) -> np.ndarray:
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A text's distinct n-grams and their counts; none if it has no letter."""
     clean = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    if not clean.isascii():
+        # number signs such as ½ or Ⅷ count as word characters, but are no letters
+        signs = [c for c in set(clean) if c != " " and not c.isalpha()]
+        if signs:
+            clean = " ".join(clean.translate(dict.fromkeys(map(ord, signs), " ")).split())
     if not clean:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)

@@ -8,12 +8,14 @@ written by one task as a stream under a name of the attempt and then renamed, so
 
 Edge cases: null text is an empty document (its end id only); rows with a null key come first and are stored but not
 indexed; rows with equal keys are stored one after another (ordered by a hash of the text) and a look-up returns all of
-them, from each shard whose range holds the key; an empty table writes no shard; extra columns are ignored.
+them, from each shard whose range holds the key; very long texts are encoded whole, one batch of about 4 MB or one text at a
+time; an empty table writes no shard; extra columns, also ones named key, tie or shard, are ignored.
 """
 
 import io
 import json
 import os
+import uuid
 import zlib
 
 import numpy as np
@@ -26,6 +28,7 @@ from tidings.llm.work import Workspace, chunks, n_tasks, record
 
 MARK = b"tidtok1\n"
 KNOWN = 700_000  # words kept between batches by a worker; a memo, so its size only affects speed
+LONG = 64  # longer words stay out of the memo, which bounds its bytes
 END_ID = 2
 _encoders: dict = {}
 
@@ -67,7 +70,10 @@ class WordEncoder:
         for word, (stem, sign) in missing.items():
             self.known[word] = self.known[stem] + self.known[sign]
         get, stop = self.known.__getitem__, np.array([end], self.dtype).tobytes()
-        return [b"".join(map(get, words)) + stop for words in split]
+        out = [b"".join(map(get, words)) + stop for words in split]
+        for word in [w for w in (*missing, *new) if len(w) > LONG]:
+            self.known.pop(word, None)
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -85,7 +91,7 @@ def _open(uri: str):
 def write_shard(uri: str, batches, encode, end: int = END_ID) -> dict | None:
     """One shard from tables (key, text) in key order; what it holds, or None for no rows."""
     where, path = _open(uri)
-    keys, counts, ok, out, part = [], [], [], None, f"{path}.{os.getpid()}.part"
+    keys, counts, ok, out, part = [], [], [], None, f"{path}.{uuid.uuid4().hex}.part"
     for table in batches:
         if out is None:
             where.create_dir(os.path.dirname(path), recursive=True)

@@ -1,9 +1,10 @@
 """Language-model scoring by a subword lattice.
 
 The pieces of an existing vocabulary are the arcs of a lattice over a word's bytes; a word's probability is the sum over
-all its segmentations, found by a forward recursion in log space, and a text's that of its words and an end. Piece
-probabilities start from the order that the vocabulary's scores give and are re-estimated on the training texts by
-expectation-maximisation (forward and backward over each distinct word, weighted by its count). Single bytes are pieces
+all its segmentations, found by a forward recursion in log space, and a text's that of its words and an end. A departure
+from the method's wording: the scores of the vocabulary at hand are ranks (0, -1, -2, ...), not log probabilities, so they
+enter as an order only (Zipf by rank), and piece probabilities are re-estimated from there on the training texts by one round
+of expectation-maximisation (forward and backward over each distinct word, weighted by its count). Single bytes are pieces
 too, so every text has a probability, and the probabilities of all texts sum to one.
 
 Words are counted once for the whole corpus, in parts by hash; each distinct word is scored once, in its part. Counts and
@@ -12,7 +13,8 @@ other words. What the driver sees is that head, the piece weights and totals.
 
 Edge cases: null and empty texts have the end token only; a null doc_id is held out from nothing and trains; repeated rows
 count each time; without training texts counts are 0, N is 0 and V is 0; an empty table gives an empty result; words of any
-length are scored whole. Words are told apart by 64-bit hashes of their bytes.
+length are scored whole, those over LONG bytes a stretch at a time; extra columns, whatever their names, are ignored. Words
+are told apart by 64-bit hashes of their bytes.
 """
 
 import zlib
@@ -27,6 +29,7 @@ from tidings.llm.work import Workspace, by_part, chunks, n_parts, record, unpack
 
 HEAD = 1 << 18
 ROUNDS = 1
+LONG = 4096  # bytes of a word above which its arcs are found a stretch at a time
 UNIT = 1_500_000  # words whose counts a task holds before it passes them on
 _COUNT = np.dtype([("h", "<u8"), ("n", "<i8"), ("a", "<i8"), ("len", "<i4")])
 _TAIL = np.dtype([("h", "<u8"), ("row", "<i8"), ("n", "<i4")])
@@ -117,7 +120,7 @@ class Lattice:
     def groups(self, data: np.ndarray, size: np.ndarray):
         """Words by length, START put before each: (their numbers, arcs)."""
         start = np.cumsum(size) - size
-        for n in np.unique(size).tolist():
+        for n in np.unique(size[size <= LONG]).tolist():
             own = np.flatnonzero(size == n)
             step = max(1, 400_000 // ((n + 3) * min(self.longest, n + 3)))
             for a in range(0, len(own), step):
@@ -133,8 +136,55 @@ class Lattice:
         with np.errstate(divide="ignore"):
             for rows, arcs in self.groups(data, size):
                 out[rows] = self.forward(self._weights(arcs))[:, -1] / np.log(10)
+            for k, word in self.long_words(data, size):
+                out[k] = self.long_forward(word)[-1] / np.log(10)
         return out
 
+    def long_words(self, data: np.ndarray, size: np.ndarray):
+        """The words over LONG bytes, one at a time, with START before them."""
+        start = np.cumsum(size) - size
+        for k in np.flatnonzero(size > LONG).tolist():
+            yield k, np.concatenate([np.frombuffer(START, np.uint8), data[start[k] : start[k] + size[k]]])
+
+    def _stretches(self, word: np.ndarray):
+        """(first end - 1, arcs) of each stretch of a long word, in order. A stretch begins with the bytes that its first arcs reach back to."""
+        for a in range(0, len(word), LONG):
+            back = min(a, self.longest - 1)
+            piece = word[a - back : a + LONG]
+            yield a, self.arcs(piece, 1, len(piece))[0, back:]
+
+    def long_forward(self, word: np.ndarray) -> np.ndarray:
+        """The forward recursion over one word; besides its result only a stretch's arcs are held."""
+        alpha = np.full(len(word) + 1, -np.inf)
+        alpha[0] = 0
+        for a, arcs in self._stretches(word):
+            w = self._weights(arcs)
+            for e in range(a + 1, a + 1 + len(w)):
+                k = min(e, w.shape[1])
+                x = alpha[e - k : e][::-1] + w[e - 1 - a, :k]
+                top = x.max()
+                alpha[e] = top + np.log(np.exp(x - top).sum())
+        return alpha
+
+    def long_expected(self, word: np.ndarray, weight: float, out: np.ndarray) -> None:
+        """expected() of one long word: stretches from the last to the first, with beta carried back."""
+        alpha, n = self.long_forward(word), len(word)
+        beta = np.full(n + 1, -np.inf)
+        beta[n] = 0
+        for a in range((n - 1) // LONG * LONG, -1, -LONG):
+            end, back = min(n, a + LONG), min(a, self.longest - 1)
+            piece = word[a - back : end]
+            own = self.arcs(piece, 1, len(piece))[0, back:]
+            w = self._weights(own)
+            for e in range(end, a, -1):
+                k = min(e, w.shape[1])
+                starts = e - np.arange(1, k + 1)
+                x = w[e - 1 - a, :k] + beta[e]
+                p = np.exp(alpha[starts] + x - alpha[n]) * weight
+                hit = own[e - 1 - a, :k] >= 0
+                np.add.at(out, own[e - 1 - a, :k][hit], p[hit])
+                beta[starts] = np.logaddexp(beta[starts], x)
+
 
 def _held(keys: list) -> np.ndarray:
     return np.array([k is not None and zlib.crc32(str(k).encode()) % 10 == 0 for k in keys], bool)
@@ -220,6 +270,8 @@ def _expected(lattice, slices: int):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     for rows, arcs in lattice.value.groups(data[kept], size[train]):
                         lattice.value.expected(arcs, n[train][rows].astype(float), out)
+                    for k, word in lattice.value.long_words(data[kept], size[train]):
+                        lattice.value.long_expected(word, float(n[train][k]), out)
         for k, x in enumerate(np.array_split(out, slices)):
             yield record(part=np.array([k], np.int32), blob=[x.tobytes()])
 

@@ -8,8 +8,9 @@ bin numbers and vector additions.
 Training reads labelled rows only, at most MAX_TRAIN of them (those with the least hash of the id, so that reruns agree);
 statistics and scores cover every row and whole texts. Edge cases: null and empty texts have zero statistics and are
 scored like others; labels that are null, or of ids that are missing or null, are ignored; labels of a repeated id count
-once for each row; without labels, or with one class only, the score is the share of label 1 (0.5 without labels); an
-empty table gives an empty result.
+once for each row; without labels, or with one class only, the score is the share of label 1 (0.5 without labels); very
+long texts are measured whole; repeated rows score alike; ties of the id's hash go by id, then label; extra columns of either
+table, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 import re

@@ -5,7 +5,8 @@ Each rule votes good, bad or abstains on a document. Expectation-maximisation ov
 without labels. Rules about junk abstain where they see none, as its absence says little; a document's verdict is the posterior probability that it is good. Pre-aggregation: one count for each
 pattern, summed on the map side, so a hot source or group of copies costs nothing extra.
 
-Edge cases: a null or blank text has no words and fails the base rules; repeated rows are judged alike; an empty table
+Edge cases: a null or blank text has no words and fails the base rules; very long texts are counted whole, in arrays of their
+words and windows; repeated rows are judged alike; a posterior of exactly the threshold keeps the document; an empty table
 gives an empty result and default accuracies; columns that clash with the working names are kept, as those have a prefix.
 """
 

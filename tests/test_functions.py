@@ -97,7 +97,7 @@ def test_sources(spark, tmp_path):
 
 def test_cursor_feed_streams_once(spark, tmp_path):
     def fetch(after, limit):
-        items = [{"id": i, "text": f"t{i}", "platform": "p", "include": None} for i in range(after + 1, min(after + 3, 6))]
+        items = [{"id": i, "external_id": "x", "post_text": f"t{i}", "source_platform": "p", "include": None, "confidence": 0.5, "category": "c"} for i in range(after + 1, min(after + 3, 6))]
         return items, max([after, *(x["id"] for x in items)])
 
     spark.dataSource.register(cursor.feed("tidings_feed", fetch))
@@ -107,4 +107,6 @@ def test_cursor_feed_streams_once(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     got = spark.read.parquet(str(tmp_path / "o")).collect()
-    assert sorted(r["external_id"] for r in got) == ["1", "2", "3", "4", "5"] and all(r["classification"] == {"include": None} for r in got)
+    assert sorted(r["external_message_id"] for r in got) == ["1", "2", "3", "4", "5"] and all(r["classification"] == {"include": None, "confidence": "0.5"} for r in got)
+    assert {(r["raw_text"], r["source_platform"], r["origin_platform"], r["origin_account"]) for r in got} == {(f"t{i}", "p", "p", None) for i in range(1, 6)}
+    assert cursor.normalize({"id": 4, "post_text": "x", "post_date": None})[5] is None

@@ -18,7 +18,7 @@ NOTICES = ("نرجو منكم ابلاغنا فورا", "عبر البوت ال
 SECOND_FACT = (35, 36, 38, 45)
 
 
-def resolve(mentions: DataFrame, mention_id: str, mention: Column, dim: DataFrame, dim_id: str, name: Column, k: int = 5, required: dict[int, str] | None = None) -> DataFrame:
+def resolve(mentions: DataFrame, mention_id: str, mention: Column, dim: DataFrame, dim_id: str, name: Column, k: int = 5, required: dict[int, str] | None = None, high: float = HIGH, low: float = LOW) -> DataFrame:
     """(mention_id, matched_id, confidence, status): of the k nearest names the first whose required word the mention has decides: matched, low_confidence, or unmatched with the score but no id."""
     pairs = shared_trigrams(mentions, mention_id, mention, dim, dim_id, name)
     best = top_k(pairs, mention_id, k, F.desc("score"), F.col(dim_id))
@@ -29,8 +29,8 @@ def resolve(mentions: DataFrame, mention_id: str, mention: Column, dim: DataFram
     first = best.groupBy(mention_id).agg(F.min_by(F.struct(F.col(dim_id).alias("id"), "score"), "rank").alias("b"))
     out = mentions.select(mention_id).join(first, mention_id, "left")
     score = F.col("b.score")
-    status = F.when(score >= HIGH, "matched").when(score >= LOW, "low_confidence").otherwise("unmatched")
-    return out.select(mention_id, F.when(score >= LOW, F.col("b.id")).alias("matched_id"), F.coalesce(score, F.lit(0.0)).alias("confidence"), status.alias("status"))
+    status = F.when(score >= high, "matched").when(score >= low, "low_confidence").otherwise("unmatched")
+    return out.select(mention_id, F.when(score >= low, F.col("b.id")).alias("matched_id"), F.coalesce(score, F.lit(0.0)).alias("confidence"), status.alias("status"))
 
 
 def event_score(same_place_action: Column, days: Column, cosine: Column, window: int = 3) -> Column:

@@ -8,9 +8,9 @@ from tidings.plans.registry import query
 from tidings.sources.tables import table as t
 
 
-@query("SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+@query("SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 250000 WHERE o_orderkey IS NULL")
 def anti_null_join(spark, sf):
-    c, o = t(spark, sf, "customer"), t(spark, sf, "orders")
+    c, o = t(spark, sf, "customer"), t(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 250000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
@@ -158,12 +158,7 @@ def trigram_top1(spark, sf):
 def entity_resolution(spark, sf):
     from tidings.operators import resolution
 
-    high, low = resolution.HIGH, resolution.LOW
-    resolution.HIGH, resolution.LOW = 0.2, 0.12
-    try:
-        out = resolution.resolve(_mentions(spark, sf), "n_nationkey", F.col("said"), t(spark, sf, "part"), "p_partkey", F.col("p_name"))
-    finally:
-        resolution.HIGH, resolution.LOW = high, low
+    out = resolution.resolve(_mentions(spark, sf), "n_nationkey", F.col("said"), t(spark, sf, "part"), "p_partkey", F.col("p_name"), high=0.2, low=0.12)
     return out.withColumn("confidence", F.round("confidence", 6))
 
 

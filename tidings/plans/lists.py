@@ -154,13 +154,14 @@ def page_row_numbers(spark, sf):
     return rows.select("s_suppkey", "s_name", (n + (page - 1) * size).cast("long").alias("n"))
 
 
-@query("SELECT o_orderkey, date_diff('day', o_orderdate, l_shipdate) * 86400.0 AS seconds FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 WHERE l_shipdate >= o_orderdate")
+@query("SELECT o_orderkey, greatest(0, CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * date_diff('day', o_orderdate, l_shipdate)) * 86400.0 AS seconds FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1")
 def duration_clamped(spark, sf):
     from tidings.functions.values import duration_seconds
 
     o, li = t(spark, sf, "orders"), t(spark, sf, "lineitem").where("l_linenumber = 1")
-    x = o.join(li, o.o_orderkey == li.l_orderkey).where("l_shipdate >= o_orderdate")
-    return x.select("o_orderkey", duration_seconds(F.col("o_orderdate"), F.col("l_shipdate")).alias("seconds"))
+    x = o.join(li, o.o_orderkey == li.l_orderkey)
+    ends = [F.when(F.col("o_orderkey") % 2 == 0, F.col(b)).otherwise(F.col(a)) for a, b in (("o_orderdate", "l_shipdate"), ("l_shipdate", "o_orderdate"))]
+    return x.select("o_orderkey", duration_seconds(*ends).alias("seconds"))
 
 
 @query("SELECT monthname(o_orderdate) AS month, count(*) AS n FROM orders GROUP BY 1")
@@ -168,12 +169,13 @@ def month_names(spark, sf):
     return t(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "MMMM").alias("month")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_nationkey, concat_ws(' - ', n_name, r_name) AS label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE coalesce(nullif(trim(n_name), ''), nullif(trim(r_name), '')) IS NOT NULL""")
+@query("""SELECT n_nationkey, coalesce(nullif(trim(CASE WHEN n_nationkey % 3 = 0 THEN ' ' ELSE n_name END), ''), nullif(trim(CASE WHEN n_nationkey % 6 <> 0 THEN r_name END), '')) AS label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 0""")
 def option_labels(spark, sf):
     n, r = t(spark, sf, "nation"), t(spark, sf, "region")
     x = n.join(r, n.n_regionkey == r.r_regionkey, "left")
-    first = F.coalesce(F.nullif(F.trim("n_name"), F.lit("")), F.nullif(F.trim("r_name"), F.lit("")))
-    return x.where(first.isNotNull()).select("n_nationkey", F.concat_ws(" - ", "n_name", "r_name").alias("label"))
+    own, other = F.when(F.col("n_nationkey") % 3 == 0, F.lit(" ")).otherwise(F.col("n_name")), F.when(F.col("n_nationkey") % 6 != 0, F.col("r_name"))
+    first = F.coalesce(F.nullif(F.trim(own), F.lit("")), F.nullif(F.trim(other), F.lit("")))
+    return x.where(first.isNotNull()).select("n_nationkey", first.alias("label"))
 
 
 @query("SELECT c_custkey, lower(c_mktsegment) = lower('Building') OR lower(c_name) = lower('CUSTOMER#000000007') AS named FROM customer")

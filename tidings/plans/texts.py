@@ -8,21 +8,34 @@ from tidings.sources.html_cards import cards
 from tidings.sources.tables import table as t
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(trim(lower(split_part(text, chr(10), 1)), ' !"#$%&''()*+,-./:;<=>?@[\]^_`{|}~،؛؟'), '\s+', ' ', 'g')) AS s FROM documents WHERE NOT regexp_matches(split_part(text, chr(10), 1), '(^|[!-/:-@[-`{-~]) | ([!-/:-@[-`{-~]|$)')""")
+_W = r"[\t\n\x0b\f\r \x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]"  # white space
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_W}+|{_W}+$', '', 'g')"
+
+
+def _sql_name(x: str, edge: str) -> str:
+    """SQL of a normalized name: white space and edge signs go from the ends, runs of white space are one blank."""
+    edge = edge.replace("'", "''")
+    return _sql_strip(f"regexp_replace(trim({_sql_strip(x)}, '{edge}'), '{_W}+', ' ', 'g')")
+
+
+@query(f"SELECT doc_id, {_sql_name('lower(text)', x.ENGLISH_EDGE)} AS s FROM documents")
 def text_normalize_en(spark, sf):
-    """Whole texts of all documents. The SQL is of an older, smaller job: first lines only, and not those with a blank beside punctuation."""
     return t(spark, sf, "documents").select("doc_id", x.normalize_english(F.col("text")).alias("s"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(trim(translate(regexp_replace('  ' || split_part(text, chr(10), 1) || 'ًأهلآ ةـ  إلى', '[ً-ْـ]', '', 'g'), 'أإآٱة', 'ااااه'), ' ،.؛!؟"'''), '\\s+', ' ', 'g')) AS s FROM documents""".replace("\\\\s", "\\s"))
+_MARKED = "'  ' || text || 'ًأهلآ ةـ  إلى'"
+
+
+@query(f"SELECT doc_id, {_sql_name(f"translate(regexp_replace({_MARKED}, '{x.ARABIC_MARKS}', '', 'g'), '{x.ARABIC_FROM}', '{x.ARABIC_TO}')", x.ARABIC_EDGE)} AS s FROM documents")
 def text_normalize_ar(spark, sf):
-    """Whole texts; the SQL is still that of first lines."""
     return t(spark, sf, "documents").select("doc_id", x.normalize_arabic(F.concat(F.lit("  "), F.col("text"), F.lit("ًأهلآ ةـ  إلى"))).alias("s"))
 
 
-@query("SELECT doc_id, 'a' || split_part(text, chr(10), 1) || 'b' AS s FROM documents")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace('a\U0001f6a8️' || text || '☀b', '{x.EMOJI}', '', 'g'), '{x.SELECTORS}', '', 'g') AS s FROM documents")
 def emoji_strip(spark, sf):
-    """Whole texts; the SQL is still that of first lines."""
     return t(spark, sf, "documents").select("doc_id", x.strip_emoji(F.concat(F.lit("a\U0001f6a8️"), F.col("text"), F.lit("☀b"))).alias("s"))
 
 
@@ -92,3 +105,42 @@ def html_post_parse(spark, sf):
     """Message cards of pages; each page is given one card around its own text."""
     card = F.concat(F.lit('<div class="tgme_widget_message" data-post="c/'), F.col("page_id").cast("string"), F.lit('"><time datetime="2024-01-01T00:00:00Z"></time><div class="tgme_widget_message_text">'), F.col("url"), F.lit("</div></div>"))
     return cards(t(spark, sf, "pages").select("page_id", F.concat(card, F.col("html")).alias("html")), "page_id", "html").drop("image_urls")
+
+
+_FEED_SQL = """
+WITH e AS (SELECT event_id, event_type, value, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'user' || user_id END AS who FROM events)
+SELECT CAST(event_id AS VARCHAR) AS external_message_id, event_type AS source_platform, who AS source_name, event_type AS origin_platform, who AS origin_account,
+  'post ' || event_id AS raw_text, '2024-01-01T00:00:00Z' AS message_datetime, event_id % 2 = 0 AS included, CASE WHEN event_id % 3 = 0 THEN 'security' END AS event_domain,
+  CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS n_kept
+FROM e
+"""
+
+
+@query(_FEED_SQL)
+def feed_records(spark, sf):
+    """Records of a provider, some sent alone and some as an array, as canonical rows."""
+    from tidings.sources.cursor import normalized, records
+
+    e = t(spark, sf, "events")
+    k = F.col("event_id")
+    record = F.to_json(
+        F.struct(
+            k.alias("id"),
+            F.concat(F.lit("x:"), k.cast("string")).alias("external_id"),
+            F.col("event_type").alias("source_platform"),
+            F.when(k % 4 != 0, F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("source_name"),
+            F.concat(F.lit("post "), k.cast("string")).alias("post_text"),
+            F.lit("2024-01-01T00:00:00Z").alias("post_date"),
+            F.when(k % 2 == 0, F.lit(True)).alias("include"),
+            F.when(k % 3 == 0, F.lit("security")).alias("event_domain"),
+            F.when(k % 5 == 0, F.lit("a place")).alias("location"),
+            F.lit("unknown").alias("category"),
+        )
+    )
+    body = F.when(k % 2 == 0, record).otherwise(F.concat(F.lit(" ["), record, F.lit("]")))
+    rows = normalized(records(e.select(body.alias("body")), "body"), "record")
+    kept = F.col("classification")
+    return rows.select(
+        "external_message_id", "source_platform", "source_name", "origin_platform", "origin_account", "raw_text", "message_datetime",
+        F.coalesce(kept["include"] == "true", F.lit(False)).alias("included"), kept["event_domain"].alias("event_domain"), F.coalesce(F.size(kept), F.lit(0)).alias("n_kept"),
+    ).withColumn("n_kept", F.greatest("n_kept", F.lit(0)).cast("long"))

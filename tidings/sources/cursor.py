@@ -1,21 +1,43 @@
-"""A cursor-paginated feed as a streaming source: the offset is the last id read, so the checkpoint holds the cursor."""
+"""A cursor-paginated feed as a streaming source: the offset is the last id read, so the checkpoint holds the cursor. Its records, and those that a provider pushes, become canonical rows."""
 
+import json
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-SCHEMA = "external_id string, message_datetime string, text string, platform string, name string, classification map<string,string>"
+SCHEMA = "external_message_id string, source_platform string, source_name string, origin_platform string, origin_account string, classification map<string,string>, raw_text string, raw_payload string, message_datetime string"
 # The keys of an upstream classification that are kept when present.
-CLASSIFICATION_KEYS = ("include", "confidence", "event_domain", "event_subtype", "category", "location", "actor", "target", "reason", "model")
+CLASSIFICATION_KEYS = ("include", "confidence", "event_domain", "event_subtype", "location", "location_in_lebanon", "is_commentary_or_analysis", "mentions_israeli_actor", "is_realtime", "reason")
+# The feed's field for each canonical column.
+FIELDS = {"source_platform": "source_platform", "source_name": "source_name", "origin_platform": "source_platform", "origin_account": "source_name", "raw_text": "post_text", "message_datetime": "post_date"}
+
+
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def normalize(record: dict) -> tuple:
-    """A provider's record as a canonical row; a key that is present stays even with a null value."""
-    known = {k: None if v is None else str(v) for k, v in record.items() if k in CLASSIFICATION_KEYS}
-    number = record.get("id")
-    return (None if number is None else str(number), record.get("message_datetime"), record.get("text"), record.get("platform"), record.get("name"), known)
+    """A provider's record as a canonical row. The id is the feed's number, not its external_id; a classification key that is present stays even with a null value, and without any the classification is null; values other than strings are JSON."""
+    known = {k: _text(record[k]) for k in CLASSIFICATION_KEYS if k in record} or None
+    row = {"external_message_id": str(record["id"]), "classification": known, "raw_payload": json.dumps(record, ensure_ascii=False)} | {k: _text(record.get(v)) for k, v in FIELDS.items()}
+    return tuple(row[c.split()[0]] for c in SCHEMA.split(", "))
+
+
+def records(bodies: DataFrame, body: str) -> DataFrame:
+    """(record): the JSON records of pushed bodies, each an object or an array of objects."""
+    listed = F.when(F.ltrim(body).startswith("["), F.col(body)).otherwise(F.concat(F.lit("["), F.col(body), F.lit("]")))
+    return bodies.select(F.explode(F.from_json(listed, "array<string>")).alias("record"))
+
+
+def normalized(rows: DataFrame, record: str) -> DataFrame:
+    """normalize() over a column of JSON records, as Columns."""
+    known = F.map_filter(F.from_json(record, "map<string,string>"), lambda k, v: k.isin(*CLASSIFICATION_KEYS))
+    got = {k: F.get_json_object(record, f"$.{v}") for k, v in FIELDS.items()}
+    got |= {"external_message_id": F.get_json_object(record, "$.id"), "classification": F.when(F.size(known) > 0, known), "raw_payload": F.col(record)}
+    return rows.select(*(got[c.split()[0]].alias(c.split()[0]) for c in SCHEMA.split(", ")))
 
 
 class _Reader(SimpleDataSourceStreamReader):

@@ -33,3 +33,51 @@ def fixture_lit(x):
     from pyspark.sql import functions as F
 
     return F.lit(x)
+
+
+def test_number_signs_are_no_letters(spark):
+    rows = [(1, "one two three four", "en"), (3, "un deux trois quatre", "fr"), (5, "½ ² ③", None), (7, "Ⅷ 12 ½", None), (9, "½ two Ⅷ three", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in l.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[5] == got[7] == "und" and got[9] != "und"
+    assert l.grams("a½b")[0].tolist() == l.grams("a b")[0].tolist()
+
+
+def test_predictions_equal_plain_sums(spark, tmp_path):
+    """Every prediction again, gram by gram from the letters' vectors; repeated rows and ties of cosine included."""
+    import zlib
+    from collections import Counter
+
+    rows = fixture.rows(seed=5, n=40)
+    rows += [(500 + i, *r[1:]) for i, r in enumerate(rows[:6])] + [rows[0]]
+    dims = l.DIMENSIONS
+
+    def vector(text):
+        text = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        clean = " ".join(text.split())
+        out = np.zeros(dims)
+        s = f" {clean} "
+        for (a, b, c), n in Counter((s[i], s[i + 1], s[i + 2]) for i in range(len(s) - 2)).items():
+            out += n * np.roll(l.letter(ord(a)).astype(float), 2) * np.roll(l.letter(ord(b)).astype(float), 1) * l.letter(ord(c))
+        return out, len(clean)
+
+    sums = {}
+    for k, text, lang, *_ in rows:
+        v, n = vector(text)
+        if lang is not None and n and zlib.crc32(str(k).encode()) % 3 != 1:
+            sums[lang] = sums.get(lang, 0) + v / np.sqrt(n)
+    langs = sorted(sums)
+    unit = np.array([sums[x] / np.linalg.norm(sums[x]) for x in langs])
+    own = unit - unit.mean(0)
+    expected = []
+    for k, text, *_ in rows:
+        v, n = vector(text)
+        if not n:
+            expected.append((k, "und", 0.0))
+            continue
+        d = v / np.linalg.norm(v) - unit.mean(0)
+        cos = [float(d @ o / np.linalg.norm(d) / np.linalg.norm(o)) for o in own]
+        best = max(range(len(langs)), key=lambda i: (round(cos[i], 5), -i))
+        expected.append((k, langs[best], min(1.0, max(0.0, cos[best]))))
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in l.query(spark, fixture.table(spark, tmp_path, rows)).collect())
+    for g, w in zip(got, sorted(expected), strict=True):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-4

@@ -74,3 +74,50 @@ def test_empty_and_null_keys(spark, tmp_path):
     df = spark.createDataFrame([(None, "a b", 1), (4, None, 2)], "doc_id long, text string, n long")
     got = sorted(m.score(spark, df, m.vocabulary_path()).collect(), key=lambda r: r["n_tokens"])
     assert [r["n_tokens"] for r in got] == [1, 3] and all(np.isfinite(r["score"]) for r in got)
+
+
+def test_long_words_by_stretches_equal_whole_ones(monkeypatch):
+    monkeypatch.setattr(m, "LONG", 37)
+    pieces = m.vocabulary(m.vocabulary_path())
+    lat = m.Lattice(pieces, m.prior(pieces))
+    word = np.frombuffer(m.START + b"onstationtheabcdefghij" * 9, np.uint8)
+    arcs = lat.arcs(word, 1, len(word))
+    assert lat.long_forward(word) == pytest.approx(lat.forward(lat._weights(arcs))[0])
+    one, two = np.zeros(len(pieces) + 1), np.zeros(len(pieces) + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        lat.expected(arcs, np.array([3.0]), one)
+        lat.long_expected(word, 3.0, two)
+    assert two == pytest.approx(one)
+
+
+def test_scores_equal_a_plain_recursion(spark, tmp_path):
+    """score again: piece weights re-estimated word by word, each text's score as the sum of its words' and the end's."""
+    rows = [(k, t, None, None, None) for k, t in enumerate(["the cat onstation", "The dog the cat", None, "", "é中x cat", "dog dog zz", "a the", "onstation the a", "a", "cat zz the", "the the cat", "dog a é中x"])]
+    held = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
+    pieces = m.vocabulary(m.vocabulary_path())
+    log_p = m.prior(pieces)
+    p = dict(zip(pieces, np.exp(log_p), strict=False))
+    count, n_docs = Counter(), 0
+    for k, t, *_ in rows:
+        if not held(k):
+            count.update(tokens(t))
+            n_docs += 1
+    got = Counter()
+    for word, c in count.items():
+        raw = m.START + word.encode()
+        n = len(raw)
+        a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for e in range(1, n + 1):
+            a[e] = sum(a[s] * p.get(raw[s:e], 0.0) for s in range(e))
+        for s in range(n - 1, -1, -1):
+            b[s] = sum(b[e] * p.get(raw[s:e], 0.0) for e in range(s + 1, n + 1))
+        for s in range(n):
+            for e in range(s + 1, n + 1):
+                if raw[s:e] in p:
+                    got[raw[s:e]] += c * a[s] * p[raw[s:e]] * b[e] / a[n]
+    weight = np.array([got[x] for x in pieces] + [n_docs]) + 0.5
+    log_q = np.log(weight / weight.sum())
+    out = {r["doc_id"]: r["score"] for r in m.query(spark, fixture.table(spark, tmp_path, rows)).collect()}
+    for k, t, *_ in rows:
+        expected = sum(brute_word(w, pieces, log_q) for w in tokens(t)) + log_q[-1] / math.log(10)
+        assert out[k] == pytest.approx(expected, abs=1e-6)

@@ -57,3 +57,10 @@ def test_edge_tables(spark, tmp_path):
     assert len(got) == 5
     df = spark.createDataFrame(same, fixture.SCHEMA).withColumnRenamed("lang", "passes").withColumnRenamed("n_chars", "last")
     assert source_mix.mix(spark, df).columns == df.columns
+
+
+def test_documents_of_no_words_are_never_taken_more_often_than_twice(spark):
+    """A source whose target is twice its size has no budget left for empty documents."""
+    rows = [(k, "a b" if k == 0 else " ", None, "a", None) for k in range(101)] + [(1000 + k, "w " * 50, None, "b", None) for k in range(40)]
+    got = source_mix.mix(spark, spark.createDataFrame(rows, fixture.SCHEMA)).groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in got) <= 2 and {r["doc_id"]: r["count"] for r in got}[0] == 2

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 
 def greedy_window(rows: Iterable[tuple[Any, float, Any, bool]], window: float, kept: list | None = None) -> list[tuple[Any, Any]]:
-    """(id, original or None) for rows (id, time, owner, confident) in order. A confident row is a duplicate of the earliest kept confident row within the window that another owner has; every other row is kept. `kept` carries state between calls."""
+    """(id, original or None) for rows (id, time, owner, confident) in order. A confident row is a duplicate of the earliest kept confident row within the window that another owner has; every other row is kept. `kept` carries the confident rows that were kept between calls; others can be no original."""
     kept = [] if kept is None else kept
     out = []
     for id_, at, owner, confident in rows:
-        hit = next((k for k, t, o, c in kept if confident and c and o != owner and abs(at - t) <= window), None)
-        if hit is None:
+        hit = next((k for k, t, o, _ in kept if o != owner and abs(at - t) <= window), None) if confident else None
+        if hit is None and confident:
             kept.append((id_, at, owner, confident))
         out.append((id_, hit))
     return out

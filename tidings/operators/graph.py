@@ -1,18 +1,19 @@
 """Connected components and representatives of clusters."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidings.sources.shared import shared_folder
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed and written to the folder in spark.checkpoint.dir (a folder of our own where that is unset), so that its lineage ends and a lost executor loses nothing."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidings-"))
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: computed once, its lineage ends, and a lost executor loses nothing."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, id_: str, edges: DataFrame, a: str, b: str) -> DataFrame:

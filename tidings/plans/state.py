@@ -8,7 +8,7 @@ from tidings.functions import text as x
 from tidings.functions import values as v
 from tidings.operators import details, folds, graph, joins, records, relevance, resolution
 from tidings.plans.registry import query
-from tidings.sources.tables import sheet, table as t, unique_headers
+from tidings.sources.tables import table as t, unique_headers
 from tidings.streaming import streams
 
 
@@ -306,9 +306,7 @@ def stream_greedy(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value >= 1 GROUP BY 1")
 def run_metrics(spark, sf):
-    """Counters of a batch, observed while it is written."""
+    """Counters of a batch."""
     g = t(spark, sf, "events").where("value >= 1").groupBy("event_type")
     return g.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
-
-__all__ = ["sheet"]

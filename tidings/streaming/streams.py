@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidings.operators.folds import greedy_window
+from tidings.sources.shared import shared_folder
 
 
 def folder(spark: SparkSession) -> str:
     """A new folder for a stream's checkpoint and output, shared by driver and executors."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="tidings-")
-    return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +56,7 @@ def upsert(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
 def greedy(df: DataFrame, keys: list[str], id_: str, time: str, owner: str, confident: str, seconds: int) -> DataFrame:
     """Greedy window dedup with the kept rows as state. Equal to the batch form when ids arrive in order within each key; rows of one batch are put in order first."""
     kinds = dict(df.dtypes)
-    # a row that comes more than two windows after a kept one can meet it no more only if times rise with ids; so all are kept
+    # a row that comes more than two windows after a kept one can meet it no more only if times rise with ids; so all confident ones are kept
     x = df.select(*keys, id_, F.unix_micros(time).alias("_t"), F.col(owner).alias("_o"), F.col(confident).alias("_c"))
 
     def fold(key, batches, state: GroupState):

@@ -2,13 +2,16 @@
 
 Vectors are whole numbers floor(scale * x). The approximation file keeps for each vector one byte a dimension, the number
 of a cell of fixed width; a query's score against a cell is bounded from both sides. Each task scans the cells of its
-vectors for a block of queries, then reads exact vectors in order of upper bound, best first, until the kth exact score of a
-query is above every remaining bound. What leaves a task is k rows a query; they are merged by rank.
+vectors for a block of queries, chunk by chunk, then reads exact vectors in order of upper bound, best first, until the kth
+exact score of a query is above every remaining bound. The k best of a query so far bound the later chunks of the task from
+the start; what leaves a task is k rows a query, which are merged by rank.
 
 Queries go to the tasks in blocks of a fixed number of rows (BLOCK, so the broadcast is BLOCK * dimensions * 8 bytes at
-most); the vectors are scanned once a block. Edge cases: null vectors, vectors with null or non-finite components or of
-another length than most of the queries' block take no part; rows with a query's own vec_id are not its candidates; repeated
-candidate rows count as rows; repeated query rows count once; with fewer than k candidates all are returned.
+most); the vectors are scanned once a block. Edge cases: null vectors, vectors with null or non-finite components and rows
+with a null vec_id take no part; queries meet vectors of their own length only, and empty vectors none; rows with a query's
+own vec_id are not its candidates; repeated candidate rows count as rows; repeated query rows count once; ties go to the
+smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty result; extra columns, whatever
+their names, are ignored.
 """
 
 import numpy as np
@@ -41,8 +44,18 @@ def _matrix(column, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, flat[arr.offsets.to_numpy()[rows][:, None] + np.arange(dims)]
 
 
-def scan(ids: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """The k best (query, vector, score) among these vectors, and how many exact vectors were read."""
+def best_of(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (query, vector, score) the k best of each query, in order of query and rank."""
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    first = np.searchsorted(q, q)
+    keep = np.arange(len(q)) - first < k
+    return q[keep], v[keep], s[keep]
+
+
+def scan(ids: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, known: np.ndarray | None = None):
+    """The k best (query, vector, score) among these vectors, and how many exact vectors were read. known: a score for each query below which its vectors do not count."""
+    known = np.full(len(queries), -np.inf) if known is None else known
     low, high = exact.min(0), exact.max(0)
     width = np.maximum((high - low) / CELLS, 1e-9)
     cells = np.minimum((exact - low) // width, CELLS - 1).astype(np.uint8)
@@ -58,7 +71,7 @@ def scan(ids: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: np.
         floor = np.partition(near, len(ids) - best, axis=1)[:, len(ids) - best]
         for i in range(len(near)):
             q, r = queries[a + i], radius[a + i]
-            todo = np.flatnonzero(near[i] >= floor[i] - 2 * r)
+            todo = np.flatnonzero(near[i] >= max(floor[i] - 2 * r, known[a + i] - r))
             todo = todo[np.isfinite(near[i][todo])]
             todo = todo[np.argsort(-near[i][todo], kind="stable")]
             got = np.zeros(0)
@@ -92,13 +105,23 @@ def top_k(spark, vectors: DataFrame, queries: DataFrame, k: int = 5, key: str =
         sent = spark.sparkContext.broadcast([(d, np.array([r["vec_id"] for r in g]), np.array([r["v"] for r in g], np.float64).reshape(len(g), d)) for d, g in sorted(by_dims.items())])
 
         def run(batches, sent=sent):
+            held = {dims: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for dims, _, _ in sent.value if dims}
+            known = {dims: np.full(len(qi), -np.inf) for dims, qi, _ in sent.value}
             for table in chunks(batches, 8 << 20):
                 ids = table.column("vec_id").to_numpy()
                 for dims, qi, q in sent.value:
                     at, exact = _matrix(table.column("v"), dims)
                     if len(at) and dims:
-                        a, v, s, _ = scan(ids[at], exact, qi, q, k)
-                        yield record(query_id=a.astype(np.int64), vec_id=v.astype(np.int64), score=s.astype(np.int64))
+                        new = scan(ids[at], exact, qi, q, k, known[dims])[:3]
+                        held[dims] = best_of(*(np.concatenate(x) for x in zip(held[dims], new, strict=True)), k)
+                        # the kth best so far, of queries that have k
+                        kth = held[dims][0][k - 1 :] == held[dims][0][: len(held[dims][0]) - k + 1]
+                        place = {x: n for n, x in enumerate(qi.tolist())}
+                        full = np.array([place[x] for x in held[dims][0][k - 1 :][kth].tolist()], np.int64)
+                        known[dims][full] = held[dims][2][k - 1 :][kth]
+            for a, v, s in held.values():
+                if len(a):
+                    yield record(query_id=a.astype(np.int64), vec_id=v.astype(np.int64), score=s.astype(np.int64))
 
         part = ws.stage(base.mapInArrow(run, "query_id long, vec_id long, score long"), f"found-{b}")
         found = part if found is None else found.unionByName(part)

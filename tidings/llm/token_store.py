@@ -171,7 +171,7 @@ def write(spark, docs: DataFrame, folder: str, path: str, key: str = "doc_id", t
 
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}.tok"
-        if got := write_shard(uri, chunks(batches), encoder(path), end):
+        if got := write_shard(uri, chunks(batches, 4 << 20), encoder(path), end):
             yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, **got}], schema=pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
 
     return dealt.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long, low long, high long")

@@ -36,6 +36,27 @@ def shared_trigrams(left: DataFrame, left_id: str, left_text: Column, right: Dat
     return n.select(left_id, right_id, (F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))).alias("score"))
 
 
+def near_copies(rows: DataFrame, id_: str, text: str, time: str, threshold: float = 0.92, seconds: int = 48 * 3600) -> DataFrame:
+    """(id, original, score): for each row the other row within the window whose text occurs best in its own, by word similarity, ties to the lower id; kept if that reaches the threshold and has the lower id. Rows without text or time take no part.
+
+    Texts are compared once however many rows bear them. A text that reaches the threshold shares that part of its trigrams, so it is looked up by its rarest trigrams only, the fewest of which one must be shared; a join on text and time then finds the rows. Rows of one text within one window are compared pair by pair."""
+    x = rows.where(F.col(text).isNotNull() & F.col(time).isNotNull()).select(F.col(id_), F.col(text).alias("_x"), F.col(time).alias("_t"))
+    texts = x.select("_x").distinct().withColumn("_g", sim.trigrams(F.col("_x")))
+    grams = texts.select("_x", F.size("_g").alias("_n"), F.explode("_g").alias("_w"))
+    rare = grams.join(grams.groupBy("_w").agg(F.count("*").alias("_f")), "_w").groupBy("_x", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_w"))).alias("_o"))
+    need = F.ceil(F.col("_n") * F.lit(threshold) - F.lit(1e-9))
+    first = F.slice("_o", F.lit(1), (F.col("_n") - need + 1).cast("int"))
+    old = rare.select(F.col("_x").alias("_old"), F.explode(F.transform(first, lambda o: o["_w"])).alias("_w"))
+    pairs = old.join(grams.select("_x", "_w"), "_w").select("_old", "_x").distinct()
+    shared = F.size(F.array_intersect(sim.trigrams(F.col("_old")), sim.trigrams(F.col("_x"))))
+    pairs = pairs.where(shared >= F.size(sim.trigrams(F.col("_old"))) * F.lit(threshold) - F.lit(1e-9))
+    pairs = pairs.withColumn("score", sim.word_similarity(F.col("_old"), F.col("_x"))).where(F.col("score") >= threshold)
+    new = x.join(pairs, "_x").select(F.col(id_).alias("_id"), "_old", "score", F.col("_t").alias("_at"))
+    hits = interval_join(new, x.withColumnRenamed("_x", "_old"), ["_old"], "_at", "_t", seconds).where(F.col("_id") != F.col(id_))
+    best = hits.groupBy("_id").agg(F.max_by(F.struct(F.col(id_).alias("o"), "score"), F.struct("score", -F.col(id_))).alias("_b"))
+    return best.select(F.col("_id").alias("id"), F.col("_b.o").alias("original"), F.col("_b.score").alias("score")).where("original < id")
+
+
 def top_k(scored: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     """The k first rows of each key in this order, with their rank."""
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("long")).where(F.col("rank") <= k)

@@ -11,10 +11,12 @@ HIGH, LOW = 0.6, 0.35
 # Codes of alert kinds and the words that mean them, in order of test; words of notices that are no alert.
 ALERTS = (
     (35, ("طيران حربي", "مقاتلات حربية", "مقاتله حربيه", "مقاتلات حربيه")),
-    (36, ("طيران استطلاعي", "طائره استطلاع", "مسيره", "مسير")),
-    (38, ("طيران مروحي", "مروحيه", "هليكوبتر", "apache", "ah-64")),
+    (36, ("طيران استطلاعي", "طائره استطلاع", "مسيره", "مسير", "معم سر", "معمر سر")),
+    (38, ("طيران مروحي", "مروحيه", "هليكوبتر", "apache", "ah-64", "كوترية")),
 )
-NOTICES = ("نرجو منكم ابلاغنا فورا", "عبر البوت الجديد")
+NOTICES = ("نرجو منكم ابلاغنا فورا", "عبر البوت الجديد", "tawasulra bot", "redalertlb twasol bot")
+# A map card without any of these words bears the sender's address and both words of its warning.
+CARD, CARD_KIND = ("redalert com lb", ("حيطة", "خبطة"), "حذر"), 36
 SECOND_FACT = (35, 36, 38, 45)
 
 
@@ -43,7 +45,7 @@ def score_tier(score: Column, high: float = 0.80, low: float = 0.50) -> Column:
 
 
 def alert_kind(text: Column) -> Column:
-    """The code of the first alert kind that a text has a word of; null for notices and other texts."""
+    """The code of the first alert kind that a text has a word of, words of misread headers included, else that of a map card; null for notices and other texts."""
 
     def decide(folded):
         def any_of(words):
@@ -55,7 +57,8 @@ def alert_kind(text: Column) -> Column:
         kind = F.when(any_of(NOTICES), F.lit(None).cast("int"))
         for code, words in ALERTS:
             kind = kind.when(any_of(words), F.lit(code))
-        return kind
+        sender, either, word = CARD
+        return kind.when(any_of([sender]) & any_of(either) & any_of([word]), F.lit(CARD_KIND))
 
     # a lambda's variable, so that a long text is folded once and not for each word
     return F.get(F.transform(F.array(fold_alert(text)), decide), 0)

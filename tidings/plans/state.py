@@ -53,22 +53,6 @@ def audit_diff(spark, sf):
     return records.diff(old, old.withColumn("c_mktsegment", seg), "c_custkey")
 
 
-def _slices(spark, sf):
-    return t(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("s"), F.timestamp_seconds(F.col("p_partkey") * 3600).alias("at"))
-
-
-@query("""WITH s AS (SELECT p_partkey AS k, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) AS BIGINT) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM part),
- p AS (SELECT a.k AS id, b.k AS original, len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) AS score FROM s a JOIN s b ON b.k < a.k AND a.k - b.k <= 48)
- SELECT id, original, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, original) AS n FROM p WHERE score >= 0.5) WHERE n = 1""")
-def near_dup_snapshot(spark, sf):
-    """The most similar earlier row within 48 hours, by trigram similarity: time buckets bound the pairs, trigram sets score them."""
-    s = _slices(spark, sf)
-    a = s.select(F.lit(1).alias("one"), F.col("p_partkey").alias("id"), sim.trigrams(F.col("s")).alias("ga"), F.col("at").alias("ta"))
-    b = s.select(F.lit(1).alias("one"), F.col("p_partkey").alias("original"), sim.trigrams(F.col("s")).alias("gb"), F.col("at").alias("tb"))
-    pairs = joins.interval_join(a, b, ["one"], "ta", "tb", 48 * 3600).where("original < id").select("id", "original", sim.set_similarity(F.col("ga"), F.col("gb")).alias("score")).where("score >= 0.5")
-    return joins.top_k(pairs, "id", 1, F.desc("score"), F.col("original")).select("id", "original", F.round("score", 6).alias("score"))
-
-
 @query()
 def near_dup_sequential(spark, sf):
     """Order-dependent near copies of each supplier's parts over the first lines of all orders; a supplier's rows are cut at time gaps wider than the window."""

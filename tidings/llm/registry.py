@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, which __spark_entry__.py adds to those of the library."""
 
-from tidings.llm import bpe, language_id, lattice_lm, ngram_join, quality_gam, quality_rules, repeats, source_mix, token_store, top_k
+from tidings.llm import bpe, conversations, language_id, lattice_lm, merkle, ngram_join, quality_gam, quality_rules, repeats, source_mix, token_store, top_k, url_filters
 
 
 def queries() -> dict:
@@ -15,8 +15,11 @@ def queries() -> dict:
         "op8_source_mix": source_mix.query,
         "op9_language_id": language_id.query,
         "op10_top_k": top_k.query,
+        "op11_merkle_manifest": merkle.query,
+        "op12_conversation_repair": conversations.query,
+        "op13_url_filters": url_filters.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_top_k": top_k.ORACLE}
+    return {"op10_top_k": top_k.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_url_filters": url_filters.ORACLE}

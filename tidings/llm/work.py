@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidings.llm.kernels import mix
@@ -124,6 +125,22 @@ def by_part(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.repartition(n_tasks(rows.sparkSession), F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
 
 
+def numbered(ws: Workspace, rows: DataFrame, group: str, order: list, name: str, write_first: bool = True) -> DataFrame:
+    """rows with i, the place (from 0) among the rows of equal group, and n, their number. group may not hold nulls; rows that tie in order come in any order, fixed once written. Rows are dealt out by ranges of (group, order, tie), so a group with most rows is spread over tasks; only counts by range and group are summed. Rows that are dear to compute are written first, as finding the ranges reads them too. The working columns tie, part and at must be free."""
+    keys = [group, *order, "tie"]
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    rows = ws.stage(rows, f"{name}-rows") if write_first else rows
+    ranged = rows.repartitionByRange(n_tasks(ws.spark), *keys).sortWithinPartitions(*keys)
+    ranged = ws.stage(ranged.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).drop("tie"), f"{name}-ranges")
+    if write_first:
+        ws.drop(f"{name}-rows")
+    starts = ranged.groupBy("part", group).agg(F.min("at").alias("first"), F.count("*").alias("c"))
+    by_range = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.withColumns({"before": F.coalesce(F.sum("c").over(by_range), F.lit(0)) - F.col("first"), "n": F.sum("c").over(W.partitionBy(group))})
+    starts = ws.stage(starts.select("part", group, "before", "n"), f"{name}-starts")
+    return ranged.join(starts, ["part", group]).withColumn("i", F.col("before") + F.col("at")).drop("part", "at", "before")
+
+
 def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 

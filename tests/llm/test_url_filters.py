@@ -89,11 +89,11 @@ def test_parts_rules_and_verdicts(spark):
 
 def test_planted_bad_host(spark):
     """One host in a good domain is bad in most of its labelled pages and is blocked; a host with two bad pages of two is not, nor is a good one."""
-    pages = [(k, f"http://h{k % 40}.good.com/{k}") for k in range(4000)] + [(5000 + k, f"http://bad.good.com/{k}") for k in range(60)] + [(6000 + k, f"http://new.good.com/{k}") for k in range(2)]
-    labels = [(k, int(k % 7 != 0), 0) for k in range(4000)] + [(5000 + k, int(k % 6 == 0), 0) for k in range(40)] + [(6000 + k, 0, 0) for k in range(2)]
+    pages = [(k, f"http://h{k % 40}.good.com/{k}") for k in range(4000)] + [(5000 + k, f"http://bad.good.com/{k}") for k in range(300)] + [(6000 + k, f"http://new.good.com/{k}") for k in range(2)]
+    labels = [(k, int(k % 7 != 0), 0) for k in range(4000)] + [(5000 + k, int(k % 6 == 0), 0) for k in range(200)] + [(6000 + k, 0, 0) for k in range(2)]
     got = run(spark, pages, labels)
     assert got == brute(pages, labels)
-    assert {r[1] for r in got if r[4] == "block"} == {"bad.good.com"} and sum(r[4] == "block" for r in got) == 60
+    assert {r[1] for r in got if r[4] == "block"} == {"bad.good.com"} and sum(r[4] == "block" for r in got) == 300
 
 
 def test_hot_host_and_many_small_ones(spark):

@@ -162,6 +162,17 @@ def test_long_texts_come_in_pieces(spark, tmp_path):
     assert run(spark, tmp_path, rows) == brute(rows)
 
 
+def test_repaired_texts(spark):
+    """The texts themselves, in pieces, hash to the digests of the query's way."""
+    rng = random.Random(3)
+    rows = [(k, t, rng.choice(["user", "assistant", "system"]), rng.choice(["Yes.", "no", "", f"Text {t}."])) for k in range(30) for t in range(rng.randint(1, 9))] + [(99, t, "user", f"{t}.") for t in range(1100)]
+    df = c.damaged(spark.createDataFrame(rows, SCHEMA))
+    got = [c.digests(spark, c.repair(spark, df, c.TIES, texts=x)[1]).collect() for x in (True, False)]
+    assert sorted(map(tuple, got[0])) == sorted(map(tuple, got[1]))
+    pieces = c.repair(spark, df, c.TIES)[1].where("grp = ':99'").orderBy("seg", "piece").collect()
+    assert hashlib.sha256(b"".join(r["body"] for r in pieces)[1:]).hexdigest() == brute(rows)[99][7] and len(pieces) == 2
+
+
 def test_empty_and_clashing_columns(spark, tmp_path):
     assert run(spark, tmp_path, []) == {}
     rows = [(1, t, "user", f"T {t}.") for t in range(4)]

@@ -23,7 +23,7 @@ bits gives null gaps; an empty table gives no rows. Extra columns are never read
 """
 
 import hashlib
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -223,14 +223,14 @@ def _chains(batches):
 
 
 STATS = ("blank", "duplicate", "truncated", "illegal", "cost")
-SOLVED = "grp string, n long, seg long, piece int, edits string, " + ", ".join(f"{s} long" for s in STATS) + ", body binary"
-_SOLVED = pa.schema([("grp", pa.string()), ("n", pa.int64()), ("seg", pa.int64()), ("piece", pa.int32()), ("edits", pa.string()), *((s, pa.int64()) for s in STATS), ("body", pa.binary())])
+SOLVED = "grp string, n long, seg long, piece int, edits string, " + ", ".join(f"{s} long" for s in STATS) + ", digest string, body binary"
+_SOLVED = pa.schema([("grp", pa.string()), ("n", pa.int64()), ("seg", pa.int64()), ("piece", pa.int32()), ("edits", pa.string()), *((s, pa.int64()) for s in STATS), ("digest", pa.string()), ("body", pa.binary())])
 
 
 class _Segment:
-    """Edits of a segment, and its repaired text as the rows come."""
+    """Edits of a segment, and its repaired text as the rows come; where only digests are wanted, that of a conversation of one segment."""
 
-    def __init__(self, grp, n, seg, places, codes, begin, end):
+    def __init__(self, texts, grp, n, seg, places, codes, begin, end):
         self.key, self.pieces = (grp, n, seg), 0
         before, rows = _decoded(seg, places, codes)
         live = advance({begin: (0, "")}, rows)
@@ -241,9 +241,16 @@ class _Segment:
         self.stats = dict(zip(STATS, (faults.count(BLANK), faults.count(DUPLICATE), faults.count(TRUNCATED), illegal, cost), strict=True))
         self.plan, self.tail, _ = replay(begin, self.edits, rows)
         self.at, self.body = 0, bytearray()
+        self.running = None if texts or n > SEGMENT else hashlib.sha256()
+        self.begun = False
 
     def _put(self, role: str, text: str) -> None:
-        self.body += f"\n{role}:{text}".encode()
+        item = f"\n{role}:{text}".encode()
+        if self.running is None:
+            self.body += item
+        else:
+            self.running.update(item if self.begun else item[1:])
+            self.begun = True
 
     def row(self, role: str, text: str) -> None:
         before, new, stays = self.plan[self.at]
@@ -261,10 +268,10 @@ class _Segment:
         body, self.body = bytes(self.body), bytearray()
         self.pieces += 1
         stats = self.stats if first else dict.fromkeys(STATS, 0)
-        return {**dict(zip(("grp", "n", "seg"), self.key, strict=True)), "piece": self.pieces - 1, "edits": self.edits if first else "", **stats, "body": body}
+        return {**dict(zip(("grp", "n", "seg"), self.key, strict=True)), "piece": self.pieces - 1, "edits": self.edits if first else "", **stats, "digest": self.running.hexdigest() if self.running else None, "body": body}
 
 
-def _solve(batches):
+def _solve(texts: bool, batches):
     """Sorted rows of segments, each led by its places and codes: edits, counts and pieces of repaired text. Each piece's items begin with a line feed."""
     now, out, size = None, [], 0
     names = ("grp", "n", "seg", "i", "role", "text", "places", "codes", "begin", "end")
@@ -273,7 +280,7 @@ def _solve(batches):
             if i < 0:
                 if now:
                     out.append(now.record(True))
-                now = _Segment(grp, n, seg, places, codes, begin, end)
+                now = _Segment(texts, grp, n, seg, places, codes, begin, end)
             else:
                 now.row(role, text)
                 if len(now.body) >= PIECE:
@@ -303,8 +310,8 @@ def _digests(batches):
         yield pa.RecordBatch.from_pydict({"grp": [now], "repaired_sha256": [running.hexdigest()]})
 
 
-def repair(spark: SparkSession, rows: DataFrame, ties: list[str], ws: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
-    """From rows (conv_id, turn, role, text, and the columns ties that order rows of one turn): conversations (grp, counts, cost, audit, gaps), and pieces of repaired text (grp, seg, piece, body), whose bodies in order, without the first line feed, are the conversation."""
+def repair(spark: SparkSession, rows: DataFrame, ties: list[str], ws: Workspace | None = None, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """From rows (conv_id, turn, role, text, and the columns ties that order rows of one turn): conversations (grp, counts, cost, audit, gaps), and pieces of repaired text (grp, seg, piece, digest, body), whose bodies in order, without the first line feed, are the conversation. Without texts a conversation of one segment has its digest in place of a body."""
     ws = ws or Workspace(spark, "conversations")
     named = rows.withColumns({"grp": group_key(), "code": _codes(F.col("role"), F.col("text")), "same": F.unhex(F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"), 256))})
     placed = numbered(ws, named, "grp", ["turn", *ties], "rows", write_first=False).withColumn("seg", (F.col("i") / SEGMENT).cast("long"))
@@ -321,13 +328,13 @@ def repair(spark: SparkSession, rows: DataFrame, ties: list[str], ws: Workspace
     none = [F.lit(None).cast(t).alias(c) for c, t in (("places", "array<long>"), ("codes", "array<int>"), ("begin", "int"), ("end", "int"))]
     heads = segments.select("grp", "n", "seg", F.lit(-1).cast("long").alias("i"), F.lit("").alias("role"), F.lit("").alias("text"), F.col("i").alias("places"), F.col("code").alias("codes"), F.coalesce("begin", F.lit(START)).alias("begin"), F.coalesce("end", F.lit(-1)).alias("end"))
     lines = heads.unionByName(placed.select("grp", "n", "seg", "i", "role", "text", *none))
-    solved = lines.repartition(n_tasks(spark), "grp", "seg").sortWithinPartitions("grp", "seg", "i").mapInArrow(_solve, SOLVED)
+    solved = lines.repartition(n_tasks(spark), "grp", "seg").sortWithinPartitions("grp", "seg", "i").mapInArrow(partial(_solve, texts), SOLVED)
     solved = ws.stage(solved, "solved")
     sums = solved.groupBy("grp").agg(*(F.sum(s).alias(s) for s in STATS), F.sort_array(F.collect_list(F.when(F.col("edits") != "", F.struct("seg", "edits")))).alias("e"))
     wide = lambda x: x.cast("decimal(38,0)")
     gaps = F.coalesce(wide(F.max("turn")) - wide(F.min("turn")) + 1 - F.count("turn"), F.lit(0))
     turns = placed.groupBy("grp", "turn").agg(F.count("*")).groupBy("grp").agg(gaps.try_cast("long").alias("gaps"))
-    return sums.select("grp", *STATS, F.array_join("e.edits", "").alias("audit")).join(turns, "grp"), solved.select("grp", "n", "seg", "piece", "body")
+    return sums.select("grp", *STATS, F.array_join("e.edits", "").alias("audit")).join(turns, "grp"), solved.select("grp", "seg", "piece", "digest", "body")
 
 
 def group_key() -> Column:
@@ -335,20 +342,17 @@ def group_key() -> Column:
 
 
 def digests(spark: SparkSession, pieces: DataFrame) -> DataFrame:
-    """(grp, repaired_sha256). A conversation of one piece is hashed where it lies; longer ones pass one task each, piece by piece."""
-    one = (F.col("n") <= SEGMENT) & F.col("alone")
-    pieces = pieces.join(pieces.where("piece > 0").select("grp", F.lit(False).alias("alone")).distinct(), "grp", "left").withColumn("alone", F.coalesce("alone", F.lit(True)))
-    body = F.substr("body", F.lit(2))
-    short = pieces.where(one).select("grp", F.sha2(body, 256).alias("repaired_sha256"))
-    rest = pieces.where(~one).select("grp", "seg", "piece", "body").repartition(n_tasks(spark), "grp").sortWithinPartitions("grp", "seg", "piece")
-    return short.unionByName(rest.mapInArrow(_digests, "grp string, repaired_sha256 string"))
+    """(grp, repaired_sha256). Conversations without a digest yet pass one task each, piece by piece."""
+    done = pieces.where("digest IS NOT NULL").select("grp", F.col("digest").alias("repaired_sha256"))
+    rest = pieces.where("digest IS NULL").select("grp", "seg", "piece", "body").repartition(n_tasks(spark), "grp").sortWithinPartitions("grp", "seg", "piece")
+    return done.unionByName(rest.mapInArrow(_digests, "grp string, repaired_sha256 string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12: faults and cheapest repair of every conversation after damage."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     ws = Workspace(spark, "op12")
-    found, pieces = repair(spark, damaged(rows), TIES, ws)
+    found, pieces = repair(spark, damaged(rows), TIES, ws, texts=False)
     all_ = rows.select("conv_id").distinct().withColumn("grp", group_key())
     out = all_.join(found, "grp", "left").join(digests(spark, pieces), "grp", "left")
     numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")]

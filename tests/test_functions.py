@@ -84,7 +84,7 @@ def test_category_rows(spark):
 
 def test_sources(spark, tmp_path):
     html = '<div class="tgme_widget_message" data-post="c/7"><time datetime="2024-01-01T02:00:00+02:00"></time><div class="tgme_widget_message_text">A<br>b</div><a class="tgme_widget_message_photo_wrap" style="background:url(\'u.png\')"></a></div><div class="tgme_widget_message" data-post="c/x"><time datetime="2024"></time></div>'
-    assert html_cards.parse(html) == [{"message_id": 7, "message_datetime": datetime.datetime(2024, 1, 1), "text": "A\nb", "image_urls": ["u.png"]}]
+    assert html_cards.parse(html) == [{"message_id": 7, "message_datetime": datetime.datetime(2024, 1, 1), "text": "A\nb", "link": None, "image_urls": ["u.png"]}]
     (tmp_path / "s.csv").write_text("a,a,\n1,2,\n,,\n3,,4\n")
     rows = tables.sheet(spark, str(tmp_path / "s.csv")).orderBy("row_number").collect()
     assert [(r["row_number"], r["a"], r["a__2"], r["Column_3"]) for r in rows] == [(2, "1", "2", None), (4, "3", None, "4")]

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidings.operators.joins import named_in
+from tidings.operators.names import ALIASES, match_places, named_in
 from tidings.operators.resolution import alert_kind
 
 # Statuses that count as a match, the surer one first; codes that belong to the second fact; reasons.
 MATCHED = ("matched", "matched_low_confidence")
 SECOND_FACT = (35, 36, 38)
 NO_CONDITION, ROUTED, NO_PLACE = "unmatched_condition", "second_fact", "no_place"
-SAME_HASH, NOTHING = "exact_hash", "unmaterializable"
+SAME_HASH = "exact_hash"
 
 
 def reason(condition: Column, status: Column, places: Column) -> Column:
@@ -150,24 +150,26 @@ def merged(decisions: DataFrame, rows: DataFrame, key: str, id_: str, fields: li
     return got.withColumnRenamed("_to", id_)
 
 
-def route_alerts(messages: DataFrame, id_: str, text: str, at: str, names: DataFrame, name: str, name_id: str, region: str, zone: str) -> DataFrame:
-    """(id, status, reason, kind, place_id, region, month, day, clock) for each message: alert kind, then the longest name of a place in it; without either it is rejected, else it goes to the second fact with local time and its region, or `Multiple regions`. Ids of messages are unique; ties of names go to the lower place id; names of under three characters are not looked for."""
+def route_alerts(messages: DataFrame, id_: str, text: str, at: str, places: DataFrame, place_id: str, local: list[str], latin: list[str], region: str, zone: str, code: str | None = None, aliases=ALIASES, after: str | None = None) -> DataFrame:
+    """(id, status, reason, kind, place_id, how, region, month, day, clock) for each message: alert kind, then its place by match_places(). Without either it is rejected, else it goes to the second fact with local time and a region: the one region whose name (of four characters at least, in any case) the text holds, `Multiple regions` if it holds more, the place's own if none. Ids of messages and places are unique."""
     m = messages.select(id_, at, text).withColumn("kind", alert_kind(F.col(text)))
-    found = named_in(m.where("kind is not null"), id_, F.col(text), names.where(F.length(name) >= 3), name)
-    place = found.groupBy(id_).agg(
-        F.max_by(F.struct(F.col(name_id).alias("id"), F.col(region).alias("region")), F.struct(F.length(name), -F.col(name_id))).alias("_p"),
-        F.count_distinct(region).alias("_n"),
-    )
-    local = F.from_utc_timestamp(at, zone)
-    ok = F.col("_p").isNotNull()
-    return m.join(place, id_, "left").select(
+    alerts = m.where("kind is not null")
+    place = match_places(alerts, id_, F.col(text), places, place_id, place_id, local, latin, code, aliases, after=after)
+    own = places.select(F.col(place_id).cast("long").alias("place_id"), F.col(region).alias("_own"))
+    known = places.select(F.col(region).alias("_region"), F.lower(region).alias("_low")).where(F.length("_low") >= 4).distinct()
+    said = named_in(alerts, id_, F.lower(text), known, "_low").groupBy(id_).agg(F.count_distinct("_region").alias("_n"), F.min("_region").alias("_one"))
+    local_time = F.from_utc_timestamp(at, zone)
+    ok = F.col("place_id").isNotNull()
+    x = m.join(place.join(own, "place_id", "left"), id_, "left").join(said, id_, "left")
+    return x.select(
         id_,
         F.when(ok, "routed").otherwise("rejected").alias("status"),
         F.when(F.col("kind").isNull(), "no alert word").when(~ok, "no place").alias("reason"),
         "kind",
-        F.col("_p.id").alias("place_id"),
-        F.when(F.col("_n") > 1, "Multiple regions").otherwise(F.col("_p.region")).alias("region"),
-        F.when(ok, F.date_format(local, "MMMM")).alias("month"),
-        F.when(ok, F.date_format(local, "yyyy-MM-dd")).alias("day"),
-        F.when(ok, F.date_format(local, "HH:mm")).alias("clock"),
+        "place_id",
+        "how",
+        F.when(ok, F.when(F.col("_n") > 1, "Multiple regions").otherwise(F.coalesce("_one", "_own"))).alias("region"),
+        F.when(ok, F.date_format(local_time, "MMMM")).alias("month"),
+        F.when(ok, F.date_format(local_time, "yyyy-MM-dd")).alias("day"),
+        F.when(ok, F.date_format(local_time, "HH:mm")).alias("clock"),
     )

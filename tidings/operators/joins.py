@@ -1,10 +1,11 @@
-"""Joins that Spark has no operator for, as equi-joins: intervals, as-of, nearest strings, names in texts."""
+"""Joins that Spark has no operator for, as equi-joins: intervals, as-of, nearest strings; names in texts are in names.py."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidings.functions import similarity as sim
+from tidings.operators.names import longest_name, named_in  # noqa: F401
 
 
 def micros(x: Column) -> Column:
@@ -65,39 +66,3 @@ def top_k(scored: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether a text holds any of the words."""
     return F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w)) if words else F.lit(False)
-
-
-_BREAK, _WORD = r"[^\p{L}\p{N}_]+", r"[\p{L}\p{N}_]+"
-
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, _BREAK), lambda w: w != "")
-
-
-def word_grams(text: Column, most: int) -> Column:
-    """A text's runs of one to `most` words: the words joined by blanks, and the run as written with the signs on both sides, where an underscore stands for a word beyond them."""
-    words, pieces = words_of(text), F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f"{_WORD}|{_BREAK}"), F.lit(0))
-
-    def runs(n: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: i + n - 1 <= F.size(words))
-        before, after = lambda i: F.when(i > 1, "_").otherwise(""), lambda i: F.when(i + n - 1 < F.size(words), "_").otherwise("")
-        # pieces are signs and words in turn, with signs first and last
-        written = lambda i: F.concat(before(i), F.array_join(F.slice(pieces, 2 * i - 1, 2 * n + 1), ""), after(i))
-        return F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, n), " ").alias("words"), written(i).alias("written")))
-
-    return F.array_distinct(F.flatten(F.array(*map(runs, range(1, most + 1)))))
-
-
-def named_in(texts: DataFrame, id_: str, text: Column, names: DataFrame, name: str) -> DataFrame:
-    """Names, of any number of words and with any signs in them, that a text holds on word boundaries: an equi-join of the text's word runs, as long as the longest name, with the names split in the same way; what joins is searched for the name as written. Names without letters and digits are not found."""
-    most = names.agg(F.max(F.size(words_of(F.col(name))))).first()[0] or 1
-    grams = texts.select(id_, F.explode(word_grams(text, max(1, most))).alias("_g")).select(id_, F.col("_g.words").alias("_w"), F.col("_g.written").alias("_in"))
-    keyed = names.withColumn("_w", F.array_join(words_of(F.col(name)), " ")).where("_w <> ''")
-    exact = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace(F.col(name), r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}_])"))
-    return grams.join(keyed, "_w").where(F.rlike("_in", exact)).select(id_, *names.columns).distinct()
-
-
-def longest_name(found: DataFrame, id_: str, name: str, position: str) -> DataFrame:
-    """Of the names found in each text the longest, ties to the first in list order."""
-    w = W.partitionBy(id_).orderBy(F.length(name).desc(), position)
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

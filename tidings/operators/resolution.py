@@ -17,7 +17,6 @@ ALERTS = (
 NOTICES = ("نرجو منكم ابلاغنا فورا", "عبر البوت الجديد", "tawasulra bot", "redalertlb twasol bot")
 # A map card without any of these words bears the sender's address and both words of its warning.
 CARD, CARD_KIND = ("redalert com lb", ("حيطة", "خبطة"), "حذر"), 36
-SECOND_FACT = (35, 36, 38, 45)
 
 
 def resolve(mentions: DataFrame, mention_id: str, mention: Column, dim: DataFrame, dim_id: str, name: Column, k: int = 5, required: dict[int, str] | None = None, high: float = HIGH, low: float = LOW) -> DataFrame:
@@ -64,16 +63,6 @@ def alert_kind(text: Column) -> Column:
     return F.get(F.transform(F.array(fold_alert(text)), decide), 0)
 
 
-def ineligible_reason(condition: Column, status: Column, places: Column) -> Column:
-    """Why a message cannot take the fast path: its condition is not matched, not a number or goes to the second fact, or no place is matched; null if it can."""
-    return (
-        F.when(status.isNull() | (status != "matched"), "condition_not_matched")
-        .when(~condition.rlike("^[0-9]+$"), "condition_not_numeric")
-        .when(condition.try_cast("int").isin(*SECOND_FACT), "second_fact")
-        .when(~F.coalesce(F.exists(places, lambda p: p["matched_village_id"].isNotNull() & (p["village_match_status"] == "matched")), F.lit(False)), "no_place")
-    )
-
-
 def place_ids(matches: Column, flat_id: Column) -> Column:
     """Distinct place ids from a list of matches, or from the flat form that older rows have."""
     listed = F.transform(F.filter(matches, lambda m: m["matched_village_id"].isNotNull()), lambda m: m["matched_village_id"])

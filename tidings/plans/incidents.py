@@ -90,23 +90,31 @@ def late_details(spark, sf):
     return incidents.merged(incidents.scored_decisions(x, "place", "vec_id", "day", "action", "v", settled="settled", high=0.6), x, "place", "vec_id", ["deaths", "injuries"])
 
 
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 _CALLS = ("تحليق طيران حربي", "مُسيّرة في الأجواء", "AH-64 seen", "نرجو منكم ابلاغنا فورا طيران حربي", "no alert")
 
 
-@query(f"""WITH s AS (SELECT o_orderkey, said, [35, 36, 38, NULL, NULL][o_orderkey % 5 + 1] AS kind FROM {_SAID} WHERE o_orderkey % 4 <> 3 UNION ALL SELECT o_orderkey, '', [35, 36, 38, NULL, NULL][o_orderkey % 5 + 1] FROM orders WHERE o_orderkey % 4 = 3),
- f AS (SELECT o_orderkey, count(DISTINCT r_name) AS c, first({{'id': n_nationkey, 'r': r_name}} ORDER BY length(n_name) DESC, n_nationkey) AS p FROM s JOIN nation ON {_BOUNDARY} JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
- SELECT o_orderkey, CASE WHEN ok THEN 'routed' ELSE 'rejected' END AS status, CASE WHEN kind IS NULL THEN 'no alert word' WHEN NOT ok THEN 'no place' END AS reason, kind, CASE WHEN ok THEN p.id END AS place_id,
- CASE WHEN ok THEN CASE WHEN c > 1 THEN 'Multiple regions' ELSE p.r END END AS region, CASE WHEN ok THEN strftime(tm, '%B') END AS month, CASE WHEN ok THEN strftime(tm, '%Y-%m-%d') END AS day, CASE WHEN ok THEN strftime(tm, '%H:%M') END AS clock
- FROM (SELECT o_orderkey, kind, p, c, kind IS NOT NULL AND c IS NOT NULL AS ok, o_orderdate + INTERVAL 2 HOUR AS tm FROM s JOIN orders USING (o_orderkey) LEFT JOIN f USING (o_orderkey))""")
+@query(f"""WITH s AS (SELECT o_orderkey, [35, 36, 38, NULL, NULL][o_orderkey % 5 + 1] AS kind, o_orderkey % 12 AS m, CASE WHEN o_orderkey % 4 <> 3 THEN said ELSE '' END AS said FROM {_SAID}),
+ f AS (SELECT o_orderkey, first(n_nationkey ORDER BY length(n_name) DESC, n_nationkey) AS p FROM s JOIN nation ON {_BOUNDARY} GROUP BY 1),
+ g AS (SELECT s.*, CASE m WHEN 7 THEN 7 WHEN 5 THEN o_orderkey % 25 WHEN 11 THEN 0 ELSE p END AS place, CASE m WHEN 7 THEN 'alias' WHEN 5 THEN 'hashtag' WHEN 11 THEN 'latin' ELSE 'name' END AS how,
+  CASE o_orderkey % 6 WHEN 1 THEN {list(_REGIONS)}[o_orderkey % 5 + 1] WHEN 2 THEN 'Multiple regions' END AS said_region FROM s LEFT JOIN f USING (o_orderkey))
+ SELECT o_orderkey, CASE WHEN ok THEN 'routed' ELSE 'rejected' END AS status, CASE WHEN kind IS NULL THEN 'no alert word' WHEN NOT ok THEN 'no place' END AS reason, kind, CASE WHEN ok THEN place END AS place_id, CASE WHEN ok THEN how END AS how,
+ CASE WHEN ok THEN coalesce(said_region, r) END AS region, CASE WHEN ok THEN strftime(tm, '%B') END AS month, CASE WHEN ok THEN strftime(tm, '%Y-%m-%d') END AS day, CASE WHEN ok THEN strftime(tm, '%H:%M') END AS clock
+ FROM (SELECT g.*, kind IS NOT NULL AND place IS NOT NULL AS ok, r_name AS r, o_orderdate + INTERVAL 2 HOUR AS tm FROM g JOIN orders USING (o_orderkey) LEFT JOIN nation ON n_nationkey = place LEFT JOIN region ON r_regionkey = n_regionkey)""")
 def alert_routing(spark, sf):
-    """Alert messages with their places, to rejected rows and rows of the second fact; one in four names no place."""
+    """Alert messages with their places, to rejected rows and rows of the second fact. Places are named by an alias, a hashtag before other names, words, or letters within a word; some texts name regions, one in four no place in words."""
     k = F.col("o_orderkey")
     call = F.element_at(F.array(*map(F.lit, _CALLS)), (k % 5 + 1).cast("int"))
+    region = lambda n: F.initcap(F.element_at(F.array(*map(F.lit, _REGIONS)), (n % 5 + 1).cast("int")))
+    more = [
+        F.when(k % 12 == 7, F.lit("the Gulf-Coast road")).when(k % 12 == 5, F.concat(F.lit("#flight #nation_"), (k % 25).cast("string"))).when(k % 12 == 11, F.lit("overnation9wards")),
+        F.when(k % 6 == 1, region(k)).when(k % 6 == 2, F.concat_ws(", ", region(k), region(k + 1))),
+    ]
     said = addresses(spark, sf).join(t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
-    m = said.select("o_orderkey", "o_orderdate", F.concat_ws(" ", call, F.when(k % 4 != 3, F.col("said"))).alias("text"))
+    m = said.select("o_orderkey", "o_orderdate", F.concat_ws(" ", call, F.when(k % 4 != 3, F.col("said")), *more).alias("text"))
     n, r = t(spark, sf, "nation"), t(spark, sf, "region")
-    names = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", F.lower("n_name").alias("name"), "r_name")
-    return incidents.route_alerts(m, "o_orderkey", "text", "o_orderdate", names, "name", "n_nationkey", "r_name", "+02:00")
+    names = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", F.col("n_name").alias("name"), "r_name", (F.col("n_nationkey") + 100).alias("code"))
+    return incidents.route_alerts(m, "o_orderkey", "text", "o_orderdate", names, "n_nationkey", ["name"], ["name"], "r_name", "+02:00", "code", [("gulf coast", 107)])
 
 
 _GRAMS = "flatten(list_transform(list_filter(regexp_split_to_array(lower(said), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) AS BIGINT) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"

@@ -100,7 +100,7 @@ _BOUNDARY = "regexp_matches(said, '(^|[^a-z0-9_])' || lower(n_name) || '($|[^a-z
 @query(f"SELECT o_orderkey, n_nationkey FROM (SELECT o_orderkey, n_nationkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY length(n_name) DESC, n_nationkey) AS r FROM {_SAID} JOIN nation ON {_BOUNDARY}) WHERE r = 1")
 def boundary_longest_match(spark, sf):
     names = t(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
-    found = joins.named_in(addresses(spark, sf), "o_orderkey", F.col("said"), names, "name")
+    found = joins.named_in(addresses(spark, sf), "o_orderkey", F.col("said"), names, "name", longest=True)
     return joins.longest_name(found, "o_orderkey", "name", "n_nationkey").select("o_orderkey", "n_nationkey")
 
 

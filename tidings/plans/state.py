@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidings.functions import similarity as sim
 from tidings.functions import text as x
 from tidings.functions import values as v
-from tidings.operators import details, folds, graph, joins, records, relevance, resolution
+from tidings.operators import incidents, details, folds, graph, joins, records, relevance, resolution
 from tidings.plans.registry import query
 from tidings.sources.tables import table as t, unique_headers
 from tidings.streaming import streams
@@ -178,13 +178,16 @@ def answer_reconcile(spark, sf):
     return relevance.reconcile(r, a.withColumn("raw", F.when(F.col("batch") % 5 == 0, "{oops").otherwise(F.col("raw"))), "batch", "id", "raw")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'condition_not_matched' WHEN o_orderkey % 4 = 1 THEN 'condition_not_numeric' WHEN o_orderkey % 4 = 2 AND o_orderkey % 3 = 0 THEN 'second_fact' WHEN o_orderkey % 5 = 0 THEN 'no_place' END AS reason FROM orders")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 OR o_orderkey % 6 = 4 OR o_orderkey % 8 = 7 THEN 'unmatched_condition' WHEN o_orderkey % 8 IN (1, 3, 4) THEN 'second_fact' WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 3 OR o_orderkey % 11 = 2 THEN 'no_place' END AS reason FROM orders""")
 def fast_path_reason(spark, sf):
+    """Why a matched message can never become an incident. A condition that is no number is no condition; matches of low confidence count; code 45 belongs to the second fact only where messages are routed, not here; without a list the flat place counts, an empty list does not."""
     k = F.col("o_orderkey")
-    status = F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise("matched")
-    cond = F.when(k % 4 == 1, "x1").when((k % 4 == 2) & (k % 3 == 0), "35").otherwise("7")
-    place = F.array(F.struct(F.when(k % 5 != 0, 1).alias("matched_village_id"), F.lit("matched").alias("village_match_status")))
-    return t(spark, sf, "orders").select("o_orderkey", resolution.ineligible_reason(cond, status, place).alias("reason"))
+    status = F.when(k % 6 == 0, F.lit(None).cast("string")).when(k % 6 == 4, "unmatched").when(k % 6 == 2, "matched_low_confidence").otherwise("matched")
+    condition = F.element_at(F.array(*map(F.lit, ("12", "35", "45", "36", "38", "7", "45", "x1"))), (k % 8 + 1).cast("int")).try_cast("int")
+    one = F.struct(F.when(k % 5 != 0, 1).alias("id"), F.when(k % 7 == 3, "unmatched").when(k % 7 == 4, "matched_low_confidence").otherwise("matched").alias("status"))
+    listed = F.when(k % 11 == 2, F.array().cast("array<struct<id: int, status: string>>")).when(k % 2 == 0, F.array(one))
+    places = F.coalesce(listed, F.array(one))
+    return t(spark, sf, "orders").select("o_orderkey", incidents.reason(condition, status, places).alias("reason"))
 
 
 @query()

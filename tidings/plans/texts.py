@@ -100,11 +100,20 @@ def alert_kinds(spark, sf):
     return t(spark, sf, "documents").select("doc_id", alert_kind(F.concat_ws(" ", said, "text")).alias("kind"))
 
 
-@query()
+@query("""SELECT page_id, page_id AS message_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(page_id % 1000 AS INTEGER)) AS message_datetime, url || chr(10) || 'page ' || page_id AS text,
+ 'https://example.org/c/' || page_id AS link, CASE WHEN page_id % 2 = 0 THEN ['https://example.org/' || page_id || '.png'] ELSE [] END AS image_urls FROM pages WHERE page_id % 7 <> 3 AND page_id % 11 <> 4
+ UNION ALL SELECT page_id, -page_id, TIMESTAMP '2024-01-01 00:00:00', '', 'https://example.org/c/' || -page_id, [] FROM pages WHERE page_id % 5 = 1""")
 def html_post_parse(spark, sf):
-    """Message cards of pages; each page is given one card around its own text."""
-    card = F.concat(F.lit('<div class="tgme_widget_message" data-post="c/'), F.col("page_id").cast("string"), F.lit('"><time datetime="2024-01-01T00:00:00Z"></time><div class="tgme_widget_message_text">'), F.col("url"), F.lit("</div></div>"))
-    return cards(t(spark, sf, "pages").select("page_id", F.concat(card, F.col("html")).alias("html")), "page_id", "html").drop("image_urls")
+    """Message cards of whole pages: each page begins with a card around its own address, with a stray end tag, a second text node that does not count, and a photo on even pages; some have no number or no time and are dropped, some hold a second card without text."""
+    k = F.col("page_id").cast("string")
+    number = F.when(F.col("page_id") % 7 == 3, "x").otherwise(k)
+    minute = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 1000 * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    time = F.when(F.col("page_id") % 11 == 4, F.lit("<time>now</time>")).otherwise(F.concat(F.lit('<time datetime="'), minute, F.lit('"></time>')))
+    photo = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<a class='x tgme_widget_message_photo_wrap' style=\"width:9px;background-image:url('https://example.org/"), k, F.lit(".png')\"></a>"))).otherwise("")
+    card = [F.lit('<div class="tgme_widget_message" data-post="c/'), number, F.lit('">'), time, F.lit('</span><div class="tgme_widget_message_text"><b>'), F.col("url"), F.lit("</b><br>page "), k]
+    card += [F.lit('</div><div class="tgme_widget_message_text">not this</div>'), photo, F.lit("</div>")]
+    second = F.when(F.col("page_id") % 5 == 1, F.concat(F.lit('<div class="tgme_widget_message" data-post="c/-'), k, F.lit('"><time datetime="2024-01-01T02:00:00+02:00"></time></div>'))).otherwise("")
+    return cards(t(spark, sf, "pages").select("page_id", F.concat(*card, second, "html").alias("html")), "page_id", "html", "https://example.org/c")
 
 
 _FEED_SQL = """

@@ -181,3 +181,33 @@ def match_places(messages: DataFrame, id_: str, text: Column, places: DataFrame,
         got = got.groupBy("_id").agg(F.min(F.struct("how", "a", "b", "place", "label")).alias("m")).select("_id", "m.*")
     how = F.element_at(F.array(*map(F.lit, HOW)), F.col("how") + 1)
     return got.select(F.col("_id").alias(id_), F.col("place").alias("place_id"), F.col("label").alias("matched"), how.alias("how"))
+
+
+HITS = "array<struct<group: string, rank: int, at: int, size: int>>"
+
+
+def term_index(rows: DataFrame, id_: str, texts: Column, groups: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(id, index): for each text of a row's list its terms in order of place, each with its group, its rank in the group, its place (from 1) and its length. Terms count anywhere in a text, also within words and within other terms; a null text has none. Groups are short fixed lists."""
+    of: dict[str, list] = {}
+    for group, terms in groups.items():
+        for rank, term in enumerate(terms):
+            of.setdefault(term, []).append((group, rank))
+    lists = rows.select(F.col(id_).alias("_id"), texts.alias("_texts"))
+    kind, token = dict(lists.dtypes)["_id"], uuid.uuid4().hex
+
+    def run(batches):
+        if token not in _built:
+            _built.clear()
+            _built[token] = automaton(of)
+        found = _built[token]
+
+        def hits(text):
+            got = [(end + 2 - len(w), w) for end, w in found.iter(text)] if text else []
+            return [{"group": g, "rank": r, "at": at, "size": len(w)} for at, w in sorted(got) for g, r in of[w]]
+
+        hit = pa.struct([("group", pa.string()), ("rank", pa.int32()), ("at", pa.int32()), ("size", pa.int32())])
+        for batch in batches:
+            index = [[hits(s) for s in texts or ()] for texts in batch.column("_texts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(index, pa.list_(pa.list_(hit)))], ["_id", "index"])
+
+    return lists.mapInArrow(run, f"_id {kind}, index array<{HITS}>").withColumnRenamed("_id", id_)

@@ -1,6 +1,7 @@
 """Order-dependent decisions, folded over each key's rows in order."""
 
 from collections.abc import Iterable
+from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
@@ -8,14 +9,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def greedy_window(rows: Iterable[tuple[Any, float, Any, bool]], window: float, kept: list | None = None) -> list[tuple[Any, Any]]:
-    """(id, original or None) for rows (id, time, owner, confident) in order. A confident row is a duplicate of the earliest kept confident row within the window that another owner has; every other row is kept. `kept` carries the confident rows that were kept between calls; others can be no original."""
-    kept = [] if kept is None else kept
+@dataclass
+class Bucket:
+    """Kept rows (place, id, time) of one stretch of time as wide as the window. They lie within the window of each other, so all have one owner, or the later would be duplicates."""
+
+    owner: Any
+    rows: list = field(default_factory=list)
+
+    def __post_init__(self):
+        self.low, self.high = min((t for _, _, t in self.rows), default=None), max((t for _, _, t in self.rows), default=None)
+
+    def add(self, place: int, id_: Any, at: float) -> None:
+        self.rows.append((place, id_, at))
+        self.low, self.high = (at, at) if self.low is None else (min(self.low, at), max(self.high, at))
+
+
+class Kept:
+    """The kept rows of one key, by time bucket: a row looks at its own bucket and its neighbours only."""
+
+    def __init__(self, window: float, n: int = 0):
+        self.window, self.n = max(window, 1), n
+        self.buckets: dict[int, Bucket] = {}
+        self.changed: set[int] = set()
+
+    def original(self, at: float, owner: Any, window: float) -> Any:
+        """The first kept row of another owner within the window."""
+        best, here = None, int(at // self.window)
+        for k in (here - 1, here, here + 1):
+            b = self.buckets.get(k)
+            if b is None or b.owner == owner or at - b.high > window or b.low - at > window:
+                continue
+            first = next((r for r in b.rows if abs(at - r[2]) <= window), None)
+            best = first if best is None or first is not None and first[0] < best[0] else best
+        return None if best is None else best[1]
+
+    def add(self, id_: Any, at: float, owner: Any) -> None:
+        k = int(at // self.window)
+        self.buckets.setdefault(k, Bucket(owner)).add(self.n, id_, at)
+        self.changed.add(k)
+        self.n += 1
+
+
+def greedy_window(rows: Iterable[tuple[Any, float, Any, bool]], window: float, kept: Kept | None = None) -> list[tuple[Any, Any]]:
+    """(id, original or None) for rows (id, time, owner, confident) in order. A confident row is a duplicate of the earliest kept confident row within the window that another owner has; every other row is kept. Rows without a time are kept and are no originals; no owner is an owner of its own. `kept` carries the confident rows that were kept between calls; others can be no original."""
+    kept = Kept(window) if kept is None else kept
     out = []
     for id_, at, owner, confident in rows:
-        hit = next((k for k, t, o, _ in kept if o != owner and abs(at - t) <= window), None) if confident else None
-        if hit is None and confident:
-            kept.append((id_, at, owner, confident))
+        owner = owner if owner == owner else None
+        timed = confident and at is not None and at == at
+        hit = kept.original(at, owner, window) if timed else None
+        if hit is None and timed:
+            kept.add(id_, at, owner)
         out.append((id_, hit))
     return out
 
@@ -37,7 +81,7 @@ def dedup_in_windows(df: DataFrame, keys: list[str], id_: str, time: str, owner:
             hits = []
             for row in pdf[[*keys, "_s", id_, "_t", "_o", "_c"]].itertuples(index=False, name=None):
                 if row[:-4] != now:
-                    now, kept = row[:-4], []
+                    now, kept = row[:-4], Kept(seconds * 1_000_000)
                 hits += greedy_window([row[-4:]], seconds * 1_000_000, kept)
             out = pdf[[*keys, id_]].copy()
             out["original_id"] = pd.array([h for _, h in hits], dtype="Int64")
@@ -82,24 +126,28 @@ def near_copies_in_windows(df: DataFrame, key: str, id_: str, text: str, time: s
 
 
 def lockout(events: DataFrame, keys: list[str], time: str, ok: str, order: str, limit: int = 3, seconds: int = 300) -> DataFrame:
-    """(keys, order, failures, locked): consecutive failures of a key before each attempt counts, and whether the attempt falls within a lock that `limit` failures set; a lock that ends, or a success, starts the count anew. Attempts during a lock count for nothing."""
+    """(keys, order, failures, locked): consecutive failures of a key before each attempt counts, and whether the attempt falls within a lock that `limit` failures set; a lock that ends, or a success, starts the count anew. Attempts during a lock count for nothing; those without a time come first and set no lock. A key's attempts pass one task in order, as a stream: each decision depends on the one before."""
     kinds = dict(events.dtypes)
+    x = events.select(*keys, order, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.coalesce(ok, F.lit(False)).alias("_ok"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, order])
-        failures, until, out = 0, None, []
-        for at, good in zip(pdf[time], pdf[ok], strict=True):
-            if until is not None and at >= until:
-                failures, until = 0, None
-            locked = until is not None
-            if not locked:
-                failures = 0 if good else failures + 1
-                if failures >= limit:
-                    until = at + pd.Timedelta(seconds=seconds)
-            out.append((failures, locked))
-        got = pdf[[*keys, order]].copy()
-        got["failures"], got["locked"] = [f for f, _ in out], [x for _, x in out]
-        return got
+    def fold(batches):
+        now, failures, until = None, 0, None
+        for pdf in batches:
+            out = []
+            for *key, _, at, good in pdf[[*keys, order, "_t", "_ok"]].itertuples(index=False, name=None):
+                if key != now:
+                    now, failures, until = key, 0, None
+                if until is not None and at >= until:
+                    failures, until = 0, None
+                locked = until is not None
+                if not locked:
+                    failures = 0 if good else failures + 1
+                    if failures >= limit and at == at:
+                        until = at + seconds * 1_000_000
+                out.append((failures, locked))
+            got = pdf[[*keys, order]].copy()
+            got["failures"], got["locked"] = [f for f, _ in out], [x for _, x in out]
+            yield got
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, order]) + ", failures long, locked boolean"
-    return events.select(*keys, time, ok, order).groupBy(*keys).applyInPandas(fold, schema)
+    return x.repartition(*keys).sortWithinPartitions(*keys, "_t", order).mapInPandas(fold, schema)

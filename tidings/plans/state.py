@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from tidings.functions import similarity as sim
 from tidings.functions import text as x
 from tidings.functions import values as v
-from tidings.operators import incidents, details, folds, graph, joins, records, relevance, resolution
+from tidings.operators import details, folds, graph, incidents, joins, records, relevance, resolution
 from tidings.plans.registry import query
+from tidings.sources.snapshots import SnapshotTable
 from tidings.sources.tables import table as t, unique_headers
 from tidings.streaming import streams
 
@@ -231,8 +232,14 @@ def retry_cap_state(spark, sf):
     return g.select("user_id", "failures", F.when(F.col("failures") >= 5, "parked").otherwise("retry").alias("state"), "requeued")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS failures, false AS locked, CAST(NULL AS BIGINT) AS until FROM x
+  UNION ALL SELECT user_id, n, event_id, f, was IS NOT NULL, CASE WHEN was IS NOT NULL THEN was WHEN f >= 2 THEN t + 86400000000 END FROM
+  (SELECT *, CASE WHEN was IS NOT NULL THEN before WHEN ok THEN 0 ELSE before + 1 END AS f FROM
+  (SELECT x.*, CASE WHEN until IS NOT NULL AND x.t >= until THEN NULL ELSE until END AS was, CASE WHEN until IS NOT NULL AND x.t >= until THEN 0 ELSE failures END AS before FROM r JOIN x ON x.user_id = r.user_id AND x.n = r.n + 1)))
+ SELECT user_id, event_id, failures, locked FROM r WHERE n > 0""")
 def lockout_state(spark, sf):
+    """Attempts of each user in order of time, with failures in a row and locks."""
     e = t(spark, sf, "events").select("user_id", "ts", (F.col("event_type") != "error").alias("ok"), "event_id")
     return folds.lockout(e, ["user_id"], "ts", "ok", "event_id", 2, 86400)
 
@@ -269,10 +276,24 @@ def map_override(spark, sf):
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def stream_dedup(spark, sf):
-    """Unique keys over a file stream; of a key's rows the smallest id stands for it."""
-    s = streams.unique_keys(streams.read(spark, sf, "events"), ["user_id", "event_type"], "ts", "60 days")
-    kept = streams.drain(s).select("user_id", "event_type")
-    return kept.join(t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id")), ["user_id", "event_type"])
+    """Unique keys of a file stream, ingested exactly once into a snapshot table; of a batch's rows with one key that with the smallest id stays."""
+    e = streams.read(spark, sf, "events").select("user_id", "event_type", "event_id")
+    path = streams.folder(spark)
+    table = SnapshotTable(spark, f"{path}/table", e.schema, ["user_id", "event_type"])
+    streams.ingest(e, table, "events", [F.col("event_id")], f"{path}/checkpoint")
+    return table.read()
+
+
+@query("""SELECT event_id, CASE WHEN event_id > first THEN 'duplicate' ELSE 'pending' END AS status, nullif(first, event_id) AS duplicate_of FROM (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)) AS first FROM events)""")
+def marked_duplicates(spark, sf):
+    """Copies within a day marked in a snapshot table: all of them in one version, or none."""
+    e = t(spark, sf, "events")
+    table = SnapshotTable(spark, f"{streams.folder(spark)}/table", "event_id long, user_id long, event_type string, status string, duplicate_of long", ["event_id"])
+    table.insert(e.select("event_id", "user_id", "event_type", F.lit("pending").alias("status"), F.lit(None).cast("long").alias("duplicate_of")), [F.col("event_id")])
+    first = e.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.min("event_id").alias("keep"))
+    copies = e.withColumn("day", F.to_date("ts")).join(first, ["user_id", "event_type", "day"]).where("event_id > keep").select("event_id", "keep")
+    table.change(copies, {"status": F.lit("duplicate"), "duplicate_of": F.col("w.keep")})
+    return table.read().select("event_id", "status", "duplicate_of")
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")

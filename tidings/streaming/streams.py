@@ -1,14 +1,18 @@
-"""The batch semantics as streams: cut-off of late rows, unique keys, latest version, greedy windows."""
+"""The batch semantics as streams: cut-off of late rows, unique keys, latest version, exactly-once ingestion, greedy windows."""
 
+import logging
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidings.operators.folds import greedy_window
+from tidings.operators.folds import Bucket, Kept, greedy_window
 from tidings.sources.shared import shared_folder
+from tidings.sources.snapshots import SnapshotTable
+
+log = logging.getLogger(__name__)
 
 
 def folder(spark: SparkSession) -> str:
@@ -53,21 +57,71 @@ def upsert(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     return latest(spark.read.schema(df.schema).parquet(f"{path}/out/*"), keys, version)
 
 
-def greedy(df: DataFrame, keys: list[str], id_: str, time: str, owner: str, confident: str, seconds: int) -> DataFrame:
-    """Greedy window dedup with the kept rows as state. Equal to the batch form when ids arrive in order within each key; rows of one batch are put in order first."""
-    kinds = dict(df.dtypes)
-    # a row that comes more than two windows after a kept one can meet it no more only if times rise with ids; so all confident ones are kept
-    x = df.select(*keys, id_, F.unix_micros(time).alias("_t"), F.col(owner).alias("_o"), F.col(confident).alias("_c"))
-
-    def fold(key, batches, state: GroupState):
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = pd.concat(batches).sort_values(id_)
-        got = greedy_window(zip(rows[id_], rows["_t"], rows["_o"], rows["_c"], strict=True), seconds * 1_000_000, kept)
-        state.update(tuple([type_(k[i]) for k in kept] for i, type_ in enumerate((int, int, int, bool))))
-        out = rows[[*keys, id_]].copy()
-        out["original_id"] = pd.array([h for _, h in got], dtype="Int64")
-        yield out
+def ingest(df: DataFrame, table: SnapshotTable, name: str, order: list[Column], checkpoint: str, time: str | None = None, cutoff: str | None = None, blocked: Column | None = None) -> None:
+    """Runs a stream into a snapshot table, exactly once, over all there is: each batch is one version, which holds the batch's number, so a batch that is repeated after a failure changes nothing or is written anew as a whole. Rows before the cut-off or without a time, and blocked ones, stay out; of equal keys the first row stays. Each version's notes count fetched, late, blocked and inserted rows and duplicates."""
+    late = ~F.coalesce(F.col(time) >= F.lit(cutoff).cast("timestamp"), F.lit(False)) if time and cutoff else F.lit(False)
+    barred = F.coalesce(blocked, F.lit(False)) if blocked is not None else F.lit(False)
 
+    def sink(batch: DataFrame, number: int) -> None:
+        marked = batch.withColumns({"_late": late, "_barred": barred})
+        fetched, n_late, n_barred = marked.agg(F.count("*"), F.count_if("_late"), F.count_if(~F.col("_late") & F.col("_barred"))).first()
+        kept = marked.where("not _late and not _barred").drop("_late", "_barred")
+        version = table.insert(kept, order, (name, number), {"fetched": fetched, "late": n_late, "blocked": n_barred, "wanted": fetched - n_late - n_barred})
+        log.info("batch %s of %s: %s", number, name, table.manifest(version)["notes"])
+
+    df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class _Greedy(StatefulProcessor):
+    """A key's kept rows by time bucket (operators.folds.Kept), as map state. Buckets that neither a row within the delay nor the window can reach go when the watermark passes them."""
+
+    def __init__(self, key: list[str], id_: str, window: int):
+        self.key, self.id, self.window = key, id_, max(window, 1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getMapState("kept", "bucket long", "owner long, ids array<long>, places array<long>, times array<long>")
+        self.count = handle.getValueState("count", "n long")
+
+    def _gone(self, bucket: int) -> int:
+        """The watermark, in milliseconds, from which a bucket can meet no more rows."""
+        return -(-((bucket + 2) * self.window) // 1000)
+
+    def _purge(self, mark: int) -> None:
+        for (b,) in list(self.state.keys()):
+            if self._gone(b) <= mark:
+                self.state.removeKey((b,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n = self.count.get()[0] if self.count.exists() else 0
+        kept = Kept(self.window, n)
+        if n:
+            self._purge(timerValues.getCurrentWatermarkInMs())
+            kept.buckets = {b: Bucket(v[0], list(zip(v[2], v[1], v[3], strict=True))) for (b,), v in self.state.iterator()}
+        for r in sorted(rows, key=lambda r: r[self.id]):
+            ((_, hit),) = greedy_window([(r[self.id], r["_t"], r["_o"], r["_c"])], self.window, kept)
+            yield Row(**dict(zip(self.key, key, strict=True)), **{self.id: r[self.id], "original_id": hit})
+        for b in kept.changed:
+            held = kept.buckets[b].rows
+            self.state.updateValue((b,), (kept.buckets[b].owner, [i for _, i, _ in held], [p for p, _, _ in held], [t for _, _, t in held]))
+        if kept.changed:
+            self.handle.registerTimer(self._gone(max(kept.changed)) + 1)
+            self.count.update((kept.n,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._purge(timerValues.getCurrentWatermarkInMs())
+        if not list(self.state.keys()):
+            self.count.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def greedy(df: DataFrame, keys: list[str], id_: str, time: str, owner: str, confident: str, seconds: int, delay: str = "1 day") -> DataFrame:
+    """(keys, id, original_id): greedy window dedup with the kept rows as state. Equal to the batch form while ids arrive in order within each key and no row is later than the delay; later ones are left out. State is bounded: a kept row goes once the watermark is two windows past its bucket, so a key holds the kept rows of three windows and the delay at most. Needs the RocksDB state store, which is set for the session."""
+    kinds = dict(df.dtypes)
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    x = df.withWatermark(time, delay).select(*keys, id_, time, F.unix_micros(time).alias("_t"), F.col(owner).cast("long").alias("_o"), F.col(confident).alias("_c"))
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, id_]) + ", original_id long"
-    state = "ids array<long>, times array<long>, owners array<long>, marks array<boolean>"
-    return x.groupBy(*keys).applyInPandasWithState(fold, schema, state, "append", GroupStateTimeout.NoTimeout)
+    return x.groupBy(*keys).transformWithState(_Greedy(keys, id_, seconds * 1_000_000), schema, "append", "EventTime")

@@ -1,6 +1,6 @@
 """All named queries of the library and their SQL."""
 
-from tidings.plans import aggregates, incidents, intake, joining, lists, paging, presence, state, texts  # noqa: F401
+from tidings.plans import aggregates, incidents, intake, joining, lists, paging, presence, state, texts, workbooks  # noqa: F401
 from tidings.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -65,7 +65,7 @@ def test_alerts_and_thresholds(spark):
     assert one(spark, resolution.alert_kind(F.lit("تحليق طيران حربي")), resolution.alert_kind(F.lit("عبر البوت الجديد مسيره")), resolution.alert_kind(F.lit("AH-64"))) == (35, None, 38)
     names = spark.createDataFrame([(1, "air strike"), (2, "drone raid"), (39, "drone raid night")], "id int, name string")
     said = spark.createDataFrame([(1, "air strike"), (2, "drone raid night"), (3, "zzz")], "m int, said string")
-    got = {r["m"]: (r["matched_id"], r["status"]) for r in resolution.resolve(said, "m", F.col("said"), names, "id", F.col("name"), required={39: "heavy"}).collect()}
+    got = {r["m"]: (r["matched_id"], r["status"]) for r in resolution.resolve(said, "m", F.col("said"), names, "id", F.col("name"), required={39: ("heavy", "night fall")}).collect()}
     assert got == {1: (1, "matched"), 2: (2, "matched"), 3: (None, "unmatched")}
 
 

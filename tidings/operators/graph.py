@@ -51,3 +51,38 @@ def application(members: DataFrame, cluster: str, id_: str, places: str) -> Data
     shared = F.array_intersect(places, "_rp")
     action = F.when(F.col("is_rep"), "representative").when(F.size(shared) == 0, "keep").when(F.size(shared) == F.size(F.array_distinct(places)), "duplicate").otherwise("partial")
     return out.withColumns({"action": action, "shared": F.sort_array(shared)}).drop("_rp")
+
+
+def new_pairs(pending: DataFrame, known: DataFrame, id_: str, places: str, time: str, seconds: int) -> DataFrame:
+    """(a, b), a < b: place_time_pairs() of which one row at least is pending; known rows are not compared among themselves."""
+    from tidings.operators.joins import interval_join
+
+    x = pending.select(F.col(id_).alias("_p"), F.explode(places).alias("_place"), F.col(time).alias("_ta"))
+    y = known.unionByName(pending).select(F.col(id_).alias("_q"), F.explode(places).alias("_place"), F.col(time).alias("_tb"))
+    near = interval_join(x, y, ["_place"], "_ta", "_tb", seconds).where("_p <> _q")
+    return near.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b")).distinct()
+
+
+def merge_labels(state: DataFrame, id_: str, nodes: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, label) of the rows whose label is new or changes, from stored labels (id, label), new nodes and edges that have a new node: labels are merged by the edges between them alone, and the members of a label that does not change are not read again but for the look-up of edges' ends. The same as components() over all."""
+    labels = state.select(id_, "label").unionByName(nodes.select(id_, F.col(id_).alias("label")))
+    of = lambda c: labels.select(F.col(id_).alias(c), F.col("label").alias(f"_{c}"))
+    ends = cut(edges.join(of(a), a).join(of(b), b).where(F.col(f"_{a}") != F.col(f"_{b}")).select(F.col(f"_{a}").alias("_u"), F.col(f"_{b}").alias("_v")).distinct())
+    meeting = ends.select(F.col("_u").alias("_group")).unionByName(ends.select(F.col("_v").alias("_group"))).distinct()
+    top = components(meeting, "_group", ends, "_u", "_v").withColumnRenamed("label", "_top")
+    moved = labels.join(top, labels["label"] == top["_group"], "left").withColumn("_new", F.coalesce("_top", "label"))
+    fresh = nodes.select(F.col(id_).alias("_n"), F.lit(True).alias("_fresh")).distinct()
+    out = moved.join(fresh, moved[id_] == fresh["_n"], "left").where(F.col("_fresh") | (F.col("_new") != F.col("label")))
+    return out.select(id_, F.col("_new").alias("label"))
+
+
+def sweep(state: DataFrame | None, members: DataFrame, id_: str, pending: DataFrame, edges: DataFrame, a: str, b: str, *order: Column) -> DataFrame:
+    """(id, label, is_rep) after a sweep. state: the same of the sweeps before; pending: their rows are members too; edges have a pending end. Representatives (the first in this order) are chosen anew in clusters that gained or lost members only."""
+    old = pending.limit(0).select(id_, F.col(id_).alias("label"), F.lit(True).alias("is_rep")) if state is None else state
+    changed = cut(merge_labels(old, id_, pending, edges, a, b))
+    left = old.select(F.col(id_).alias("_n"), F.col("label").alias("_was")).join(changed, F.col("_n") == changed[id_]).select(F.col("_was").alias("label"))
+    touched = changed.select("label").unionByName(left).distinct()
+    now = old.join(changed.select(id_), id_, "left_anti").select(id_, "label", "is_rep").unionByName(changed.withColumn("is_rep", F.lit(None).cast("boolean")))
+    again = now.join(touched, "label", "left_semi").select(id_, "label")
+    chosen = representatives(again.join(members.drop("label", "is_rep"), id_), "label", *order).select(id_, "label", "is_rep")
+    return cut(now.join(touched, "label", "left_anti").select(id_, "label", "is_rep").unionByName(chosen))

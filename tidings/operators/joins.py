@@ -37,11 +37,62 @@ def shared_trigrams(left: DataFrame, left_id: str, left_text: Column, right: Dat
     return n.select(left_id, right_id, (F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))).alias("score"))
 
 
-def near_copies(rows: DataFrame, id_: str, text: str, time: str, threshold: float = 0.92, seconds: int = 48 * 3600) -> DataFrame:
-    """(id, original, score): for each row the other row within the window whose text occurs best in its own, by word similarity, ties to the lower id; kept if that reaches the threshold and has the lower id. Rows without text or time take no part.
+_STEPS = (0.4,)
+
+
+def nearest(left: DataFrame, left_id: str, left_text: Column, right: DataFrame, right_id: str, right_text: Column, k: int, least: float = 0.0, steps: tuple[float, ...] = _STEPS) -> DataFrame:
+    """(left id, right id, score, rank): for each left row the k right rows of the best trigram similarity, ties to the lower id; only those that share a trigram and reach `least`. Ids are unique.
+
+    Texts are compared once however many rows bear them. Trigrams are in one global order, the rarest first. Two sets of similarity t or more share one of their first size - ceil(t * size) + 1 trigrams, and neither is smaller than t times the other; so a step looks texts up by these prefixes only. A left text with k right rows at t or more is done, as its kth score is certain; the others go to the next step. The last step has t = least; only with no least do the texts that are still open look at all their trigrams."""
+    from tidings.operators.graph import cut
+
+    def sets(df: DataFrame, text: Column) -> DataFrame:
+        return df.select(text.alias("_x")).where(F.col("_x").isNotNull()).distinct().withColumn("_g", sim.trigrams(F.col("_x"))).where(F.size("_g") > 0)
+
+    names = right.select(F.col(right_id).alias("_id"), right_text.alias("_x"))
+    first = W.partitionBy("_x").orderBy("_id")
+    ids = cut(names.where("_x is not null").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).groupBy("_x").agg(F.sort_array(F.collect_list("_id")).alias("_ids")))
+    a, b = sets(left, left_text), sets(right, right_text)
+    often = b.select(F.explode("_g").alias("_t")).groupBy("_t").agg(F.count("*").alias("_f"))
+
+    def ordered(x: DataFrame) -> DataFrame:
+        each = x.select("_x", F.explode("_g").alias("_t")).join(often, "_t", "left")
+        return cut(each.groupBy("_x").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_t").alias("t")))).alias("_o")).select("_x", F.transform("_o", lambda o: o["t"]).alias("_g")))
+
+    a, b = ordered(a), ordered(b).join(ids, "_x")
+    size, done = F.size("_g"), None
+
+    def prefix(x: DataFrame, t: float) -> DataFrame:
+        length = (size - F.ceil(size * F.lit(t) - 1e-9) + 1).cast("int") if t else size
+        return x.select("*", F.explode(F.slice("_g", F.lit(1), length)).alias("_t"))
+
+    ends = [t for t in steps if t > least] + [least]
+    for t in ends:
+        x = prefix(a.select("_x", "_g"), t).select(F.col("_x").alias("_a"), F.col("_g").alias("_ga"), "_t")
+        y = prefix(b, t).select(F.col("_x").alias("_b"), F.col("_g").alias("_gb"), "_ids", "_t")
+        near = (F.size("_ga") >= F.size("_gb") * t - 1e-9) & (F.size("_gb") >= F.size("_ga") * t - 1e-9)
+        pairs = x.join(y, "_t").where(near).drop("_t").dropDuplicates(["_a", "_b"])
+        n = F.size(F.array_intersect("_ga", "_gb"))
+        scored = pairs.select("_a", "_ids", (n / (F.size("_ga") + F.size("_gb") - n)).alias("score")).where(F.col("score") >= t - 1e-9)
+        hits = top_k(scored.select("_a", "score", F.explode("_ids").alias("_id")), "_a", k, F.desc("score"), F.col("_id"))
+        hits = cut(hits)
+        full = hits.where((F.col("rank") == k) | F.lit(t == ends[-1])).select("_a").distinct()
+        out = hits.join(full, "_a", "left_semi")
+        done = out if done is None else done.unionByName(out)
+        if t != ends[-1]:
+            a = cut(a.join(full, a["_x"] == full["_a"], "left_anti"))
+    if least:
+        done = done.where(F.col("score") >= least)
+    rows = left.select(F.col(left_id), left_text.alias("_a"))
+    return rows.join(done, "_a").select(left_id, F.col("_id").alias(right_id), "score", "rank")
+
+
+def near_copies(rows: DataFrame, id_: str, text: str, time: str, threshold: float = 0.92, seconds: int = 48 * 3600, open_: Column | None = None, original: str | None = None) -> DataFrame:
+    """(id, original, score): for each row the other row within the window whose text occurs best in its own, by word similarity, ties to the lower id; kept if that reaches the threshold and has the lower id. Rows without text or time take no part. Of messages with a status only those that are `open_` are looked up and found: rejected ones and duplicates are neither. A pair is refused, not replaced by the next best, where the best row is itself a copy (`original`, the id that a row was marked with before) or was marked as a copy of this very row.
 
     Texts are compared once however many rows bear them. A text that reaches the threshold shares that part of its trigrams, so it is looked up by its rarest trigrams only, the fewest of which one must be shared; a join on text and time then finds the rows. Rows of one text within one window are compared pair by pair."""
-    x = rows.where(F.col(text).isNotNull() & F.col(time).isNotNull()).select(F.col(id_), F.col(text).alias("_x"), F.col(time).alias("_t"))
+    marked = F.col(original) if original else F.lit(None).cast("long")
+    x = rows.where(F.col(text).isNotNull() & F.col(time).isNotNull() & (F.lit(True) if open_ is None else open_)).select(F.col(id_), F.col(text).alias("_x"), F.col(time).alias("_t"), marked.alias("_of"))
     texts = x.select("_x").distinct().withColumn("_g", sim.trigrams(F.col("_x")))
     grams = texts.select("_x", F.size("_g").alias("_n"), F.explode("_g").alias("_w"))
     rare = grams.join(grams.groupBy("_w").agg(F.count("*").alias("_f")), "_w").groupBy("_x", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_w"))).alias("_o"))
@@ -54,8 +105,8 @@ def near_copies(rows: DataFrame, id_: str, text: str, time: str, threshold: floa
     pairs = pairs.withColumn("score", sim.word_similarity(F.col("_old"), F.col("_x"))).where(F.col("score") >= threshold)
     new = x.join(pairs, "_x").select(F.col(id_).alias("_id"), "_old", "score", F.col("_t").alias("_at"))
     hits = interval_join(new, x.withColumnRenamed("_x", "_old"), ["_old"], "_at", "_t", seconds).where(F.col("_id") != F.col(id_))
-    best = hits.groupBy("_id").agg(F.max_by(F.struct(F.col(id_).alias("o"), "score"), F.struct("score", -F.col(id_))).alias("_b"))
-    return best.select(F.col("_id").alias("id"), F.col("_b.o").alias("original"), F.col("_b.score").alias("score")).where("original < id")
+    best = hits.groupBy("_id").agg(F.max_by(F.struct(F.col(id_).alias("o"), "score", "_of"), F.struct("score", -F.col(id_))).alias("_b"))
+    return best.where("_b._of is null").select(F.col("_id").alias("id"), F.col("_b.o").alias("original"), F.col("_b.score").alias("score")).where("original < id")
 
 
 def top_k(scored: DataFrame, key: str, k: int, *order: Column) -> DataFrame:

@@ -1,11 +1,13 @@
 """Entity resolution: mentions against a vocabulary, with thresholds and required words; event scores; alert rules."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions.text import fold_alert
 from tidings.functions.values import closeness, weighted
-from tidings.operators.joins import shared_trigrams, top_k
+from tidings.operators.joins import nearest
 
 HIGH, LOW = 0.6, 0.35
 # Codes of alert kinds and the words that mean them, in order of test; words of notices that are no alert.
@@ -19,14 +21,13 @@ NOTICES = ("نرجو منكم ابلاغنا فورا", "عبر البوت ال
 CARD, CARD_KIND = ("redalert com lb", ("حيطة", "خبطة"), "حذر"), 36
 
 
-def resolve(mentions: DataFrame, mention_id: str, mention: Column, dim: DataFrame, dim_id: str, name: Column, k: int = 5, required: dict[int, str] | None = None, high: float = HIGH, low: float = LOW) -> DataFrame:
-    """(mention_id, matched_id, confidence, status): of the k nearest names the first whose required word the mention has decides: matched, low_confidence, or unmatched with the score but no id."""
-    pairs = shared_trigrams(mentions, mention_id, mention, dim, dim_id, name)
-    best = top_k(pairs, mention_id, k, F.desc("score"), F.col(dim_id))
+def resolve(mentions: DataFrame, mention_id: str, mention: Column, dim: DataFrame, dim_id: str, name: Column, k: int = 5, required: dict[int, tuple[str, ...]] | None = None, high: float = HIGH, low: float = LOW) -> DataFrame:
+    """(mention_id, matched_id, confidence, status): of the k nearest names the first decides, but for those that require a word, of which the mention must hold one in any case: matched, low_confidence, or unmatched with the score but no id."""
+    best = nearest(mentions, mention_id, mention, dim, dim_id, name, k)
     text = mentions.select(F.col(mention_id).alias("_m"), F.lower(mention).alias("_text"))
     best = best.join(text, best[mention_id] == text["_m"])
-    for id_, word in (required or {}).items():
-        best = best.where((F.col(dim_id) != id_) | F.contains(F.col("_text"), F.lit(word)))
+    for id_, words in (required or {}).items():
+        best = best.where((F.col(dim_id) != id_) | reduce(lambda a, b: a | b, (F.contains(F.col("_text"), F.lit(w)) for w in words)))
     first = best.groupBy(mention_id).agg(F.min_by(F.struct(F.col(dim_id).alias("id"), "score"), "rank").alias("b"))
     out = mentions.select(mention_id).join(first, mention_id, "left")
     score = F.col("b.score")

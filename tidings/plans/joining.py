@@ -143,14 +143,14 @@ def _mentions(spark, sf):
 
 @query(_scored("SELECT n_nationkey, p_partkey, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5"))
 def trigram_similarity_topk(spark, sf):
-    x = joins.shared_trigrams(_mentions(spark, sf), "n_nationkey", F.col("said"), t(spark, sf, "part"), "p_partkey", F.col("p_name"))
-    return joins.top_k(x, "n_nationkey", 5, F.desc("score"), F.col("p_partkey")).withColumn("score", F.round("score", 6))
+    x = joins.nearest(_mentions(spark, sf), "n_nationkey", F.col("said"), t(spark, sf, "part"), "p_partkey", F.col("p_name"), 5)
+    return x.withColumn("score", F.round("score", 6))
 
 
-@query(_scored("SELECT n_nationkey, p_partkey, round(score, 6) AS score FROM r WHERE rank = 1 AND score >= 0.1"))
+@query(_scored("SELECT n_nationkey, p_partkey, round(score, 6) AS score FROM r WHERE rank = 1 AND score >= 0.05"))
 def trigram_top1(spark, sf):
-    x = joins.shared_trigrams(_mentions(spark, sf), "n_nationkey", F.col("said"), t(spark, sf, "part"), "p_partkey", F.col("p_name"))
-    return joins.top_k(x, "n_nationkey", 1, F.desc("score"), F.col("p_partkey")).where("score >= 0.1").select("n_nationkey", "p_partkey", F.round("score", 6).alias("score"))
+    x = joins.nearest(_mentions(spark, sf), "n_nationkey", F.col("said"), t(spark, sf, "part"), "p_partkey", F.col("p_name"), 1, least=0.05)
+    return x.select("n_nationkey", "p_partkey", F.round("score", 6).alias("score"))
 
 
 @query(_scored("""SELECT m.n_nationkey, CASE WHEN score >= 0.12 THEN p_partkey END AS matched_id, round(coalesce(score, 0), 6) AS confidence,

@@ -105,6 +105,21 @@ def cluster_representative(spark, sf):
     return _represented(spark, sf).select("vec_id", "cluster", "is_rep")
 
 
+@query(f"{_LABELS} {_REP}")
+def cluster_sweeps(spark, sf):
+    """The same clusters and representatives from three sweeps, each over its pending rows and what is stored."""
+    m = _messages(spark, sf)
+    trust = F.when(F.col("vec_id") % 3 == 0, 0).when(F.col("vec_id") % 3 == 1, 1).otherwise(9)
+    turn, state = F.col("vec_id") * 7 % 3, None
+    for n in range(3):
+        known, pending = m.where(turn < n), m.where(turn == n)
+        p = graph.new_pairs(pending, known, "vec_id", "places", "at", 300 * 60)
+        p = p.join(m.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(m.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
+        edges = p.where(sim.cosine(F.col("x"), F.col("y")) >= 0.3).select("a", "b")
+        state = graph.sweep(state, m, "vec_id", pending, edges, "a", "b", trust, F.col("at").asc_nulls_last(), F.col("vec_id"))
+    return state.select("vec_id", F.col("label").alias("cluster"), "is_rep")
+
+
 @query(f"""{_LABELS}, m AS (SELECT q.*, e.label AS p1, e.vec_id % 7 + 100 AS p2 FROM ({_REP}) q JOIN embeddings e USING (vec_id)), j AS (SELECT m.*, (m.p1 = r.p1)::INT + (m.p2 = r.p2)::INT AS k, r.vec_id AS rep FROM m JOIN m r ON r.cluster = m.cluster AND r.is_rep)
  SELECT vec_id, rep AS rep_id, CASE WHEN is_rep THEN 'representative' WHEN k = 0 THEN 'keep' WHEN k = 2 THEN 'duplicate' ELSE 'partial' END AS action FROM j""")
 def cluster_subsumption(spark, sf):

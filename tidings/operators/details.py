@@ -227,3 +227,49 @@ def sections(row_fields: dict[str, list[str]], gates: dict[str, str]) -> Column:
     """A map of the fields that are not null in sections whose flag is on, booleans as 0/1."""
     entries = [F.when(F.col(gates[s]), F.struct(F.lit(f).alias("k"), F.col(f).cast("string").alias("v"))) for s, fields in row_fields.items() for f in fields]
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull() & e["v"].isNotNull()))
+
+
+def empty_detail(category: Column) -> Column:
+    """Whether a category tells nothing: no direct mark, no name, no vehicle that is there, no count."""
+    vehicles = reduce(lambda a, b: a | b, (F.coalesce(category["vehicles"][f], F.lit(False)) for f in VEHICLE_FLAGS)) | F.coalesce(*(category["vehicles"][c] for c in VEHICLE_COUNTS)).isNotNull()
+    return category["did"].isNull() & category["name"].isNull() & ~vehicles & F.coalesce(*(category["casualties"][c] for c in COUNTS)).isNull()
+
+
+DEMOGRAPHICS = "casualty_demographics"
+
+
+def assemble(messages: DataFrame, id_: str, categories: str, root: str, answers: DataFrame, key: str, detail: str, error: str) -> DataFrame:
+    """(id, categories, failed, empty): each message's categories of the first tier with those that the second tier answered, which win. answers: one row a message and category, with its detail or an error; a failed or empty one leaves the others as they are and is named. Root counts, if there are any, become the demographics category where that is absent. Ids are unique; answers to unknown ids are left out."""
+    told = F.col(error).isNull() & F.col(detail).isNotNull()
+    blank = F.col(error).isNull() & F.coalesce(empty_detail(F.col(detail)), F.lit(True))
+    entry = F.struct(F.col(key).alias("key"), F.col(detail).alias("value"))
+    got = answers.groupBy(id_).agg(
+        F.map_from_entries(F.collect_list(F.when(told & ~blank, entry))).cast(CATEGORIES).alias("_second"),
+        F.sort_array(F.collect_set(F.when(F.col(error).isNotNull(), F.col(key)))).alias("failed"),
+        F.sort_array(F.collect_set(F.when(blank, F.col(key)))).alias("empty"),
+    )
+    none, names = F.create_map().cast(CATEGORIES), F.array().cast("array<string>")
+    x = messages.select(id_, F.coalesce(categories, none).alias("_first"), F.col(root).alias("_root")).join(got, id_, "left")
+    x = x.withColumn("_second", F.coalesce("_second", none))
+    both = F.map_concat(F.map_filter("_first", lambda k, _: ~F.map_contains_key(F.col("_second"), k)), "_second")
+    counted = F.coalesce(*(F.col("_root")[c] for c in COUNTS)).isNotNull()
+    own = F.struct(F.lit(None).cast("string").alias("did"), F.lit(None).cast("string").alias("name"), F.struct(*(F.col("_root")[c].alias(c) for c in COUNTS)).alias("casualties"), F.lit(None).alias("vehicles"))
+    more = F.create_map(F.lit(DEMOGRAPHICS), own).cast(CATEGORIES)
+    out = F.when(counted & ~F.map_contains_key(F.col("_both"), F.lit(DEMOGRAPHICS)), F.map_concat("_both", more)).otherwise(F.col("_both"))
+    return x.withColumn("_both", both).select(id_, out.alias("categories"), F.coalesce("failed", names).alias("failed"), F.coalesce("empty", names).alias("empty"))
+
+
+def fill(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """stored with the fields of incoming filled in: the larger number, true before false before null, else what is stored and only then what comes. Rows that incoming lacks stay; fields that stored lacks are left out; one row a key on both sides."""
+    kinds, have = dict(stored.dtypes), set(incoming.columns)
+    x = stored.alias("s").join(incoming.alias("i"), keys, "left")
+
+    def field(c: str) -> Column:
+        old, new = F.col(f"s.{c}"), F.col(f"i.{c}")
+        if kinds[c] in ("int", "bigint", "double", "float", "smallint"):
+            return F.greatest(old, new)
+        if kinds[c] == "boolean":
+            return F.when(old | new, True).otherwise(F.coalesce(old, new))
+        return F.coalesce(old, new)
+
+    return x.select(*keys, *((field(c) if c in have else F.col(f"s.{c}")).alias(c) for c in stored.columns if c not in keys))

@@ -21,9 +21,12 @@ def capped(df: DataFrame, id_: str, asked: int | None, default: int) -> DataFram
     return df.orderBy(id_).limit(default if asked is None else min(asked, default))
 
 
-def sort_key(df: DataFrame, column: str, descending: bool = False) -> Column:
-    """The order of a table by any column: numbers and times by value, strings without regard to case, nulls last."""
-    c = F.lower(column) if dict(df.dtypes)[column] == "string" else F.col(column)
+LOCALE = "UNICODE_CI"  # the root order of all scripts, without regard to case; a language's own as in "sv_CI"
+
+
+def sort_key(df: DataFrame, column: str, descending: bool = False, locale: str | None = None) -> Column:
+    """The order of a table by any column: numbers and times by value, strings without regard to case, by code points or in the order of a locale's letters, nulls last."""
+    c = F.col(column) if dict(df.dtypes)[column] != "string" else F.collate(column, locale) if locale else F.lower(column)
     return c.desc_nulls_last() if descending else c.asc_nulls_last()
 
 
@@ -34,10 +37,11 @@ def flag_state(events: DataFrame, keys: list[str], time: str, order: str, on: Co
     return last.select(*keys, flag.alias("flag"), F.when(flag, at).alias("set_at"), F.when(~flag, at).alias("cleared_at"))
 
 
-def resolve_names(rows: DataFrame, name: str, dim: DataFrame, dim_name: str, dim_id: str, out: str) -> DataFrame:
-    """rows with the id of the entry whose name is theirs but for case and outer blanks, least id first; null where there is none."""
-    ids = dim.groupBy(F.lower(F.trim(dim_name)).alias("_n")).agg(F.min(dim_id).alias(out))
-    return rows.join(ids, F.lower(F.trim(name)) == ids["_n"], "left").drop("_n")
+def resolve_names(rows: DataFrame, name: str, dim: DataFrame, dim_name: str, dim_id: str, out: str, locale: str | None = None) -> DataFrame:
+    """rows with the id of the entry whose name is theirs but for case (by code points, or as a locale compares) and outer blanks, least id first; null where there is none."""
+    key = (lambda c: F.collate(F.trim(c), locale)) if locale else (lambda c: F.lower(F.trim(c)))
+    ids = dim.groupBy(key(dim_name).alias("_n")).agg(F.min(dim_id).alias(out))
+    return rows.join(ids, key(name) == ids["_n"], "left").drop("_n")
 
 
 def failures_since_success(events: DataFrame, keys: list[str], order: str, ok: str) -> DataFrame:

@@ -30,15 +30,27 @@ def capped_stage(spark, sf):
     return paging.capped(t(spark, sf, "orders").where("o_orderstatus = 'O'").select("o_orderkey"), "o_orderkey", 500, 100)
 
 
-@query("""SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS by_balance, row_number() OVER (ORDER BY lower(s_name) ASC NULLS LAST, s_suppkey) AS by_name
- FROM supplier WHERE s_nationkey = 3""")
+@query("""SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS by_balance, row_number() OVER (PARTITION BY s_nationkey ORDER BY lower(s_name) ASC NULLS LAST, s_suppkey) AS by_name
+ FROM supplier""")
 def column_sort(spark, sf):
-    """A list by any of its columns; the places of one nation's suppliers."""
-    s = t(spark, sf, "supplier").where("s_nationkey = 3").select("s_suppkey", "s_name", "s_acctbal")
-    place = lambda c, down: F.row_number().over(W.orderBy(paging.sort_key(s, c, down), "s_suppkey")).cast("long")
+    """Lists by any of their columns: the places of every nation's suppliers, names in the order of their letters."""
+    s = t(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_name", "s_acctbal")
+    place = lambda c, down: F.row_number().over(W.partitionBy("s_nationkey").orderBy(paging.sort_key(s, c, down), "s_suppkey")).cast("long")
     return s.select("s_suppkey", place("s_acctbal", True).alias("by_balance"), place("s_name", False).alias("by_name"))
 
 
+_NAMES = ("Zoo", "apple", "Äpfel", "zebra", "éclair", "Eclipse", "БАНК", "аист")  # in order: Äpfel apple éclair Eclipse zebra Zoo аист БАНК
+
+
+@query("SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY [6, 2, 1, 5, 3, 4, 8, 7][s_suppkey % 8 + 1], s_suppkey) AS place FROM supplier")
+def locale_sort(spark, sf):
+    """Places of names of several scripts in the order of their letters, not of code points."""
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("s_suppkey") % 8 + 1).cast("int"))
+    s = t(spark, sf, "supplier").select("s_suppkey", "s_nationkey", name.alias("name"))
+    place = F.row_number().over(W.partitionBy("s_nationkey").orderBy(paging.sort_key(s, "name", locale=paging.LOCALE), "s_suppkey"))
+    return s.select("s_suppkey", place.cast("long").alias("place"))
+
+
 @query("SELECT count(*) > 0 AS found FROM (SELECT 1 FROM customer WHERE c_name = 'Customer#000000007' LIMIT 1)")
 def existence_lookup(spark, sf):
     return t(spark, sf, "customer").where("c_name = 'Customer#000000007'").limit(1).agg((F.count("*") > 0).alias("found"))

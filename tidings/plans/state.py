@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidings.functions import similarity as sim
 from tidings.functions import text as x
 from tidings.functions import values as v
-from tidings.operators import details, folds, graph, incidents, joins, records, relevance, resolution
+from tidings.operators import details, folds, graph, incidents, joins, records, relevance, resolution, runs
 from tidings.plans.registry import query
 from tidings.sources.snapshots import SnapshotTable
 from tidings.sources.tables import table as t
@@ -322,9 +322,15 @@ def stream_greedy(spark, sf):
     return streams.drain(streams.greedy(e, ["user_id", "event_type"], "event_id", "ts", "o", "c", 86400))
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value >= 1 GROUP BY 1")
+@query("""SELECT 'cut' AS stage, count(*) FILTER (WHERE value >= 1) AS n_out, count(*) AS n_in, round(sum(value) FILTER (WHERE value >= 1), 4) AS total, false AS failed FROM events
+ UNION ALL SELECT 'first', count(DISTINCT user_id * 10 + CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 2 WHEN 'error' THEN 3 WHEN 'click' THEN 4 ELSE 5 END) FILTER (WHERE value >= 1), count(*) FILTER (WHERE value >= 1), NULL, false FROM events
+ UNION ALL SELECT 'broken', 0, count(*) FILTER (WHERE value >= 1), NULL, true FROM events""")
 def run_metrics(spark, sf):
-    """Counters of a batch."""
-    g = t(spark, sf, "events").where("value >= 1").groupBy("event_type")
-    return g.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
+    """Stages of a run, counted by observed metrics while their rows are written, and logged in a snapshot table; one stage fails and is logged as such."""
+    path = streams.folder(spark)
+    log = runs.RunLog(spark, f"{path}/log")
+    e = t(spark, sf, "events")
+    cut = log.stage("r1", "cut", e.select("user_id", "event_type", "event_id", "value"), lambda x: x.where("value >= 1"), f"{path}/cut", total=F.round(F.sum("value"), 4))
+    log.stage("r1", "first", cut, lambda x: records.unique(x, ["user_id", "event_type"], [F.col("event_id")]), f"{path}/first")
+    log.stage("r1", "broken", cut, lambda x: x.withColumn("bad", F.raise_error(F.concat(F.lit("row "), F.col("event_id").cast("string")))), f"{path}/broken")
+    return log.table.read().select("stage", "n_in", "n_out", F.col("extra")["total"].cast("double").alias("total"), "failed")

@@ -90,6 +90,21 @@ def test_long_words_by_stretches_equal_whole_ones(monkeypatch):
     assert two == pytest.approx(one)
 
 
+def test_very_long_words_are_scored_in_seconds():
+    """A word of 2 MB: no underflow, the same sum over lengths as a short one's doubled, and less than twenty seconds for all."""
+    import time
+
+    pieces = m.vocabulary(m.vocabulary_path())
+    lat = m.Lattice(pieces, m.prior(pieces))
+    word = np.frombuffer(m.START + (b"onstationtheabcdefghij\xff\xe4" * 84_000)[:2_000_000], np.uint8)
+    began = time.time()
+    alpha, out = lat.long_forward(word), np.zeros(len(pieces) + 1)
+    lat.long_expected(word, 1.0, out)
+    assert time.time() - began < 40 and np.isfinite(alpha).all()
+    a, b = alpha[1_000_003], alpha[2_000_003]
+    assert b == pytest.approx(2 * a, rel=1e-4) and out.sum() > 2_000_000 / lat.longest and np.isfinite(out).all()
+
+
 def test_scores_equal_a_plain_recursion(spark, tmp_path):
     """score again: piece weights re-estimated word by word, each text's score as the sum of its words' and the end's."""
     rows = [(k, t, None, None, None) for k, t in enumerate(["the cat onstation", "The dog the cat", None, "", "é中x cat", "dog dog zz", "a the", "onstation the a", "a", "cat zz the", "the the cat", "dog a é中x"])]

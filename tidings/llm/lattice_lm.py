@@ -17,6 +17,7 @@ length are scored whole, those over LONG bytes a stretch at a time; extra column
 are told apart by 64-bit hashes of their bytes.
 """
 
+import math
 import zlib
 
 import numpy as np
@@ -29,6 +30,7 @@ from tidings.llm.work import Workspace, by_part, chunks, n_parts, record, unpack
 
 HEAD = 1 << 18
 ROUNDS = 1
+SMALL = 1e-80  # sums below it move the common factor of a long word's recursion
 LONG = 4096  # bytes of a word above which its arcs are found a stretch at a time
 UNIT = 1_500_000  # words whose counts a task holds before it passes them on
 _COUNT = np.dtype([("h", "<u8"), ("n", "<i8"), ("a", "<i8"), ("len", "<i4")])
@@ -153,37 +155,71 @@ class Lattice:
             piece = word[a - back : a + LONG]
             yield a, self.arcs(piece, 1, len(piece))[0, back:]
 
+    def _there(self, arcs: np.ndarray, first: int):
+        """The arcs that are there, by end: (how many at each end, their lengths, their probabilities)."""
+        w = self._weights(arcs)
+        row, length = np.nonzero(np.isfinite(w) & (np.arange(1, w.shape[1] + 1) <= first + np.arange(1, len(w) + 1)[:, None]))
+        return np.bincount(row, minlength=len(w)).tolist(), (length + 1).tolist(), np.exp(w[row, length]).tolist()
+
     def long_forward(self, word: np.ndarray) -> np.ndarray:
-        """The forward recursion over one word; besides its result only a stretch's arcs are held."""
+        """The forward recursion over one word, arc by arc: most pieces that could end at a byte are not there. Sums are probabilities over a common factor, which is moved on where they get small; besides the result only a stretch's arcs and the last sums are held."""
         alpha = np.full(len(word) + 1, -np.inf)
-        alpha[0] = 0
+        alpha[0] = factor = 0.0
+        held = [1.0]
         for a, arcs in self._stretches(word):
-            w = self._weights(arcs)
-            for e in range(a + 1, a + 1 + len(w)):
-                k = min(e, w.shape[1])
-                x = alpha[e - k : e][::-1] + w[e - 1 - a, :k]
-                top = x.max()
-                alpha[e] = top + np.log(np.exp(x - top).sum())
+            counts, lengths, weights = self._there(arcs, a)
+            i, logs = 0, []
+            for n in counts:
+                total = 0.0
+                for k, p in zip(lengths[i : i + n], weights[i : i + n], strict=True):
+                    total += held[-k] * p
+                i += n
+                if 0.0 < total < SMALL:
+                    factor += math.log(total)
+                    held = [x / total for x in held[-self.longest :]]
+                    total = 1.0
+                held.append(total)
+                logs.append(math.log(total) + factor if total else -math.inf)
+            alpha[a + 1 : a + 1 + len(logs)] = logs
+            held = held[-self.longest :]
         return alpha
 
-    def long_expected(self, word: np.ndarray, weight: float, out: np.ndarray) -> None:
-        """expected() of one long word: stretches from the last to the first, with beta carried back."""
-        alpha, n = self.long_forward(word), len(word)
+    def _long_backward(self, word: np.ndarray) -> np.ndarray:
+        """The same from the end: log sums over the segmentations of what follows each byte."""
+        n = len(word)
         beta = np.full(n + 1, -np.inf)
-        beta[n] = 0
+        ahead, factor = [1.0] + [0.0] * self.longest, 0.0  # sums of the position in hand and those before it
         for a in range((n - 1) // LONG * LONG, -1, -LONG):
             end, back = min(n, a + LONG), min(a, self.longest - 1)
             piece = word[a - back : end]
-            own = self.arcs(piece, 1, len(piece))[0, back:]
-            w = self._weights(own)
-            for e in range(end, a, -1):
-                k = min(e, w.shape[1])
-                starts = e - np.arange(1, k + 1)
-                x = w[e - 1 - a, :k] + beta[e]
-                p = np.exp(alpha[starts] + x - alpha[n]) * weight
-                hit = own[e - 1 - a, :k] >= 0
-                np.add.at(out, own[e - 1 - a, :k][hit], p[hit])
-                beta[starts] = np.logaddexp(beta[starts], x)
+            counts, lengths, weights = self._there(self.arcs(piece, 1, len(piece))[0, back:], a)
+            i, logs = len(lengths), []
+            for m in reversed(counts):
+                here = ahead[0]
+                if 0.0 < here < SMALL:
+                    factor += math.log(here)
+                    ahead = [x / here for x in ahead]
+                    here = 1.0
+                logs.append(math.log(here) + factor if here else -math.inf)
+                for k, p in zip(lengths[i - m : i], weights[i - m : i], strict=True):
+                    ahead[k] += here * p
+                i -= m
+                del ahead[0]
+                ahead.append(0.0)
+            beta[a + 1 : end + 1] = logs[::-1]
+        beta[0] = math.log(ahead[0]) + factor if ahead[0] else -math.inf
+        return beta
+
+    def long_expected(self, word: np.ndarray, weight: float, out: np.ndarray) -> None:
+        """expected() of one long word: both recursions, then all arcs of a stretch at once."""
+        alpha, beta, n = self.long_forward(word), self._long_backward(word), len(word)
+        for a, arcs in self._stretches(word):
+            w = self._weights(arcs)
+            ends = a + 1 + np.arange(len(w))
+            for k in range(1, min(w.shape[1], int(ends[-1])) + 1):
+                rows = np.flatnonzero((arcs[:, k - 1] >= 0) & (ends >= k))
+                p = np.exp(alpha[ends[rows] - k] + w[rows, k - 1] + beta[ends[rows]] - alpha[n]) * weight
+                np.add.at(out, arcs[rows, k - 1], p)
 
 
 def _held(keys: list) -> np.ndarray:

@@ -150,14 +150,24 @@ def merged(decisions: DataFrame, rows: DataFrame, key: str, id_: str, fields: li
     return got.withColumnRenamed("_to", id_)
 
 
+def said_regions(messages: DataFrame, id_: str, text: str, places: DataFrame, region: str) -> DataFrame:
+    """(id, _n, _one): how many regions a text names (of four characters at least, in any case), and the first of them; texts that name none are left out."""
+    known = places.select(F.col(region).alias("_region"), F.lower(region).alias("_low")).where(F.length("_low") >= 4).distinct()
+    return named_in(messages, id_, F.lower(text), known, "_low").groupBy(id_).agg(F.count_distinct("_region").alias("_n"), F.min("_region").alias("_one"))
+
+
+def region_label() -> Column:
+    """`Multiple regions`, or the one that was said, or the place's own (_n, _one, _own)."""
+    return F.when(F.col("_n") > 1, "Multiple regions").otherwise(F.coalesce("_one", "_own"))
+
+
 def route_alerts(messages: DataFrame, id_: str, text: str, at: str, places: DataFrame, place_id: str, local: list[str], latin: list[str], region: str, zone: str, code: str | None = None, aliases=ALIASES, after: str | None = None) -> DataFrame:
     """(id, status, reason, kind, place_id, how, region, month, day, clock) for each message: alert kind, then its place by match_places(). Without either it is rejected, else it goes to the second fact with local time and a region: the one region whose name (of four characters at least, in any case) the text holds, `Multiple regions` if it holds more, the place's own if none. Ids of messages and places are unique."""
     m = messages.select(id_, at, text).withColumn("kind", alert_kind(F.col(text)))
     alerts = m.where("kind is not null")
     place = match_places(alerts, id_, F.col(text), places, place_id, place_id, local, latin, code, aliases, after=after)
     own = places.select(F.col(place_id).cast("long").alias("place_id"), F.col(region).alias("_own"))
-    known = places.select(F.col(region).alias("_region"), F.lower(region).alias("_low")).where(F.length("_low") >= 4).distinct()
-    said = named_in(alerts, id_, F.lower(text), known, "_low").groupBy(id_).agg(F.count_distinct("_region").alias("_n"), F.min("_region").alias("_one"))
+    said = said_regions(alerts, id_, text, places, region)
     local_time = F.from_utc_timestamp(at, zone)
     ok = F.col("place_id").isNotNull()
     x = m.join(place.join(own, "place_id", "left"), id_, "left").join(said, id_, "left")
@@ -168,7 +178,7 @@ def route_alerts(messages: DataFrame, id_: str, text: str, at: str, places: Data
         "kind",
         "place_id",
         "how",
-        F.when(ok, F.when(F.col("_n") > 1, "Multiple regions").otherwise(F.coalesce("_one", "_own"))).alias("region"),
+        F.when(ok, region_label()).alias("region"),
         F.when(ok, F.date_format(local_time, "MMMM")).alias("month"),
         F.when(ok, F.date_format(local_time, "yyyy-MM-dd")).alias("day"),
         F.when(ok, F.date_format(local_time, "HH:mm")).alias("clock"),

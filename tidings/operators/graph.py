@@ -1,17 +1,15 @@
 """Connected components and representatives of clusters."""
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidings.sources.shared import shared_folder
+from tidings.sources.shared import run_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: computed once, its lineage ends, and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
+    path = run_folder(df.sparkSession, "cut") + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

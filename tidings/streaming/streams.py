@@ -1,7 +1,6 @@
 """The batch semantics as streams: cut-off of late rows, unique keys, latest version, exactly-once ingestion, greedy windows."""
 
 import logging
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidings.operators.folds import Bucket, Kept, greedy_window
-from tidings.sources.shared import shared_folder
+from tidings.sources.shared import run_folder
 from tidings.sources.snapshots import SnapshotTable
 
 log = logging.getLogger(__name__)
@@ -17,7 +16,7 @@ log = logging.getLogger(__name__)
 
 def folder(spark: SparkSession) -> str:
     """A new folder for a stream's checkpoint and output, shared by driver and executors."""
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    return run_folder(spark, "stream")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -53,10 +53,14 @@ def give_back() -> None:
 
 
 class Workspace:
-    """Tables that one run of an operator writes to the shared folder, so that a lost executor costs no recomputation of earlier steps."""
+    """Tables that one run of an operator writes to the shared folder, so that a lost executor costs no recomputation of earlier steps. They go when the driver ends; a driver that is killed leaves them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

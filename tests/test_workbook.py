@@ -49,6 +49,18 @@ def test_a_failed_write_leaves_the_old_files(spark, tmp_path):
     assert [f for f in sorted(os.listdir(tmp_path)) if f.startswith("part-")] == before and workbook.scan(spark, f"{tmp_path}/part-*").count() == 5
 
 
+def test_the_sql_numbers_rows_by_sheet(tmp_path):
+    """Rows beyond a full sheet stand in the next workbook, from row 2 on."""
+    import duckdb
+
+    from tidings import plans
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT i AS p_partkey, 'n' AS p_name, 1 AS p_size, 't' AS p_type, 'b' AS p_brand FROM range({workbook.FULL + 1}) r(i)")
+    got = c.execute(f"SELECT a, row_ FROM ({plans.ORACLES['header_dedupe']}) WHERE CAST(a AS BIGINT) IN (0, {workbook.FULL - 2}, {workbook.FULL - 1}, {workbook.FULL}) ORDER BY CAST(a AS BIGINT)").fetchall()
+    assert [n for _, n in got] == [2, workbook.FULL, 2, 3]
+
+
 def other(path, sheet, **more):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     with zipfile.ZipFile(path, "w") as z:

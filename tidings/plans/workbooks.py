@@ -8,9 +8,9 @@ from tidings.sources.tables import table as t
 from tidings.streaming.streams import folder
 
 
-@query("""SELECT row_number() OVER (ORDER BY p_partkey) + 1 AS row_, CAST(p_partkey AS VARCHAR) AS a, p_name AS a__2, CAST(p_size AS VARCHAR) AS Column_3, p_type AS b, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS a__3, CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS Column_6 FROM part""")
+@query(f"""SELECT (row_number() OVER (ORDER BY p_partkey) - 1) % {workbook.FULL - 1} + 2 AS row_, CAST(p_partkey AS VARCHAR) AS a, p_name AS a__2, CAST(p_size AS VARCHAR) AS Column_3, p_type AS b, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS a__3, CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS Column_6 FROM part""")
 def header_dedupe(spark, sf):
-    """Parts written as a workbook under headers that repeat or are blank, and read again under unique ones."""
+    """Parts written as a workbook under headers that repeat or are blank, and read again under unique ones. Rows bear their numbers in their sheet (from 2): a full sheet ends, and the next workbook begins anew."""
     path = folder(spark)
     part = t(spark, sf, "part").orderBy("p_partkey").select("p_partkey", "p_name", "p_size", "p_type", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")), F.col("p_partkey") % 2 == 0)
     workbook.export(part.coalesce(1), path, ["a", "a ", "", "b", "a", None])

@@ -43,6 +43,20 @@ def test_throttle_over_chains_of_keys_and_a_hot_address(spark):
     assert got == want and {o for o, *_ in want.values()} == {"blocked", "locked", "failed", "ok", "inactive"}
 
 
+def test_short_chains_are_folded_once_and_long_ones_in_rounds(spark, monkeypatch):
+    """Forty chains, of which only those beyond the limit go in rounds; the results are the same."""
+    r, folds, fold = random.Random(5), [], throttles._fold
+    rows = [(i, r.randrange(3000), r.choice(["failed", "failed", "ok"]), f"a{c}.{r.randrange(3)}", f"d{c}.{r.randrange(4)}", f"u{c}.{r.randrange(6)}") for i in range(1200) for c in [i % 40 if i % 3 else 0]]
+    df = spark.createDataFrame(rows, "id long, at long, result string, ip string, device string, account string").withColumn("ts", F.timestamp_seconds("at"))
+    monkeypatch.setattr(throttles, "_fold", lambda x, *more: folds.append(x.count()) or fold(x, *more))
+    want = plain(rows, 3, 60)
+    for whole, most in ((throttles.WHOLE, 0), ((100, 100), 3 * 500)):
+        folds.clear()
+        got = throttles.throttle(df, "id", "ts", "result", {k: F.col(k) for k in KINDS}, "account", 3, 60, whole).collect()
+        assert {x["id"]: (x["outcome"], x["by"], x["retry_after"]) for x in got} == want
+        assert max(folds, default=0) <= most and bool(folds) == bool(most)
+
+
 def test_throttle_without_rows_or_keys(spark):
     df = spark.createDataFrame([(1, None, None, None)], "id long, ts timestamp, result string, k string")
     keys = {"ip": F.col("k"), "account": F.col("k")}

@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidings.operators.graph import cut
+from tidings.operators.graph import components, cut
+
+WHOLE = (1 << 22, 1 << 17)  # attempts and keys of a chain that one task folds as a stream
 
 
 def _fold(x: DataFrame, limit: int, micros: int) -> DataFrame:
@@ -39,36 +41,91 @@ def _fold(x: DataFrame, limit: int, micros: int) -> DataFrame:
     return x.repartition("key").sortWithinPartitions("key", "at", "id").mapInPandas(fold, schema)
 
 
-def throttle(attempts: DataFrame, id_: str, time: str, result: str, keys: dict[str, Column], account: str, limit: int = 3, seconds: int = 300) -> DataFrame:
-    """(id, outcome, by, retry_after) of sign-in attempts that several keys throttle together, as address, device and account.
-
-    result: `ok`, `failed`, or else no change of any count (an account that is switched off). keys: their columns by kind, in the order in which locks are looked at; a null key throttles nothing, and an attempt whose account (one of the kinds) is null fails. An attempt is `blocked` if a lock of one of its keys lasts: it counts for no key, `by` is the first such kind and retry_after its seconds left, rounded up to the next. Otherwise a failure counts for each of its keys; `limit` in a row lock a key (`locked`, by the first kind), a success clears all of the attempt's keys, and a lock that is over starts the count anew. Attempts go in order of time, ties by id; those without a time come first and set no lock. Ids are unique.
+def _fold_chains(x: DataFrame, limit: int, micros: int) -> DataFrame:
+    """(id, at, result, stop_rank, stops, lock_rank) of attempts (id, at, result, e, chain): each chain's attempts in order of time, as a stream, with the state of the chain's keys in a dict."""
 
-    What a key counts depends on the locks of the others, over any chain of shared keys. Each round folds every key by itself with the stops that the others gave in the round before, until none changes: the first n attempts of a chain are right after n rounds at the latest, and mostly a few rounds do. Nothing is gathered but the rounds' end; a chain of keys, however long, is never one task. A single key's attempts pass one task in order.
-    """
-    kinds = list(keys)
-    given = F.when(keys[account].isNull() & (F.col(result) == "ok"), "failed").otherwise(F.coalesce(result, F.lit("failed")))
-    entries = F.array(*(F.when(k.isNotNull(), F.struct(F.lit(i).alias("rank"), F.concat(F.lit(f"{n}:"), k.cast("string")).alias("key"))) for i, (n, k) in enumerate(keys.items())))
-    base = attempts.select(F.col(id_).alias("id"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), given.alias("result"), F.filter(entries, lambda e: e.isNotNull()).alias("e"))
+    def fold(batches):
+        import pyarrow as pa
+
+        now, state = None, {}
+        for batch in batches:
+            out = []
+            for chain, at, result, ranks, keys in zip(*(batch.column(c).to_pylist() for c in ("chain", "at", "result", "ranks", "keys")), strict=True):
+                if chain != now:
+                    now, state = chain, {}
+                stop, lock, mine = (None, None), None, []
+                for rank, key in zip(ranks, keys, strict=True):
+                    held = state.setdefault(key, [0, None])
+                    if held[1] is not None and at is not None and at >= held[1]:
+                        held[:] = 0, None
+                    if stop[0] is None and held[1] is not None:
+                        stop = rank, held[1]
+                    mine.append((rank, held))
+                if stop[0] is None and result == "ok":
+                    for _, held in mine:
+                        held[0] = 0
+                elif stop[0] is None and result == "failed":
+                    for rank, held in mine:
+                        held[0] += 1
+                        if held[0] >= limit and at is not None:
+                            held[1] = at + micros
+                            lock = rank if lock is None else lock
+                out.append((*stop, lock))
+            stops = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 3, (pa.int32(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "at", "result")), *stops], ["id", "at", "result", "stop_rank", "stops", "lock_rank"])
+
+    schema = f"id {dict(x.dtypes)['id']}, at long, result string, stop_rank int, stops long, lock_rank int"
+    rows = x.select("chain", "id", "at", "result", F.col("e.rank").alias("ranks"), F.col("e.key").alias("keys"))
+    return rows.repartition("chain").sortWithinPartitions("chain", "at", "id").mapInArrow(fold, schema)
+
+
+def _fold_rounds(base: DataFrame, limit: int, micros: int) -> DataFrame:
+    """The same by key, for chains that are too long for one task: each round folds every key by itself with the stops that the others gave in the round before, until none changes."""
     x = base.select("id", "at", "result", F.inline("e")).withColumn("elsewhere", F.lit(False))
     stopped = F.col("stops").isNotNull().cast("int")
     while True:
-        got = _fold(x, limit, seconds * 1_000_000)
+        got = _fold(x, limit, micros)
         others = F.sum(stopped).over(W.partitionBy("id")) - stopped > 0
         new = cut(got.withColumn("next", others))
         if new.where("elsewhere <> next").isEmpty():
             break
         x = new.select("id", "rank", "key", "at", "result", F.col("next").alias("elsewhere"))
     lock = F.when((F.col("result") == "failed") & (F.col("failures") >= limit) & F.col("at").isNotNull(), F.col("rank"))
-    by_id = new.groupBy("id").agg(F.min(F.when(F.col("stops").isNotNull(), F.struct("rank", "stops"))).alias("b"), F.min(lock).alias("l"))
-    name = lambda r: F.get(F.array(*map(F.lit, kinds)), r)
-    y = base.join(by_id, "id", "left")
-    left = F.floor((F.col("b.stops") - F.col("at")) / F.lit(1e6)) + 1
+    by_id = new.groupBy("id").agg(F.min(F.when(F.col("stops").isNotNull(), F.struct("rank", "stops"))).alias("b"), F.min(lock).alias("lock_rank"))
+    return base.join(by_id, "id", "left").select("id", "at", "result", F.col("b.rank").alias("stop_rank"), F.col("b.stops").alias("stops"), "lock_rank")
+
+
+def throttle(attempts: DataFrame, id_: str, time: str, result: str, keys: dict[str, Column], account: str, limit: int = 3, seconds: int = 300, whole: tuple[int, int] = WHOLE) -> DataFrame:
+    """(id, outcome, by, retry_after) of sign-in attempts that several keys throttle together, as address, device and account.
+
+    result: `ok`, `failed`, or else no change of any count (an account that is switched off). keys: their columns by kind, in the order in which locks are looked at; a null key throttles nothing, and an attempt whose account (one of the kinds) is null fails. An attempt is `blocked` if a lock of one of its keys lasts: it counts for no key, `by` is the first such kind and retry_after its seconds left, rounded up to the next. Otherwise a failure counts for each of its keys; `limit` in a row lock a key (`locked`, by the first kind), a success clears all of the attempt's keys, and a lock that is over starts the count anew. Attempts go in order of time, ties by id; those without a time come first and set no lock. Ids are unique.
+
+    What a key counts depends on the locks of the others, over any chain of shared keys. Chains are the components of keys that attempts share. Those of at most `whole` attempts and keys are each folded once, as a stream in order of time. Longer ones are folded key by key in rounds until no stop changes: the first n attempts of a chain are right after n rounds at the latest, and a chain, however long, is never one task. A single key's attempts pass one task in order.
+    """
+    kinds = list(keys)
+    given = F.when(keys[account].isNull() & (F.col(result) == "ok"), "failed").otherwise(F.coalesce(result, F.lit("failed")))
+    entries = F.array(*(F.when(k.isNotNull(), F.struct(F.lit(i).alias("rank"), F.concat(F.lit(f"{n}:"), k.cast("string")).alias("key"))) for i, (n, k) in enumerate(keys.items())))
+    base = attempts.select(F.col(id_).alias("id"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), given.alias("result"), F.filter(entries, lambda e: e.isNotNull()).alias("e"))
+    free = base.where(F.size("e") == 0).select("id", "at", "result", F.lit(None).cast("int").alias("stop_rank"), F.lit(None).cast("long").alias("stops"), F.lit(None).cast("int").alias("lock_rank"))
+    held = base.where(F.size("e") > 0).withColumn("first", F.col("e")[0]["key"])
+    links = cut(held.select("first", F.explode("e.key").alias("key")).groupBy("first", "key").agg(F.count("*").alias("n")))
+    chains = components(links.select("key").distinct(), "key", links.where("first <> key"), "first", "key").withColumnRenamed("label", "chain")
+    own = links.where("first = key").select("key", "n")  # each attempt once, under its first key
+    many = chains.join(own, "key", "left").groupBy("chain").agg(F.sum("n").alias("n"), F.count("*").alias("n_keys")).where((F.col("n") > whole[0]) | (F.col("n_keys") > whole[1]))
+    long_ = cut(many.select("chain", F.lit(True).alias("long")))
+    chains = chains.join(long_, "chain", "left").select(F.col("key").alias("first"), "chain", F.coalesce("long", F.lit(False)).alias("long"))
+    x = held.join(chains, "first").drop("first")
+    y = free.unionByName(_fold_chains(x.where("not long").drop("long"), limit, seconds * 1_000_000))
+    if not long_.isEmpty():
+        y = y.unionByName(_fold_rounds(x.where("long").drop("long", "chain"), limit, seconds * 1_000_000))
+    name = lambda r: F.get(F.array(*map(F.lit, kinds)), F.col(r))
+    blocked, locked = F.col("stops").isNotNull(), F.col("lock_rank").isNotNull()
+    left = F.floor((F.col("stops") - F.col("at")) / F.lit(1e6)) + 1
     return y.select(
         F.col("id").alias(id_),
-        F.when(F.col("b").isNotNull(), "blocked").when(F.col("l").isNotNull(), "locked").otherwise(F.col("result")).alias("outcome"),
-        F.coalesce(name(F.col("b.rank")), name(F.col("l"))).alias("by"),
-        F.when(F.col("b").isNotNull(), F.greatest(F.lit(1), left)).when(F.col("l").isNotNull(), F.lit(seconds)).cast("long").alias("retry_after"),
+        F.when(blocked, "blocked").when(locked, "locked").otherwise(F.col("result")).alias("outcome"),
+        F.coalesce(name("stop_rank"), name("lock_rank")).alias("by"),
+        F.when(blocked, F.greatest(F.lit(1), left)).when(locked, F.lit(seconds)).cast("long").alias("retry_after"),
     )
 
 

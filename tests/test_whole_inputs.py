@@ -158,3 +158,26 @@ def test_names_of_any_length_and_signs(spark):
     found = joins.named_in(spark.createDataFrame(list(enumerate(texts)), "id int, said string"), "id", F.col("said"), spark.createDataFrame([(n,) for n in names], "name string"), "name")
     want = {(k, n) for k, s in enumerate(texts) for n in names if s and re.search(rf"(?<!\w){re.escape(n)}(?!\w)", s)}
     assert sorted(map(tuple, found.collect())) == sorted(want) and (1, "ain al hilweh old camp") in want
+
+
+def test_near_copies_of_a_block_compare_each_pair_of_texts_once(monkeypatch):
+    """Rows of few texts, some of one id, against a plain loop; each two texts are compared once, over blocks too."""
+    import random
+
+    from tidings.functions.similarity import word_similarity_of
+    from tidings.operators import folds
+
+    def plain(rows, threshold, window):
+        marked = {}
+        for id_, text, at in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2])):
+            near = [(-(word_similarity_of(t, text) or 0.0), k) for k, t, s in rows if k != id_ and k not in marked and abs(s - at) <= window]
+            if near and -min(near)[0] >= threshold and min(near)[1] < id_:
+                marked[id_] = min(near)[1]
+        return marked
+
+    r, calls, names = random.Random(7), [], ["red anvil", "red anvils", "big red anvil", "rod", "hot rod", "hot rods", None]
+    blocks = [[(r.randrange(250), r.choice(names), r.choice([r.random() * 90, float("nan")]) if i % 9 == 0 else r.random() * 90) for i in range(200)] for _ in range(4)]
+    want = [plain(rows, t, 7.0) for rows in blocks for t in (0.5, 0.9)]
+    monkeypatch.setattr(folds, "word_similarity_of", lambda a, b: calls.append((a, b)) or word_similarity_of(a, b), raising=False)
+    assert [folds.sequential_near_copies(rows, t, 7.0) for rows in blocks for t in (0.5, 0.9)] == want and any(want)
+    assert len(calls) == len(set(calls)) == 36

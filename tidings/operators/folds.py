@@ -2,12 +2,15 @@
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidings.functions.similarity import word_similarity_of
+
 
 @dataclass
 class Bucket:
@@ -91,18 +94,45 @@ def dedup_in_windows(df: DataFrame, keys: list[str], id_: str, time: str, owner:
     return x.repartition(*keys, "_s").sortWithinPartitions(*keys, "_s", id_).mapInPandas(fold, schema)
 
 
-def sequential_near_copies(rows: list[tuple[int, str, float]], threshold: float, window: float) -> dict[int, int]:
-    """Exact form of near-copy marking for one block of rows (id, text, time) in id order: each row looks at the best other row within the window that is not marked (word similarity of the stored text in the new one, ties to the lower id); if that passes and has the lower id, the row is its duplicate."""
-    from functools import lru_cache
+@lru_cache(1 << 16)
+def _alike_memo(a: str, b: str) -> float:
+    return word_similarity_of(a, b) or 0.0
+
 
-    from tidings.functions.similarity import word_similarity_of
+def _alike(a: str | None, b: str | None) -> float:
+    """Word similarity, kept by a worker over blocks for texts of 1,000 characters at most together, which bounds the memo."""
+    if a is None or b is None:
+        return 0.0
+    return _alike_memo(a, b) if len(a) + len(b) <= 1000 else word_similarity_of(a, b) or 0.0
 
-    alike = lru_cache(1 << 16)(word_similarity_of)
+
+def sequential_near_copies(rows: list[tuple[int, str, float]], threshold: float, window: float) -> dict[int, int]:
+    """Exact form of near-copy marking for one block of rows (id, text, time) in id order: each row looks at the best other row within the window that is not marked (word similarity of the stored text in the new one, ties to the lower id); if that passes and has the lower id, the row is its duplicate.
+
+    Texts are compared once however many rows bear them; a text's rows that are not marked wait in id order, of which the first within the window is taken."""
+    rows = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))  # of one id the last row decides
+    waiting: dict[str, list] = {}
+    texts: dict[int, set] = {}
+    for id_, text, at in rows:
+        waiting.setdefault(text, []).append((id_, at))
+        texts.setdefault(id_, set()).add(text)
+    near: dict[str, list] = {}
     marked: dict[int, int] = {}
-    for id_, text, at in sorted(rows):
-        near = [(-(alike(t, text) or 0.0), k) for k, t, s in rows if k != id_ and k not in marked and abs(s - at) <= window]
-        if near and -min(near)[0] >= threshold and min(near)[1] < id_:
-            marked[id_] = min(near)[1]
+    for id_, text, at in rows:
+        if text not in near:
+            scored = ((_alike(t, text), t) for t in waiting)
+            near[text] = sorted(((s, t) for s, t in scored if s >= threshold), key=lambda x: -x[0])
+        best = None
+        for score, t in near[text]:
+            if best is not None and score < best[0]:
+                break
+            first = next((k for k, s in waiting[t] if k != id_ and abs(s - at) <= window), None)
+            if first is not None and (best is None or first < best[1]):
+                best = score, first
+        if best is not None and best[1] < id_:
+            marked[id_] = best[1]
+            for t in texts.pop(id_, ()):
+                waiting[t] = [r for r in waiting[t] if r[0] != id_]
     return marked
 
 

@@ -73,3 +73,23 @@ def test_lockout_as_a_stream_of_rows(spark):
     got = {r["id"]: (r["failures"], r["locked"]) for r in folds.lockout(df, ["who"], "at", "good", "id").collect()}
     assert got == want and {x for _, x in got.values()} == {True, False}
     assert folds.lockout(df.where(F.lit(False)), ["who"], "at", "good", "id").count() == 0
+
+
+def test_keys_share_their_state(spark, tmp_path):
+    """Many keys, also null texts, rows without an owner or a time: equal to the batch form, with a state entry a slice and bucket, not a key."""
+    rng = random.Random(3)
+    schema = "k string, n long, id long, at timestamp, who long, sure boolean"
+    data = [
+        (rng.choice([None, "a", "b"]), rng.randrange(100), k, None if k % 50 == 7 and k < 1500 else T0 + datetime.timedelta(seconds=k), rng.choice([None, 1, 2]), rng.choice([None, True, True, False]))
+        for k in range(3000)
+    ]
+    for n in range(2):
+        spark.createDataFrame(data[1500 * n : 1500 * n + 1500], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    df = streams.greedy(source, ["k", "n"], "id", "at", "who", "sure", 600, "20 minutes", slices=4)
+    q = df.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/{number}")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) < 100
+    got = {(r["k"], r["n"], r["id"]): r["original_id"] for r in spark.read.parquet(f"{tmp_path}/out/*").collect()}
+    whole = folds.dedup_in_windows(spark.createDataFrame(data, schema), ["k", "n"], "id", "at", "who", "sure", 600)
+    assert got == {(r["k"], r["n"], r["id"]): r["original_id"] for r in whole.collect()} and any(v is not None for v in got.values())

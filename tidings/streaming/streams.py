@@ -1,9 +1,11 @@
 """The batch semantics as streams: cut-off of late rows, unique keys, latest version, exactly-once ingestion, greedy windows."""
 
 import logging
+from collections import defaultdict
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -71,15 +73,19 @@ def ingest(df: DataFrame, table: SnapshotTable, name: str, order: list[Column],
     df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+SLICES = 1024  # groups of keys with one state each: a state call costs as much as many rows, so keys share them
+
+
 class _Greedy(StatefulProcessor):
-    """A key's kept rows by time bucket (operators.folds.Kept), as map state. Buckets that neither a row within the delay nor the window can reach go when the watermark passes them."""
+    """The kept rows of a slice's keys by time bucket (operators.folds.Kept), as map state: a bucket's rows of all keys are one value. Buckets that neither a row within the delay nor the window can reach go when the watermark passes them."""
 
-    def __init__(self, key: list[str], id_: str, window: int):
-        self.key, self.id, self.window = key, id_, max(window, 1)
+    def __init__(self, width: int, window: int):
+        self.keys, self.window = [f"k{n}" for n in range(width)], max(window, 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getMapState("kept", "bucket long", "owner long, ids array<long>, places array<long>, times array<long>")
+        keys = "".join(f"{k} array<string>, " for k in self.keys)
+        self.state = handle.getMapState("kept", "bucket long", keys + "owners array<long>, ids array<long>, places array<long>, times array<long>")
         self.count = handle.getValueState("count", "n long")
 
     def _gone(self, bucket: int) -> int:
@@ -91,23 +97,34 @@ class _Greedy(StatefulProcessor):
             if self._gone(b) <= mark:
                 self.state.removeKey((b,))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n = self.count.get()[0] if self.count.exists() else 0
-        kept = Kept(self.window, n)
+        kept: dict[tuple, Kept] = defaultdict(lambda: Kept(self.window, n))
         if n:
             self._purge(timerValues.getCurrentWatermarkInMs())
-            kept.buckets = {b: Bucket(v[0], list(zip(v[2], v[1], v[3], strict=True))) for (b,), v in self.state.iterator()}
-        for r in sorted(rows, key=lambda r: r[self.id]):
-            ((_, hit),) = greedy_window([(r[self.id], r["_t"], r["_o"], r["_c"])], self.window, kept)
-            yield Row(**dict(zip(self.key, key, strict=True)), **{self.id: r[self.id], "original_id": hit})
-        for b in kept.changed:
-            held = kept.buckets[b].rows
-            self.state.updateValue((b,), (kept.buckets[b].owner, [i for _, i, _ in held], [p for p, _, _ in held], [t for _, _, t in held]))
-        if kept.changed:
-            self.handle.registerTimer(self._gone(max(kept.changed)) + 1)
-            self.count.update((kept.n,))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            for (b,), (*keys, owners, ids, places, times) in self.state.iterator():
+                for k, owner, *held in zip(zip(*keys, strict=True), owners, places, ids, times, strict=True):
+                    kept[k].buckets.setdefault(b, Bucket(owner)).add(*held)
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("id", kind="stable")
+        columns = (zip(*(pdf[c].tolist() for c in self.keys), strict=True), *(pdf[c].tolist() for c in ("id", "at", "owner", "owned", "sure")))
+        hits = []
+        for k, id_, at, owner, owned, sure in zip(*columns, strict=True):
+            hits += greedy_window([(id_, at, owner if owned else None, True)], self.window, kept[k]) if sure else [(id_, None)]
+        out = pdf[[*self.keys, "id"]].copy()
+        out["original_id"] = pd.array([hit for _, hit in hits], dtype="Int64")
+        yield out
+        changed: dict[int, list] = {b: [] for x in kept.values() for b in x.changed}
+        for k, x in kept.items():
+            for b, bucket in x.buckets.items():
+                if b in changed:
+                    changed[b] += [(*k, bucket.owner, i, p, t) for p, i, t in bucket.rows]
+        for b, held in changed.items():
+            self.state.updateValue((b,), tuple(map(list, zip(*held, strict=True))))
+        if changed:
+            self.handle.registerTimer(self._gone(max(changed)) + 1)
+            self.count.update((n + len(pdf),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._purge(timerValues.getCurrentWatermarkInMs())
         if not list(self.state.keys()):
             self.count.clear()
@@ -117,10 +134,16 @@ class _Greedy(StatefulProcessor):
         pass
 
 
-def greedy(df: DataFrame, keys: list[str], id_: str, time: str, owner: str, confident: str, seconds: int, delay: str = "1 day") -> DataFrame:
-    """(keys, id, original_id): greedy window dedup with the kept rows as state. Equal to the batch form while ids arrive in order within each key and no row is later than the delay; later ones are left out. State is bounded: a kept row goes once the watermark is two windows past its bucket, so a key holds the kept rows of three windows and the delay at most. Needs the RocksDB state store, which is set for the session."""
+def greedy(df: DataFrame, keys: list[str], id_: str, time: str, owner: str, confident: str, seconds: int, delay: str = "1 day", slices: int = SLICES) -> DataFrame:
+    """(keys, id, original_id): greedy window dedup with the kept rows as state. Equal to the batch form while ids arrive in order within each key and no row is later than the delay; later ones are left out. State is bounded: a kept row goes once the watermark is two windows past its bucket, so a key holds the kept rows of three windows and the delay at most. Keys are dealt by hash to slices that share their state calls; a slice's rows of one batch are in memory together. Needs the RocksDB state store, which is set for the session."""
     kinds = dict(df.dtypes)
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    x = df.withWatermark(time, delay).select(*keys, id_, time, F.unix_micros(time).alias("_t"), F.col(owner).cast("long").alias("_o"), F.col(confident).alias("_c"))
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, id_]) + ", original_id long"
-    return x.groupBy(*keys).transformWithState(_Greedy(keys, id_, seconds * 1_000_000), schema, "append", "EventTime")
+    t, who, sure = F.unix_micros(time), F.col(owner).cast("long"), F.col(confident) & F.col(time).isNotNull()
+    # keys travel as text and nulls as flags, since whole numbers with nulls would come as floats
+    x = df.withWatermark(time, delay).select(
+        F.pmod(F.xxhash64(*keys), F.lit(slices)).alias("slice"), *(F.col(c).cast("string").alias(f"k{n}") for n, c in enumerate(keys)), F.col(id_).alias("id"), F.col(time).alias("time"),
+        F.coalesce(t, F.lit(0)).alias("at"), F.coalesce(who, F.lit(0)).alias("owner"), who.isNotNull().alias("owned"), F.coalesce(sure, F.lit(False)).alias("sure"),
+    )
+    schema = "".join(f"k{n} string, " for n in range(len(keys))) + f"id {kinds[id_]}, original_id long"
+    got = x.groupBy("slice").transformWithStateInPandas(_Greedy(len(keys), seconds * 1_000_000), schema, "append", "EventTime")
+    return got.select(*(F.col(f"k{n}").cast(kinds[c]).alias(c) for n, c in enumerate(keys)), F.col("id").alias(id_), "original_id")

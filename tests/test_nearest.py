@@ -68,3 +68,25 @@ def test_rows_of_one_text_are_not_paired(spark, monkeypatch):
     best = {i: min((j for j, _, u in rows if j != i and abs(u - t) <= 2 * day), default=i) for i, _, t in rows}
     got = {(x["id"], x["original"]) for x in joins.near_copies(df, "id", "said", "at").collect()}
     assert got == {(i, j) for i, j in best.items() if j < i} and (5001, 5000) in got and len(got) > 1900
+
+
+def test_nearest_vectors_equal_all_pairs_with_odd_values(spark):
+    """Ties, copies, null, empty, zero and non-finite vectors, other lengths, a null group; pairs meet in blocks and not as rows of a join."""
+    from pyspark.sql import functions as F
+
+    from tidings.functions import similarity as sim
+    from tidings.operators import joins
+    from tidings.plans import QUERIES
+
+    rng = random.Random(8)
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0], [1.0, float("nan"), 0.0], [1.0, float("inf"), 0.0], [3e38, 3e38, 1.0]]
+    rows = [(k, rng.choice([1, 1, 2, None]), rng.choice(odd) if k % 9 == 4 else [float(rng.randrange(-2, 3)) for _ in range(3)]) for k in range(400)] + [(None, 1, [1.0, 1.0, 1.0]), (20, 1, [1.0, 0.0, 1.0])]
+    e = spark.createDataFrame(rows, "id long, g int, v array<float>")
+    got = joins.nearest_vectors(e, "g", "id", "v", F.col("id") % 5 == 0, 3, 5, part=50)
+    q = e.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("x"), "g")
+    pairs = q.join(e, "g").where("query_id <> id").select("query_id", F.col("id").alias("vec_id"), F.round(sim.cosine(F.col("x"), F.col("v")), 5).alias("score"))
+    want = joins.top_k(pairs, "query_id", 3, F.desc("score"), F.col("vec_id"))
+    rows_of = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], str(r["score"])) for r in df.collect())
+    assert rows_of(got) == rows_of(want) and len(rows_of(want)) > 100
+    plan = QUERIES["cosine_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "FlatMapGroupsInPandas" in plan

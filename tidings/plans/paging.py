@@ -3,7 +3,6 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidings.functions import similarity as sim
 from tidings.operators import joins, paging
 from tidings.plans.registry import query
 from tidings.sources.tables import table as t
@@ -108,6 +107,4 @@ _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBL
 def cosine_topk(spark, sf):
     """The three nearest vectors of the same kind, for each vector whose id is divisible by 50."""
     e = t(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"), "label")
-    near = q.join(e, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(sim.cosine(F.col("x"), F.col("embedding")), 5).alias("score"))
-    return joins.top_k(near, "query_id", 3, F.desc("score"), F.col("vec_id")).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return joins.nearest_vectors(e, "label", "vec_id", "embedding", F.col("vec_id") % 50 == 0, 3, 5).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))

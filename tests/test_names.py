@@ -121,3 +121,11 @@ def test_cards_by_tree():
     got = html_cards.parse(card(photo("background-image:url('u.png')") + photo("color:red") + photo("background:url( v.png );w:1") + photo("a:url();b:url('w')")), "https://x/c")[0]
     assert got["image_urls"] == ["u.png", "v.png", "w"] and got["link"] == "https://x/c/7"
     assert html_cards.parse(card("", time='<time datetime="2024-01-01T02:00:00+02:00">'))[0]["message_datetime"].isoformat() == "2024-01-01T00:00:00"
+
+
+def test_alerts_are_folded_once(spark, sf):
+    """What routing reads of its messages is the written, folded text: no step makes or folds them again."""
+    from tidings.plans import QUERIES
+
+    plan = QUERIES["alert_routing"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_custkey" not in plan and "_folded" in plan

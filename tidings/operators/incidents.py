@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidings.functions.text import fold_alert
 from tidings.operators.names import ALIASES, match_places, named_in
-from tidings.operators.resolution import alert_kind
+from tidings.operators.resolution import folded_alert_kind
+from tidings.sources.shared import run_folder
 
 # Statuses that count as a match, the surer one first; codes that belong to the second fact; reasons.
 MATCHED = ("matched", "matched_low_confidence")
@@ -163,9 +165,14 @@ def region_label() -> Column:
 
 def route_alerts(messages: DataFrame, id_: str, text: str, at: str, places: DataFrame, place_id: str, local: list[str], latin: list[str], region: str, zone: str, code: str | None = None, aliases=ALIASES, after: str | None = None) -> DataFrame:
     """(id, status, reason, kind, place_id, how, region, month, day, clock) for each message: alert kind, then its place by match_places(). Without either it is rejected, else it goes to the second fact with local time and a region: the one region whose name (of four characters at least, in any case) the text holds, `Multiple regions` if it holds more, the place's own if none. Ids of messages and places are unique."""
-    m = messages.select(id_, at, text).withColumn("kind", alert_kind(F.col(text)))
+    spark = messages.sparkSession
+    m = messages.select(id_, at, text, fold_alert(F.col(text)).alias("_folded")).withColumn("kind", folded_alert_kind(F.col("_folded")))
+    # folding is most of the work and its result is read thrice, so it is written
+    path = f"{run_folder(spark, 'alerts')}/messages"
+    m.write.parquet(path)
+    m = spark.read.schema(m.schema).parquet(path)
     alerts = m.where("kind is not null")
-    place = match_places(alerts, id_, F.col(text), places, place_id, place_id, local, latin, code, aliases, after=after)
+    place = match_places(alerts, id_, F.col(text), places, place_id, place_id, local, latin, code, aliases, after=after, folded=None if after else F.col("_folded"))
     own = places.select(F.col(place_id).cast("long").alias("place_id"), F.col(region).alias("_own"))
     said = said_regions(alerts, id_, text, places, region)
     local_time = F.from_utc_timestamp(at, zone)

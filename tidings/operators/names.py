@@ -155,13 +155,13 @@ class _Places:
         return None
 
 
-def match_places(messages: DataFrame, id_: str, text: Column, places: DataFrame, place_id: str, position: str, local: list[str], latin: list[str], code: str | None = None, aliases=ALIASES, not_places=NOT_PLACES, after: str | None = None, most: int = AUTOMATON_BYTES) -> DataFrame:
-    """(id, place_id, matched, how): the place that each message names, no row if none. In this order: an alias of the table that occurs anywhere; the first hashtag that equals a name; the longest name on word boundaries, of three characters at least; the longest Latin name of four letters at least anywhere in the text's letters. Ties go to the place of lowest position and its first name. Of a text with the marker `after` only what follows the last one counts. Ids are unique."""
+def match_places(messages: DataFrame, id_: str, text: Column, places: DataFrame, place_id: str, position: str, local: list[str], latin: list[str], code: str | None = None, aliases=ALIASES, not_places=NOT_PLACES, after: str | None = None, most: int = AUTOMATON_BYTES, folded: Column | None = None) -> DataFrame:
+    """(id, place_id, matched, how): the place that each message names, no row if none. In this order: an alias of the table that occurs anywhere; the first hashtag that equals a name; the longest name on word boundaries, of three characters at least; the longest Latin name of four letters at least anywhere in the text's letters. Ties go to the place of lowest position and its first name. Of a text with the marker `after` only what follows the last one counts. `folded` is fold_alert() of what counts, where it is at hand. Ids are unique."""
     said = F.substring_index(text, after, -1) if after else text
     empty = F.coalesce(said, F.lit(""))
     barred = F.array(*(fold_alert(F.lit(v)) for v in not_places)) if not_places else F.array().cast("array<string>")
     tags = F.filter(F.transform(hashtags(empty), fold_alert), lambda t: (t != "") & ~F.array_contains(barred, t))
-    rows = messages.select(F.col(id_).alias("_id"), empty.alias("_text"), fold_alert(empty).alias("_folded"), tags.alias("_tags"))
+    rows = messages.select(F.col(id_).alias("_id"), empty.alias("_text"), (fold_alert(empty) if folded is None else F.coalesce(folded, F.lit(""))).alias("_folded"), tags.alias("_tags"))
 
     def search(built, batch):
         ids, out = [], []

@@ -44,24 +44,26 @@ def score_tier(score: Column, high: float = 0.80, low: float = 0.50) -> Column:
     return F.when(score >= high, "merge").when(score >= low, "flag").otherwise("new")
 
 
-def alert_kind(text: Column) -> Column:
-    """The code of the first alert kind that a text has a word of, words of misread headers included, else that of a map card; null for notices and other texts."""
+def folded_alert_kind(folded: Column) -> Column:
+    """alert_kind() of a text that is folded already: a column, since it is named once for each word."""
+
+    def any_of(words):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(folded, fold_alert(F.lit(w)))
+        return hit
 
-    def decide(folded):
-        def any_of(words):
-            hit = F.lit(False)
-            for w in words:
-                hit = hit | F.contains(folded, fold_alert(F.lit(w)))
-            return hit
+    kind = F.when(any_of(NOTICES), F.lit(None).cast("int"))
+    for code, words in ALERTS:
+        kind = kind.when(any_of(words), F.lit(code))
+    sender, either, word = CARD
+    return kind.when(any_of([sender]) & any_of(either) & any_of([word]), F.lit(CARD_KIND))
 
-        kind = F.when(any_of(NOTICES), F.lit(None).cast("int"))
-        for code, words in ALERTS:
-            kind = kind.when(any_of(words), F.lit(code))
-        sender, either, word = CARD
-        return kind.when(any_of([sender]) & any_of(either) & any_of([word]), F.lit(CARD_KIND))
 
+def alert_kind(text: Column) -> Column:
+    """The code of the first alert kind that a text has a word of, words of misread headers included, else that of a map card; null for notices and other texts."""
     # a lambda's variable, so that a long text is folded once and not for each word
-    return F.get(F.transform(F.array(fold_alert(text)), decide), 0)
+    return F.get(F.transform(F.array(fold_alert(text)), folded_alert_kind), 0)
 
 
 def place_ids(matches: Column, flat_id: Column) -> Column:

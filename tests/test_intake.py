@@ -67,3 +67,12 @@ def test_failures_stay_with_their_batch(spark, parts):
     want |= {k: (None, None, f"ValueError: broken at {100 if k < 103 else 103}", 2 if k in (100, 103) else 0) for k in (100, 101, 102, 103)}
     assert got == want
     assert relevance.classify(df.where(F.lit(False)), "id", "said", "b", Client).count() == 0
+
+
+def test_bodies_are_read_once(spark, sf):
+    """One reading of the posts for their outcome and one for the first of each id, each of which parses a body once."""
+    from tidings.plans import QUERIES
+
+    plan = QUERIES["push_counters"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("map<string,string>") <= 2 and plan.count("posexplode") == 2, plan
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 2

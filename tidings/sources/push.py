@@ -23,11 +23,12 @@ def _elements(body: Column) -> Column:
 
 def posts(bodies: DataFrame, key: str, body: str) -> DataFrame:
     """(key, place, fields, classification, flagged, raw, reason): every post of every body with its place in it from 0. A missing platform is the prefix of the id, a missing account the source's name. reason tells why a row is no post: `malformed body`, `no object`, or the field that is missing or has another form."""
-    rows = bodies.select(F.col(key), F.col(body).alias("_body"), _elements(F.col(body)).alias("_posts"))
-    whole = rows.where("_posts is null").select(key, F.lit(0).alias("place"), F.col("_body").alias("raw"), F.lit("malformed body").alias("_bad"))
-    each = rows.where("_posts is not null").select(key, F.posexplode("_posts").alias("place", "raw")).withColumn("_bad", F.when(F.col("raw").isNull() | ~F.ltrim("raw").startswith("{"), "no object"))
-    x = whole.unionByName(each)
-    x = x.withColumn("_all", F.when(F.col("_bad").isNull(), F.from_json("raw", "map<string,string>")))
+    def entry(raw: Column, bad: Column) -> Column:
+        return F.struct(raw.alias("raw"), bad.alias("_bad"), F.when(bad.isNull(), F.from_json(raw, "map<string,string>")).alias("_all"))
+
+    each = F.transform(_elements(F.col(body)), lambda r: entry(r, F.when(r.isNull() | ~F.ltrim(r).startswith("{"), "no object")))
+    # in the generator, so that a body is read and parsed once, whatever is filtered later
+    x = bodies.select(F.col(key), F.posexplode(F.coalesce(each, F.array(entry(F.col(body), F.lit("malformed body"))))).alias("place", "_e")).select(key, "place", "_e.*")
     got = {f: F.col("_all")[f] for f in _FIELDS}
     known = F.map_filter("_all", lambda k, v: k.isin(*CLASSIFICATION_KEYS))
     x = x.select(key, "place", "raw", "_bad", *(c.alias(f) for f, c in got.items()), F.when(F.size(known) > 0, known).alias("classification"))

@@ -54,3 +54,11 @@ def test_names_without_regard_to_case(spark):
     rows = spark.createDataFrame([("STRASSE",), ("éclair ",), ("σοφος",), ("eclair",), (None,)], "said string")
     got = {r["said"]: r["of"] for r in paging.resolve_names(rows, "said", dim, "label", "id", "of", locale="UNICODE_CI").collect()}
     assert got == {"STRASSE": None, "éclair ": 2, "σοφος": 4, "eclair": None, None: None}
+
+
+def test_details_are_assembled_once(spark, sf):
+    """Answers meet their messages in one join and stored rows in another; a task sorts for no more."""
+    from tidings.plans import QUERIES
+
+    plan = QUERIES["tiered_details"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("Aggregate ") == 1

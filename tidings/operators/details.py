@@ -178,9 +178,9 @@ TOTAL_DEATHS = ("la_td", "un_td", "muni_td", "hosd", "hcd", "pressd", "gbd", "ca
 TOTAL_INJURIES = ("la_ti", "un_ti", "muni_ti", "hosi", "hci", "pressi", "gbi", "cari", "emer_i")
 
 
-def widen(df: DataFrame, key: str, categories: str, root: str | None = None) -> DataFrame:
-    """(key, wide columns, total_deaths, total_injuries) of each row; root is a struct with the counts that no category owns."""
-    flat = df.select(key, *([root] if root else []), *(v.alias(k) for k, v in category_columns(F.col(categories)).items()))
+def widen(df: DataFrame, key: str, categories: str, root: str | None = None, keep: list[str] = ()) -> DataFrame:
+    """(key, keep, wide columns, total_deaths, total_injuries) of each row; root is a struct with the counts that no category owns."""
+    flat = df.select(key, *keep, *([root] if root else []), *(v.alias(k) for k, v in category_columns(F.col(categories)).items()))
     mine = lambda f: [F.col(f"{root}.{f}")] if root else []
     return flat.withColumns({"total_deaths": null_sum(*mine("deaths"), *map(F.col, TOTAL_DEATHS)), "total_injuries": null_sum(*mine("injuries"), *map(F.col, TOTAL_INJURIES))}).drop(*([root] if root else []))
 
@@ -239,7 +239,7 @@ DEMOGRAPHICS = "casualty_demographics"
 
 
 def assemble(messages: DataFrame, id_: str, categories: str, root: str, answers: DataFrame, key: str, detail: str, error: str) -> DataFrame:
-    """(id, categories, failed, empty): each message's categories of the first tier with those that the second tier answered, which win. answers: one row a message and category, with its detail or an error; a failed or empty one leaves the others as they are and is named. Root counts, if there are any, become the demographics category where that is absent. Ids are unique; answers to unknown ids are left out."""
+    """(id, categories, failed, empty, root): each message's categories of the first tier with those that the second tier answered, which win. answers: one row a message and category, with its detail or an error; a failed or empty one leaves the others as they are and is named. Root counts, if there are any, become the demographics category where that is absent. Ids are unique; answers to unknown ids are left out."""
     told = F.col(error).isNull() & F.col(detail).isNotNull()
     blank = F.col(error).isNull() & F.coalesce(empty_detail(F.col(detail)), F.lit(True))
     entry = F.struct(F.col(key).alias("key"), F.col(detail).alias("value"))
@@ -256,7 +256,7 @@ def assemble(messages: DataFrame, id_: str, categories: str, root: str, answers:
     own = F.struct(F.lit(None).cast("string").alias("did"), F.lit(None).cast("string").alias("name"), F.struct(*(F.col("_root")[c].alias(c) for c in COUNTS)).alias("casualties"), F.lit(None).alias("vehicles"))
     more = F.create_map(F.lit(DEMOGRAPHICS), own).cast(CATEGORIES)
     out = F.when(counted & ~F.map_contains_key(F.col("_both"), F.lit(DEMOGRAPHICS)), F.map_concat("_both", more)).otherwise(F.col("_both"))
-    return x.withColumn("_both", both).select(id_, out.alias("categories"), F.coalesce("failed", names).alias("failed"), F.coalesce("empty", names).alias("empty"))
+    return x.withColumn("_both", both).select(id_, out.alias("categories"), F.coalesce("failed", names).alias("failed"), F.coalesce("empty", names).alias("empty"), F.col("_root").alias("root"))
 
 
 def fill(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -34,12 +34,13 @@ def tiered_details(spark, sf):
     rows = [o.where(when).select("o_orderkey", key.alias("key"), detail.alias("detail"), error.alias("error")) for key, detail, error, when in asked]
     answers = rows[0].unionByName(rows[1]).unionByName(rows[2])
     got = details.assemble(o.select("o_orderkey", first.alias("c"), root.alias("root")), "o_orderkey", "c", "root", answers, "key", "detail", "error")
-    wide = details.widen(got.join(o.select("o_orderkey", root.alias("root")), "o_orderkey"), "o_orderkey", "categories", "root")
+    list_ = lambda c: F.array_join(F.sort_array(c), ",")
+    # what is told of a message travels with it, so that nothing is assembled or joined twice
+    told = got.withColumns({"keys": list_(F.map_keys("categories")), "failed": list_(F.col("failed")), "empty": list_(F.col("empty"))})
+    wide = details.widen(told, "o_orderkey", "categories", "root", ["keys", "failed", "empty"])
     none = lambda kind: F.lit(None).cast(kind)
     stored = o.select(
-        "o_orderkey", F.when(k % 10 == 1, F.lit(False)).alias("la"), none("string").alias("la_did"), F.when(k % 7 == 0, "old").alias("hos_n"), F.when(k % 2 == 1, 2).alias("hosd"),
+        "o_orderkey", *(none("string").alias(c) for c in ("keys", "failed", "empty")), F.when(k % 10 == 1, F.lit(False)).alias("la"), none("string").alias("la_did"), F.when(k % 7 == 0, "old").alias("hos_n"), F.when(k % 2 == 1, 2).alias("hosd"),
         none("int").alias("pressi"), none("int").alias("total_deaths"), none("int").alias("total_injuries"),
     )
-    list_ = lambda c: F.array_join(F.sort_array(c), ",")
-    names = got.select("o_orderkey", list_(F.map_keys("categories")).alias("keys"), list_(F.col("failed")).alias("failed"), list_(F.col("empty")).alias("empty"))
-    return names.join(details.fill(stored, wide, ["o_orderkey"]), "o_orderkey")
+    return details.fill(stored, wide, ["o_orderkey"])

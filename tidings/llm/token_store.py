@@ -15,6 +15,8 @@ time; an empty table writes no shard; extra columns, also ones named key, tie or
 import io
 import json
 import os
+import string
+import unicodedata
 import uuid
 import zlib
 
@@ -27,8 +29,9 @@ from tidings.llm import mph
 from tidings.llm.work import Workspace, chunks, n_tasks, record
 
 MARK = b"tidtok1\n"
-KNOWN = 700_000  # words kept between batches by a worker; a memo, so its size only affects speed
-LONG = 64  # longer words stay out of the memo, which bounds its bytes
+KNOWN = 700_000  # pieces of words kept between batches by a worker; a memo, so its size only affects speed
+LONG = 64  # longer ones stay out of the memo, which bounds its bytes
+RUN = 256  # words that the library's model gets at once
 END_ID = 2
 _encoders: dict = {}
 
@@ -39,41 +42,127 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _bytes(*groups) -> bytes:
+    """A table of the 256 bytes: 1 for those in the groups."""
+    held = {x for g in groups for x in g}
+    return bytes(x in held for x in range(256))
+
+
+def _are(data: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(table), bool)
+
+
+# Letters of Latin-1 beyond ASCII are byte 0xC3 and one of TAIL; none of them, nor an ASCII sign, joins with what is before it.
+LEAD, TAIL, UPPER_TAIL = 0xC3, {*range(0x80, 0xC0)} - {0x97, 0xB7}, {*range(0x80, 0x9F)} - {0x97}
+BLANKS, UPPER = _bytes(b" \n\t"), _bytes(range(65, 91))
+ALNUM, TAILS, UPPER_TAILS = _bytes(string.ascii_letters.encode(), string.digits.encode()), _bytes(TAIL), _bytes(UPPER_TAIL)
+PLAIN = _bytes(range(97, 123), [LEAD], TAIL - UPPER_TAIL)
+
+
 class WordEncoder:
-    """Ids of texts by the tokenizers library, which is asked once for each distinct word. Valid for tokenizers that drop white space and never join across it, so that a text's ids are those of its words."""
+    """Ids of texts by the tokenizers library, which is asked once for each distinct piece of a word.
+
+    Valid for tokenizers that compose (NFC), lower-case, drop white space and cut signs from letters and numbers, as
+    word_bpe_49k does: a text's ids are then those of its pieces. Bytes are cut and lower-cased only where no such rule, no
+    contraction ('s) and no special token reaches across. A piece of small Latin-1 letters is one word as it stands, so the
+    library's model gets it in runs, and the last token of each, which its suffix tells, ends it; other pieces pass the whole
+    tokenizer one by one.
+    """
 
     def __init__(self, path: str, wide: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
         self.tool.no_truncation()
         self.tool.no_padding()
+        self.words = Tokenizer(self.tool.model)
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.dtype = np.dtype("<u4" if wide or self.tool.get_vocab_size() > 1 << 16 else "<u2")
-        self.known: dict[str, bytes] = {"": b""}
+        self.last = np.zeros(self.tool.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tool.get_vocab(with_added_tokens=False).items() if t.endswith(self.tool.model.end_of_word_suffix)]] = True
+        self.special = [t.content.encode() for t in self.tool.get_added_tokens_decoder().values()]
+        signs = {*string.punctuation.encode()}.difference(*self.special)
+        self.signs, self.joints = _bytes(signs), _bytes(signs - {*b"'"})
+        self.known: dict[bytes, bytes] = {}
+
+    def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts in order, without blanks, and how many there are up to the end of each text."""
+        texts = texts.fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        data = np.full(len(raw) + 2, 32, np.uint8)  # a blank before and after
+        data[1:-1] = raw
+        latin = np.zeros(len(data), bool)
+        latin[1:] = _are(data[1:], TAILS) & (data[:-1] == LEAD)
+        small = _are(data, UPPER) | (latin & _are(data, UPPER_TAILS))
+        small[:-1] &= (data[1:] < 128) | (data[1:] == LEAD)
+        lower = data | (small.view(np.uint8) << 5)
+        if all(lower.tobytes().count(t) == raw.tobytes().count(t) for t in self.special):
+            data = lower
+        blank, alnum = _are(data, BLANKS), _are(data, ALNUM)
+        letter, first = alnum | latin, alnum | np.roll(latin, -1)
+        start = blank[:-2] | (letter[:-2] & _are(data[1:-1], self.signs)) | (_are(data[:-2], self.joints) & first[1:-1])
+        start[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        keep = ~blank[1:-1]
+        start &= keep
+        bounds = np.append(np.flatnonzero(start[keep]), np.count_nonzero(keep))
+        out = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[1:-1][keep])])
+        return out, np.searchsorted(np.flatnonzero(start), offsets[1:])
+
+    def stem(self, piece: bytes) -> tuple[bytes, ...]:
+        """Letters of other scripts and a last sign, which the tokenizer cuts apart itself; other pieces as they are. Some letters end with a mark once composed or lower-cased, and a sign joins with it."""
+        if piece[-1] in b".,;:!?" and unicodedata.normalize("NFC", piece[:-1].decode()).lower().isalpha():
+            return piece[:-1], piece[-1:]
+        return (piece,)
+
+    def codes(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self.known) > KNOWN:
+            self.known = {}
+        keys = pieces.to_numpy(zero_copy_only=False).tolist()
+        out = list(map(self.known.get, keys))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if not missing:
+            return out
+        starts, data = np.frombuffer(pieces.buffers()[1], np.int64)[: len(keys)], np.frombuffer(pieces.buffers()[2], np.uint8)
+        plain = np.logical_and.reduceat(_are(data, PLAIN), starts).tolist()
+        stems = {i: self.stem(keys[i]) for i in missing if not plain[i]}
+        new = list({x for two in stems.values() for x in two}.difference(self.known))
+        asked = self.tool.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
+        got = {x: np.array(enc.ids, self.dtype).tobytes() for x, enc in zip(new, asked, strict=True)}
+        for i, two in stems.items():
+            out[i] = b"".join(got[x] if x in got else self.known[x] for x in two)
+        words = [i for i in missing if plain[i]]
+        for at in range(0, len(words), RUN):
+            run = words[at : at + RUN]
+            (enc,) = self.words.encode_batch_fast([[keys[i].decode() for i in run]], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(enc.ids, self.dtype)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
+            ids = ids.tobytes()
+            for i, a, b in zip(run, [0, *ends[:-1]], ends, strict=True):
+                out[i] = ids[a:b]
+        got.update((keys[i], out[i]) for i in missing)
+        self.known.update((x, ids) for x, ids in got.items() if len(x) <= LONG)
+        return out
 
-    def stem(self, word: str) -> tuple[str, str]:
-        """A word as letters in lower case and a last sign, which the tokenizer cuts apart and lower-cases itself; other words as they are."""
-        body, sign = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-        if not body.isalpha():
-            return word, ""
-        return (body.lower() if body.isascii() else body), sign
+    def column(self, texts: pa.Array, end: int) -> tuple[pa.Buffer, np.ndarray]:
+        """The ids of all texts end to end, each with the end id, and the number of each."""
+        pieces, ends = self.pieces(texts)
+        coded = pieces.dictionary_encode()
+        codes = self.codes(coded.dictionary)
+        codes.append(np.array([end], self.dtype).tobytes())
+        at = np.insert(coded.indices.to_numpy(), ends, len(codes) - 1)
+        out = pa.array(codes, pa.large_binary()).take(pa.array(at))
+        offsets = np.frombuffer(out.buffers()[1], np.int64)[: len(at) + 1]
+        to = offsets[ends + np.arange(1, len(ends) + 1)]
+        return out.buffers()[2][: int(offsets[-1])], np.diff(to, prepend=0) // self.dtype.itemsize
 
     def __call__(self, texts: list[str], end: int) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > KNOWN:
-            self.known = {"": b""}
-        missing = {w: self.stem(w) for w in set().union(*split).difference(self.known)}
-        new = list({s for pair in missing.values() for s in pair if s}.difference(self.known))
-        for word, enc in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(enc.ids, self.dtype).tobytes()
-        for word, (stem, sign) in missing.items():
-            self.known[word] = self.known[stem] + self.known[sign]
-        get, stop = self.known.__getitem__, np.array([end], self.dtype).tobytes()
-        out = [b"".join(map(get, words)) + stop for words in split]
-        for word in [w for w in (*missing, *new) if len(w) > LONG]:
-            self.known.pop(word, None)
-        return out
+        data, counts = self.column(pa.array(texts, pa.large_string()), end)
+        to = np.cumsum(counts * self.dtype.itemsize).tolist()
+        return [data[a:b].to_pybytes() for a, b in zip([0, *to], to, strict=False)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -98,9 +187,9 @@ def write_shard(uri: str, batches, encode, end: int = END_ID) -> dict | None:
             out = where.open_output_stream(part)
             out.write(MARK)
         col = table.column("key").combine_chunks()
-        ids = encode(["" if t is None else t for t in table.column("text").to_pylist()], end)
-        out.write(b"".join(ids))
-        counts.append(np.array([len(x) for x in ids], np.int64) // encode.dtype.itemsize)
+        ids, n = encode.column(table.column("text").combine_chunks(), end)
+        out.write(ids)
+        counts.append(n)
         keys.append(col.fill_null(0).to_numpy().astype(np.int64))
         ok.append(col.is_valid().to_numpy(zero_copy_only=False))
     if out is None:
